@@ -3,56 +3,88 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from itertools import chain
 
 #: Chunks that an encoder remembers before it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 600_000
 END_ID = 1
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
+#: A word of Latin letters, perhaps with a mark after it: every vocabulary here splits it in these two places.
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
+#: How byte-level vocabularies write a byte: printable Latin-1 as itself, the others from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_TEXT = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _LOADED: dict[str, "Encoder"] = {}
 
 
+class _Known(dict):
+    """Chunks to ids; a chunk that is missing is encoded, and a full table begins anew."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, chunk: str):
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
 class Encoder:
     """Ids as little-endian uint32 bytes, equal to those of tokenizers on the whole text.
 
     spaced: a piece may begin with the space before it (byte-level vocabularies); there a text is cut only at a
     space between two non-blank characters, where the vocabulary's own pattern always cuts. Otherwise blanks are
-    dropped by the vocabulary, and any space is a cut.
+    dropped by the vocabulary, and any space is a cut. A text that holds a special token's string is encoded whole.
+    A chunk goes through the vocabulary's normalizer, pre-tokenizer and model, without the alignments that encode() keeps.
     """
 
     def __init__(self, path: str, spaced: bool, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.spaced, self.remembered = spaced, remembered
-        self.known: dict[str, bytes] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.split(" ")
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.model, self.split = t.model, t.pre_tokenizer.pre_tokenize_str
+        self.normal = t.normalizer.normalize_str if t.normalizer else str
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.spaced = spaced
+        self.pieces = _Known(lambda piece: pack_ids([t.id for t in self.model.tokenize(piece)]), remembered // 2)
+        self.after = _Known(self._after if spaced else self._chunk, remembered)
+        self.loose = _Known(self._chunk, remembered // 8)
+
+    def _after(self, part: str) -> bytes | None:
+        """A chunk after a space; None where the space may belong to something else, which joins then refuse."""
+        return None if not part or part[0].isspace() or part[-1].isspace() else self._chunk(" " + part)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if plain := _PLAIN.match(chunk):
+            blank, word, mark = plain.groups()
+            word = blank + word if self.spaced else word.lower()
+            if blank or not word.isascii():
+                word = word.encode().decode("latin-1").translate(_AS_TEXT)
+            return self.pieces[word] + self.pieces[mark] if mark else self.pieces[word]
+        return b"".join([self.pieces[p] for p, _ in self.split(self.normal(chunk))])
+
+    def encode(self, text: str) -> bytes:
+        for s in self.special:
+            if s in text:
+                return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = text.split(" ")
-        if "" in parts or any(map(str.isspace, {p[0] for p in parts} | {p[-1] for p in parts})):
-            parts = _JOINT.split(text)
-        return [parts[0], *map(" ".__add__, parts[1:])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        chunks = [self._chunks(t) for t in texts]
-        new = set(chain.from_iterable(chunks)).difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {}
-            new = set(chain.from_iterable(chunks))
-        if new:
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        if not self.spaced:
+            return b"".join(map(self.after.__getitem__, parts))
+        first = parts.pop(0)
+        if first and not first[-1].isspace():
+            try:
+                return self.loose[first] + b"".join(map(self.after.__getitem__, parts))
+            except TypeError:
+                pass
+        parts = _JOINT.split(text)
+        return self.loose[parts[0]] + b"".join([self.loose[" " + p] for p in parts[1:]])
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def vocabulary(name_or_path: str) -> str:
@@ -71,15 +103,12 @@ def encoder(name_or_path: str) -> Encoder:
     return _LOADED[name_or_path]
 
 
-def encoded(batches, name_or_path: str, step: int = 128):
-    """(doc_id, ids) of Arrow batches with the columns doc_id and text, some documents at a time; each ends with END_ID."""
+def encoded(batches, name_or_path: str):
+    """(doc_id, ids) of Arrow batches with the columns doc_id and text; each document ends with END_ID."""
     enc, end = encoder(name_or_path), END_ID.to_bytes(4, "little")
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):
-                yield doc, ids + end
+        for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+            yield doc.as_py(), enc.encode(text.as_py() or "") + end
 
 
 def crc32(data) -> int:

@@ -23,9 +23,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of them."""
     if not _POWERS or len(_POWERS[0]) < n:
         n = max(n, 1 << 20)
-        ones = lambda x: np.concatenate([[1], np.full(n - 1, x, np.uint64)]).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.multiply.accumulate(ones(_BASE)), np.multiply.accumulate(ones(_INVERSE))]
+        tables = []
+        for x in (_BASE, _INVERSE):
+            t = np.full(n, x, np.uint64)
+            t[0] = 1
+            tables.append(np.multiply.accumulate(t))
+        _POWERS[:] = tables
     return _POWERS[0], _POWERS[1]
 
 
@@ -38,7 +41,10 @@ def hashed(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarr
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view("i1")))
     start, end = edge[::2], edge[1::2]
     up, down = _powers(len(codes) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + U(1)) * down[: len(codes)], dtype=np.uint64)])
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.add(codes, U(1), out=total[1:])
+    total[1:] *= down[: len(codes)]
+    np.cumsum(total[1:], out=total[1:])
     h = mix((total[end] - total[start]) * up[start] + (end - start).astype(np.uint64))
     text = np.searchsorted(begin, start, "right") - 1
     return h, text, start - begin[text], end - begin[text]

@@ -52,12 +52,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     out = e.select(F.col("source").alias("node")).distinct().withColumn("_out", F.lit(True))
     base = nodes.join(out, "node", "left")
     rank = base.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
+    held = []
     for k in range(1, iterations + 1):
+        # both sums read the rank before; it is kept until a written table takes its place
+        rank = rank.persist()
+        held.append(rank)
         given = rank.where("_out").join(e, F.col("node") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         lost = rank.where("_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
         rank = base.join(given, F.col("node") == F.col("target"), "left").crossJoin(F.broadcast(lost)).select("node", "_out", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
-        if k % every == 0 and k < iterations:
+        if k % every == 0 or k == iterations:
             rank = _cut(rank)
+            while held:
+                held.pop().unpersist()
     return rank.select("node", "rank")
 
 

@@ -8,7 +8,8 @@ characters it uses. Each test asks how unlikely a patterned string of that lengt
 * runs: the number of runs of character classes against a source that changes class half as often as chance;
 * serial correlation: lag-1 correlation of the symbols' values against a source with correlation 0.5.
 
-Fisher's method combines them. Short strings cannot reach a small p, whatever they hold; and the step-up procedure of
+A string whose runs or correlation lie TOO_FAR standard deviations from chance is patterned, whatever its alphabet says.
+Fisher's method combines the three. Short strings cannot reach a small p, whatever they hold; and the step-up procedure of
 Benjamini and Hochberg runs within each length stratum over all candidates of the corpus, so many short candidates
 never loosen the threshold of long ones or the other way round.
 """
@@ -37,6 +38,7 @@ SHORTEST = 16
 STRATA = (16, 20, 24, 32, 40, 48, 64, 96, 128)
 RATE = 0.001
 SKEW = 2.0
+TOO_FAR = 3.3
 #: -log10 p is kept in steps of 1/GRID up to LOWEST.
 GRID, LOWEST = 100, 40
 _TOKEN = np.zeros(256, bool)
@@ -100,6 +102,9 @@ def battery(text: str) -> float:
     a, b = x[:-1] - x[:-1].mean(), x[1:] - x[1:].mean()
     scale = math.sqrt(float((a * a).sum() * (b * b).sum()))
     r = float((a * b).sum()) / scale if scale else 1.0
+    turns = 1 - float((shares**2).sum())
+    if abs(r) * math.sqrt(n) > TOO_FAR or abs(changes - (n - 1) * turns) > TOO_FAR * math.sqrt((n - 1) * turns * (1 - turns)) + 0.5:
+        return 1.0
     serial = _upper((math.atanh(0.5) - abs(math.atanh(max(-0.999999, min(0.999999, r))))) * math.sqrt(n - 3))
     half = -sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial))
     return math.exp(-half) * (1 + half + half * half / 2)

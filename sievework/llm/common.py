@@ -13,7 +13,12 @@ CHECKPOINT = "spark.checkpoint.dir"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,9 +29,7 @@ def merge(rows: DataFrame, key: str, score: Column, ordinal: str, location: list
     `merged_manifestations` counts distinct locations and, like related_locations, is null where nothing was merged.
     """
     others = [c for c in rows.columns if c not in (key, "severity")]
-    place = F.struct(F.min(ordinal).alias("o"), *location)
     spots = rows.groupBy(key, *location).agg(F.min(ordinal).alias("_o")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", *location))), lambda x: F.struct(*(x[c].alias(c) for c in location))).alias("_places"))
-    del place
     out = rows.groupBy(key).agg(
         F.max_by(F.struct(*others), F.struct(score, -F.col(ordinal))).alias("_r"),
         F.min(severity_rank("severity")).alias("_rank"),
@@ -40,8 +38,7 @@ def merge(rows: DataFrame, key: str, score: Column, ordinal: str, location: list
         *([F.array_sort(F.collect_set(sources)).alias("merged_sources")] if sources else []),
     )
     merged = F.col("inputs") > 1
-    out = out.join(spots, key).select(key, "_r.*", "severity", "inputs", *(["merged_sources"] if sources else []), F.when(merged, F.col("_places")).alias("related_locations"), F.when(merged, F.size("_places")).alias("merged_manifestations"))
-    return out
+    return out.join(spots, key).select(key, "_r.*", "severity", "inputs", *(["merged_sources"] if sources else []), F.when(merged, F.col("_places")).alias("related_locations"), F.when(merged, F.size("_places")).alias("merged_manifestations"))
 
 
 def distinct_structs(items: DataFrame, key: str, fields: list[str], ordinal: str) -> DataFrame:

@@ -13,7 +13,7 @@ def affinity_groups(rows: DataFrame, key: Column, ordinal: str) -> DataFrame:
     """Adds `affinity` and `group_order`, the group's least ordinal."""
     out = rows.withColumn("affinity", key)
     first = out.groupBy("affinity").agg(F.min(ordinal).alias("group_order"))
-    return out.join(first, F.expr("affinity <=> _affinity") if False else "affinity")
+    return out.join(first, "affinity")
 
 
 def chunks(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
@@ -28,9 +28,7 @@ def next_fit(units: DataFrame, keys: list[str], order: list[str], count: str, to
     The choice depends on all units before, so a group (keys) is folded in one expression over its ordered numbers;
     texts do not go along. Without keys the whole list is one group: a plan of one scan, not a table of rows.
     """
-    names = [c for c in units.columns if c not in keys]
     listed = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(count).cast("long").alias("_n"), F.col(tokens).cast("long").alias("_t")))).alias("_u"))
-    del names
     start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
     def step(a, x):

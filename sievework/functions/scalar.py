@@ -38,7 +38,7 @@ def root_cause_id(primary_file, symbol, failure_mode) -> Column:
 
 
 def has_root_cause(primary_file, symbol, failure_mode) -> Column:
-    return F.coalesce(*[F.lit(None).cast("boolean")], (strip(primary_file) != "") & (strip(symbol) != "") & (strip(failure_mode) != ""), F.lit(False))
+    return F.coalesce((strip(primary_file) != "") & (strip(symbol) != "") & (strip(failure_mode) != ""), F.lit(False))
 
 
 def identity(file, line, category, rule_id, primary_file, symbol, failure_mode) -> Column:
@@ -95,7 +95,7 @@ def type_hint(symbol) -> Column:
 
 def receiver(line, method) -> Column:
     """What stands before .method( in a call's line, or an empty text."""
-    return F.regexp_extract(col(line), F.concat(F.lit(r"([A-Za-z_]\w*)\s*(?:\?|!!)?\s*\.\s*"), F.lit(r"\Q"), col(method), F.lit(r"\E\s*\(")), F.lit(1))
+    return F.call_function("regexp_extract", col(line), F.concat(F.lit(r"([A-Za-z_]\w*)\s*(?:\?|!!)?\s*\.\s*\Q"), col(method), F.lit(r"\E\s*\(")), F.lit(1))
 
 
 def component_class(value, package) -> Column:
@@ -120,7 +120,7 @@ def fence(file) -> Column:
 
 def percent(x) -> Column:
     """One decimal and a percent sign; a dash for null."""
-    return F.coalesce(F.format_string("%.1f%%", col(x) * 100), F.lit("—"))
+    return F.when(col(x).isNull(), "—").otherwise(F.format_string("%.1f%%", col(x) * 100))
 
 
 def string_list(items) -> Column:

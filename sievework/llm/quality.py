@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import shared_path, small, store, table, written
 from .jaccard import _texts
 from .words import U
 
@@ -20,7 +20,7 @@ ORDER, BITS = 5, 12
 LOW, HIGH = 0.002, 0.995
 #: Trusted texts that a language needs for thresholds of its own.
 ENOUGH = 50
-#: N-grams of a shard that one pass over the texts carries to the executors (48 MB).
+#: N-grams of a shard that a task holds while it passes over its texts (48 MB, and its table).
 SHARD = 4_000_000
 _PLAIN = 2048
 
@@ -156,21 +156,27 @@ class Lookup:
 def perplexities(docs: DataFrame, logp: DataFrame) -> DataFrame:
     """doc_id, lang, trusted, perplexity of every document; null for a text without characters.
 
-    The table of n-grams is cut into shards of at most SHARD; each is carried over the texts in turn, and a document's
-    sums are added up. One shard holds the n-grams of most alphabets' corpora; more of them cost a scan each.
+    The table of n-grams is cut into shards of about SHARD, written to the shared folder; the texts pass over each in
+    turn, and a document's sums are added up. Tasks read their shard there: nothing of it goes through the driver.
+    One shard holds the n-grams of most alphabets' corpora; more of them cost a scan each.
     """
     spark = docs.sparkSession
-    shards = max(1, -(-logp.count() // SHARD))
+    grams = logp.count()
+    if not grams:
+        return docs.select("doc_id", "lang", "trusted", F.lit(None).cast("double").alias("perplexity"))
+    shards = -(-grams // SHARD)
+    path = shared_path(spark, "model")
+    logp.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).write.partitionBy("shard").parquet(path)
     out = None
     for k in range(shards):
-        own = logp if shards == 1 else logp.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == k)
-        rows = own.toPandas()
-        model = spark.sparkContext.broadcast((rows["key"].to_numpy("i8"), rows["logp"].to_numpy("f4")))
 
-        def run(batches, model=model):
+        def run(batches, part=f"{path}/shard={k}"):
             import pyarrow as pa
+            import pyarrow.parquet as pq
 
-            keys, values = model.value
+            fs, where = store(part)
+            model = pq.read_table(where, filesystem=fs, columns=["key", "logp"])
+            keys, values = model["key"].to_numpy(), model["logp"].to_numpy()
             find = Lookup(keys.view("u8"), values)
             for rows, texts in _texts(batches, "doc_id", "lang", "trusted"):
                 key, begin = symbols(texts)

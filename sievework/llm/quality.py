@@ -16,8 +16,10 @@ from .jaccard import _texts
 from .words import U
 
 ORDER, BITS = 5, 12
-#: Quantiles of the trusted texts' perplexity, by language, between which a text is kept.
-LOW, HIGH = 0.002, 0.995
+#: Quantile, by language, of the perplexity of trusted texts that the model has not seen; a text up to it is kept.
+HIGH = 0.995
+#: One in so many trusted texts, by a hash of doc_id, sets the thresholds and is not trained on.
+HELD_OUT = 5
 #: Trusted texts that a language needs for thresholds of its own.
 ENOUGH = 50
 #: N-grams of a shard that a task holds while it passes over its texts (48 MB, and its table).
@@ -199,25 +201,26 @@ def hash_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH) -> DataFrame:
     """doc_id, lang, perplexity, kept of every document (columns doc_id, text, lang; others are ignored).
 
-    Trusted are the documents that labels (doc_id, quality) marks with quality 1; with none, all are kept that have
-    characters. kept: the perplexity lies within the quantiles of the language's trusted texts (of all trusted texts
-    where the language, or a null one, has fewer than ENOUGH). Null and empty texts have no perplexity and are not kept.
+    Trusted are the documents that labels (doc_id, quality) marks with quality 1. One in HELD_OUT of them is kept from
+    training: a model knows its own texts too well to tell how it meets others. kept: the perplexity is at most the
+    quantile of the language's held-out texts (of all held-out texts where the language, or a null one, has fewer than
+    ENOUGH); without any, all are kept that have characters. Null and empty texts have no perplexity and are not kept.
     A null doc_id is never trusted. Rows that repeat a doc_id are judged each; where labels differ, one of 1 suffices.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(small(good), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    counts = written(counted(docs), "counts")
-    scores = written(perplexities(docs, written(probabilities(counts), "logp")), "scores")
-    cut = lambda q: F.percentile_approx("perplexity", F.lit(q), F.lit(100_000))
-    trusted = scores.where("trusted and perplexity is not null")
-    by_lang = trusted.groupBy("lang").agg(F.count("*").alias("k"), cut(low).alias("low"), cut(high).alias("high")).where(F.col("k") >= ENOUGH)
-    everywhere = trusted.agg(cut(low).alias("low_all"), cut(high).alias("high_all"))
-    out = scores.join(small(by_lang), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of two numbers
-    lowest, highest = F.coalesce("low", "low_all", F.lit(0.0)), F.coalesce("high", "high_all", F.lit(float("inf")))
-    return out.select("doc_id", "lang", "perplexity", F.coalesce(F.col("perplexity").between(lowest, highest), F.lit(False)).alias("kept"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(small(good), "doc_id", "left").withColumn("known", F.coalesce("trusted", F.lit(False)))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    counts = written(counted(docs.withColumn("trusted", F.col("known") & ~held)), "counts")
+    scores = written(perplexities(docs.withColumn("trusted", F.col("known") & held), written(probabilities(counts), "logp")), "scores")
+    cut = F.percentile_approx("perplexity", F.lit(high), F.lit(100_000))
+    unseen = scores.where("trusted and perplexity is not null")
+    by_lang = unseen.groupBy("lang").agg(F.count("*").alias("k"), cut.alias("high")).where(F.col("k") >= ENOUGH)
+    everywhere = unseen.agg(cut.alias("high_all"))
+    out = scores.join(small(by_lang), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of one number
+    return out.select("doc_id", "lang", "perplexity", F.coalesce(F.col("perplexity") <= F.coalesce("high", "high_all", F.lit(float("inf"))), F.lit(False)).alias("kept"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

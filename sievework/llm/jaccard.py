@@ -3,12 +3,12 @@
 Equal sets are one node. A node's prefix, its tokens in one global order (frequent ones last), goes to the lists of
 these tokens. Answers are found in two steps (set relations, after Wang et al., 2017):
 
-1. In each list every node is tried with the list's first node. What is linked forms a relation: its sets are so alike
-   that one's answers are the others'.
+1. In each list nodes are tried with a leader, the node in the middle of the list. What is linked forms a relation: its
+   sets are so alike that one's answers are the others'.
 2. In each list only nodes of different relations are tried, in the blocks that size and position leave. Inside a
    relation nothing is left to find, so a group of many near copies costs a pass and not its square.
 
-Tried pairs are cut by parity bitmaps (a lower bound of the difference) and then verified on the full sets.
+Pairs are tried on parity bitmaps (a lower bound of the difference) where their list is, then verified on the full sets.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ BITS = 512
 ORDERED = 400_000
 SEEN_OFTEN = 3
 #: Texts of one numpy step, in bytes.
-STEP = 2 << 20
+STEP = 1 << 20
+#: Lists up to this size are tried at once, pair by pair.
+SHORT_LIST = 12
 ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -41,11 +43,11 @@ def required(a, b):
 def _texts(batches, *columns: str):
     """(rows, texts) of Arrow batches, STEP bytes at a time; a null text is empty."""
     for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in columns))) if columns else [()] * batch.num_rows
+        fields = [batch.column(c) for c in columns]
         own, held, size = [], [], 0
-        for row, text in zip(rows, batch.column("text").to_pylist()):
-            own.append(row)
-            held.append((text or "").encode("utf-8", "surrogatepass"))
+        for k, text in enumerate(batch.column("text")):
+            own.append(tuple(f[k].as_py() for f in fields))
+            held.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
             size += len(held[-1])
             if size > STEP:
                 yield own, held
@@ -61,6 +63,17 @@ def node_of(s: np.ndarray) -> int:
     return int(h.view("i8")[0])
 
 
+def _short(s: np.ndarray) -> bytes:
+    """The upper six bytes of each token, in order: two sets of 20,000 words have a wrong match once in a million pairs."""
+    return s.view("u1").reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), "u1")
+    out[:, 2:] = np.frombuffer(data, "u1").reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _bitmap(s: np.ndarray) -> bytes:
     odd = np.bincount((s % U(BITS)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype("u1")).tobytes()
@@ -154,16 +167,22 @@ def lists(docs: DataFrame, order, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, entries binary")
 
 
-def _gathered(batches):
-    """All entries of a task's buckets without repeats, by token, size and node, and the bounds of the lists of two or more."""
-    e = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column("entries").to_pylist()]
-    e = np.concatenate(e) if e else np.zeros(0, ENTRY)
-    e = e[np.lexsort((e["node"], e["n"], e["token"]))]
-    if len(e):
+def shared_lists(batches):
+    """One row for each bucket: its entries without repeats, by token, size and node, of the tokens that two nodes or more have."""
+    import pyarrow as pa
+
+    own: dict[int, list] = {}
+    for batch in batches:
+        for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
+            own.setdefault(bucket, []).append(np.frombuffer(entries, ENTRY))
+    for bucket, parts in own.items():
+        e = np.concatenate(parts)
+        e = e[np.lexsort((e["node"], e["n"], e["token"]))]
         e = e[np.concatenate([[True], (e["token"][1:] != e["token"][:-1]) | (e["node"][1:] != e["node"][:-1])])]
-    edge = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]])) if len(e) else np.zeros(1, np.int64)
-    size = np.diff(edge)
-    return e, edge[:-1][size > 1], size[size > 1]
+        edge = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))
+        e = e[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+        if len(e):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([e.tobytes()], pa.binary())], ["bucket", "entries"])
 
 
 def _fits(a, b):
@@ -185,67 +204,121 @@ def _pairs(x: np.ndarray, y: np.ndarray):
     return np.minimum(x["node"], y["node"]), np.maximum(x["node"], y["node"])
 
 
-def first_pairs(batches):
-    """Step 1: each node of a list with the list's first node, the one of the least name."""
-    e, begin, size = _gathered(batches)
-    out = []
-    if len(begin):
-        which = np.repeat(np.arange(len(begin)), size)
-        member = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        low = np.minimum.reduceat(e["node"][member], np.concatenate([[0], np.cumsum(size)[:-1]]))
-        lead = member[e["node"][member] == low[which]]
-        x, y = e[lead[which]], e[member]
+class _Bucket:
+    """A bucket's lists with what is known of their nodes: bitmaps and, in step 2, relations."""
+
+    def __init__(self, entries: bytes, node: np.ndarray, bitmap: np.ndarray):
+        e = np.frombuffer(entries, ENTRY)
+        at = np.minimum(np.searchsorted(node, e["node"]), max(len(node) - 1, 0))
+        own = node[at] == e["node"] if len(node) else np.zeros(len(e), bool)
+        self.e, self.at, self.bitmap = e[own], at[own], bitmap
+        edge = np.flatnonzero(np.concatenate([[True], self.e["token"][1:] != self.e["token"][:-1], [True]])) if len(self.e) else np.zeros(1, np.int64)
+        self.begin, self.size = edge[:-1], np.diff(edge)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sizes, positions and bitmaps leave the pairs of entries a chance."""
+        x, y = self.e[i], self.e[j]
         swap = x["n"] > y["n"]
-        small_, large = np.where(swap, y, x), np.where(swap, x, y)
-        own = (x["node"] != y["node"]) & _fits(small_, large)
-        out.append(_pairs(x[own], y[own]))
-    yield from _batches(out)
-
-
-def cross_pairs(batches, relation):
-    """Step 2: pairs of different relations in a list; the size window and the positions skip the rest of it."""
-    e, begin, size = _gathered(batches)
-    known, root = relation(np.unique(e["node"]))
-    name = root[np.searchsorted(known, e["node"])] if len(e) else e["node"]
-    out, made = [], 0
-    for a, k in zip(begin.tolist(), size.tolist()):
-        own, rel = e[a : a + k], name[a : a + k]
-        if (rel == rel[0]).all():
-            continue
-        top = np.searchsorted(own["n"], own["n"].astype(np.int64) * SIMILAR[1] // SIMILAR[0], "right")
-        for i in range(k - 1):
-            j = i + 1 + np.flatnonzero(rel[i + 1 : top[i]] != rel[i])
-            if len(j):
-                y = own[j]
-                j = j[_fits(np.broadcast_to(own[i], len(y)), y)]
+        n = x["n"].astype(np.int64) + y["n"]
+        out = (x["node"] != y["node"]) & _fits(np.where(swap, y, x), np.where(swap, x, y))
+        k = np.flatnonzero(out)
+        differ = np.bitwise_count(self.bitmap[self.at[i[k]]] ^ self.bitmap[self.at[j[k]]]).sum(1).astype(np.int64)
+        out[k] = differ <= n[k] - 2 * required(n[k], 0)
+        return out
+
+    def pairs(self, i: np.ndarray, j: np.ndarray):
+        return _pairs(self.e[i], self.e[j])
+
+    def leaders(self, rounds: int = 8):
+        """Step 1: (leader, node). Short lists: their node of least name with each other one. Long lists: the node nearest to the list's
+        majority, which alike sets have in their middle, with all that are near it; then the same among the rest."""
+        out = []
+        short = self.size <= SHORT_LIST
+        begin, size = self.begin[short], self.size[short]
+        if len(begin):
+            which = np.repeat(np.arange(len(begin)), size)
+            member = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            low = np.minimum.reduceat(self.e["node"][member], np.cumsum(size) - size)
+            lead = member[self.e["node"][member] == low[which]][which]
+            own = self.near(lead, member)
+            out.append((self.e["node"][lead[own]], self.e["node"][member[own]]))
+        for a, k in zip(self.begin[~short].tolist(), self.size[~short].tolist()):
+            left = np.arange(a, a + k)
+            for _ in range(rounds):
+                if len(left) < 2:
+                    break
+                bits = np.unpackbits(self.bitmap[self.at[left]], axis=1)
+                major = bits.mean(0) > 0.5
+                lead = left[np.argmin((bits != major).sum(1))]
+                own = self.near(np.full(len(left), lead), left)
+                out.append((np.full(int(own.sum()), self.e["node"][lead]), self.e["node"][left[own]]))
+                left = left[~own & (left != lead)]
+        yield from _batches(out)
+
+    def cross(self, root: np.ndarray):
+        """Step 2: pairs of different relations (root: of each entry). Lists of one relation are skipped; in the others the
+        size window and the positions skip what cannot be."""
+        if not len(self.begin):
+            return
+        mixed = np.minimum.reduceat(root, self.begin) != np.maximum.reduceat(root, self.begin)
+        out, made = [], 0
+        for k in range(2, SHORT_LIST + 1):
+            own = self.begin[mixed & (self.size == k)]
+            x, y = np.triu_indices(k, 1)
+            for at in range(0, len(own), 1 << 16):
+                i, j = ((own[at : at + (1 << 16), None] + z).ravel() for z in (x, y))
+                other = root[i] != root[j]
+                i, j = i[other], j[other]
+                near = self.near(i, j)
+                out.append(self.pairs(i[near], j[near]))
+        long = mixed & (self.size > SHORT_LIST)
+        for a, k in zip(self.begin[long].tolist(), self.size[long].tolist()):
+            n, rel = self.e["n"][a : a + k].astype(np.int64), root[a : a + k]
+            top = np.searchsorted(n, n * SIMILAR[1] // SIMILAR[0], "right")
+            for i in range(k - 1):
+                j = a + i + 1 + np.flatnonzero(rel[i + 1 : top[i]] != rel[i])
                 if len(j):
-                    out.append(_pairs(np.broadcast_to(own[i], len(j)), own[j]))
-                    made += len(j)
-        if made > 200_000:
-            yield from _batches(out)
-            out, made = [], 0
-    yield from _batches(out)
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. nodes: node, n, bitmap, doc_id (one that has the set)."""
-    pairs = pairs.distinct()
-    a, b = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    num, den = SIMILAR
+                    i_ = np.full(len(j), a + i)
+                    near = self.near(i_, j)
+                    if near.any():
+                        out.append(self.pairs(i_[near], j[near]))
+                        made += int(near.sum())
+            if made > 200_000:
+                yield from _batches(out)
+                out, made = [], 0
+        yield from _batches(out)
+
+
+def _buckets(batches):
+    for batch in batches:
+        for k, entries in enumerate(batch.column("entries").to_pylist()):
+            x = batch.column("names")[k]
+            node = np.asarray(x.values.field("node"))
+            bitmap = np.frombuffer(b"".join(x.values.field("bitmap").to_pylist()), "u1").reshape(-1, BITS // 8)
+            node, at = np.unique(node, return_index=True)
+            yield _Bucket(entries, node, bitmap[at]), batch, k
 
-    def near(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            bits = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, BITS // 8)
-            if batch.num_rows:
-                x, y = bits("ma"), bits("mb")
-                differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-                n = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-                own = pa.array(differ <= n - 2 * (-(-num * n // (den + num))))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(own), batch.column("b").filter(own)], ["a", "b"])
-
-    left = written(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a long, b long"), "near")
+def first_pairs(batches):
+    for bucket, _, _ in _buckets(batches):
+        yield from bucket.leaders()
+
+
+def cross_pairs(batches):
+    for bucket, batch, k in _buckets(batches):
+        x, root = batch.column("roots")[k], bucket.e["node"].copy()
+        if x.is_valid and len(root):
+            node, own = (np.asarray(x.values.field(c)) for c in ("node", "root"))
+            node, at = np.unique(node, return_index=True)
+            k = np.minimum(np.searchsorted(node, root), len(node) - 1)
+            root = np.where(node[k] == root, own[at][k], root)
+        yield from bucket.cross(root)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, one: bool = False) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked; with `one`, each b is tried with one a only. nodes: node, doc_id (one that has the set). Written; the sets go."""
+    num, den = SIMILAR
+    left = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one else pairs.distinct(), "near")
     wanted = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id")
 
@@ -253,11 +326,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for rows, held in _texts(batches, "node"):
-            found = [(r[0], s.tobytes()) for r, s in zip(rows, shingle_sets(held, WORDS)) if len(s) and node_of(s) == r[0]]
+            found = [(r[0], _short(s)) for r, s in zip(rows, shingle_sets(held, WORDS)) if len(s) and node_of(s) == r[0]]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "tokens"])
 
-    made = written(texts.mapInArrow(full, "node long, tokens binary"), "tokens").dropDuplicates(["node"])
+    made = written(texts.mapInArrow(full, "node long, tokens binary"), "tokens")
 
     def exact(batches):
         import pyarrow as pa
@@ -265,13 +338,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                s, t = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                s, t = _wide(x), _wide(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(den * both >= num * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     x, y = made.select(F.col("node").alias("a"), F.col("tokens").alias("x")), made.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    out = written(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct(), "links")
+    remove_table(made)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -285,14 +360,20 @@ def join(docs: DataFrame) -> DataFrame:
     made = written(sets(docs), "sets")
     own = made.where("kind = 0")
     nodes = written(own.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a node goes to each bucket that has one of its tokens: half as many buckets as partitions keep these few
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     order = _order(made)
-    posted = written(lists(docs, order, buckets).repartitionById(buckets, F.col("bucket")), "lists")
-    # files keep their bucket: a task of the two steps below takes whole buckets
-    dealt = lambda: posted.repartitionById(buckets, F.col("bucket"))
-    first = written(verified(dealt().mapInArrow(first_pairs, "a long, b long"), nodes, docs), "links")
+    # texts give their entries once; what is left of a bucket is one row, so that no step below deals entries anew
+    dealt = lists(docs, order, buckets).repartitionById(buckets, F.col("bucket"))
+    posted = written(dealt.mapInArrow(shared_lists, "bucket int, entries binary"), "lists")
+    member = posted.mapInArrow(_members, "bucket int, node long")
+    # at most as long as the bucket's own entries
+    known = member.join(nodes.select("node", "bitmap"), "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "bitmap")).alias("names"))
+    posted = written(posted.join(known, "bucket"), "lists")
+    first = verified(posted.mapInArrow(first_pairs, "a long, b long"), nodes, docs, one=True)
     relation = written(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "relations")
-    second = verified(_cross(dealt(), relation, buckets), nodes, docs)
+    roots = posted.mapInArrow(_members, "bucket int, node long").join(relation, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("roots"))
+    second = verified(posted.join(roots, "bucket", "left").mapInArrow(cross_pairs, "a long, b long"), nodes, docs)
     links = first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
     root = components(links)
     least = nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -301,43 +382,14 @@ def join(docs: DataFrame) -> DataFrame:
     return own.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _cross(dealt: DataFrame, relation: DataFrame, buckets: int) -> DataFrame:
-    """Step 2 over the lists. Only nodes in lists of two or more, with their relations, go along to the bucket."""
-
-    def members(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
-                node = np.unique(np.frombuffer(entries, ENTRY)["node"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), bucket, "i4")), pa.array(node)], ["bucket", "node"])
-
-    pairs_of = dealt.mapInArrow(members, "bucket int, node long").join(relation, "node")
-    names = pairs_of.groupBy("bucket").agg(F.collect_set(F.struct("node", "root")).alias("names")).select("bucket", F.lit(None).cast("binary").alias("entries"), "names")
-    both = dealt.select("bucket", "entries", F.lit(None).cast("array<struct<node:bigint,root:bigint>>").alias("names")).unionByName(names)
+def _members(batches):
+    """bucket, node of every node in a bucket."""
+    import pyarrow as pa
 
-    def run(batches):
-        node, root, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        for batch in batches:
-            for x in batch.column("names"):
-                if x.is_valid:
-                    node.append(np.asarray(x.values.field("node")))
-                    root.append(np.asarray(x.values.field("root")))
-            held.append(batch.filter(batch.column("entries").is_valid()))
-        node, root = np.concatenate(node), np.concatenate(root)
-        node, at = np.unique(node, return_index=True)
-        root = root[at]
-
-        def relation_of(wanted):
-            out = wanted.copy()
-            if len(node):
-                k = np.minimum(np.searchsorted(node, wanted), len(node) - 1)
-                out = np.where(node[k] == wanted, root[k], wanted)
-            return wanted, out
-
-        yield from cross_pairs(held, relation_of)
-
-    return both.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long")
+    for batch in batches:
+        for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
+            node = np.unique(np.frombuffer(entries, ENTRY)["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), bucket, "i4")), pa.array(node)], ["bucket", "node"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

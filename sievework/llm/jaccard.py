@@ -22,8 +22,8 @@ from .graph import components
 from .words import U, mix, shingle_sets
 
 WORDS, SIMILAR = 5, (80, 100)
-#: Bits of a parity bitmap.
-BITS = 512
+#: Bits of a parity bitmap: those that go to the lists, and those that pairs are tried on before the sets meet.
+BITS, WIDE_BITS = 512, 4096
 #: Frequent shingles whose counts order the tokens; any table gives the same answers.
 ORDERED = 400_000
 SEEN_OFTEN = 3
@@ -74,8 +74,8 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    odd = np.bincount((s % U(BITS)).astype(np.int64), minlength=BITS) & 1
+def _bitmap(s: np.ndarray, bits: int = BITS) -> bytes:
+    odd = np.bincount((s % U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype("u1")).tobytes()
 
 
@@ -326,11 +326,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, one: bool = Fa
         import pyarrow as pa
 
         for rows, held in _texts(batches, "node"):
-            found = [(r[0], _short(s)) for r, s in zip(rows, shingle_sets(held, WORDS)) if len(s) and node_of(s) == r[0]]
+            found = [(r[0], len(s), _bitmap(s, WIDE_BITS), _short(s)) for r, s in zip(rows, shingle_sets(held, WORDS)) if len(s) and node_of(s) == r[0]]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "bits", "tokens"])
 
-    made = written(texts.mapInArrow(full, "node long, tokens binary"), "tokens")
+    made = written(texts.mapInArrow(full, "node long, n long, bits binary, tokens binary"), "tokens")
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, WIDE_BITS // 8) for c in ("x", "y"))
+                n = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+                own = pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int64) <= n - 2 * required(n, 0))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(own) for c in ("a", "b")], ["a", "b"])
+
+    # long sets fill the small bitmaps: the wide ones decide which sets have to meet
+    x, y = made.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), made.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    left = written(left.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(near, "a long, b long").distinct(), "near")
 
     def exact(batches):
         import pyarrow as pa
@@ -360,8 +374,8 @@ def join(docs: DataFrame) -> DataFrame:
     made = written(sets(docs), "sets")
     own = made.where("kind = 0")
     nodes = written(own.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-    # a node goes to each bucket that has one of its tokens: half as many buckets as partitions keep these few
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    # a node goes to each bucket that has one of its tokens: a quarter as many buckets as partitions keep these few
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     order = _order(made)
     # texts give their entries once; what is left of a bucket is one row, so that no step below deals entries anew
     dealt = lists(docs, order, buckets).repartitionById(buckets, F.col("bucket"))

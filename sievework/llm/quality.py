@@ -16,8 +16,10 @@ from .jaccard import _texts
 from .words import U
 
 ORDER, BITS = 5, 12
-#: Quantile, by language, of the perplexity of trusted texts that the model has not seen; a text up to it is kept.
+#: Quantile, by language, of how far trusted texts that the model has not seen lie over their median; a text up to it is kept.
 HIGH = 0.995
+#: The log perplexity of a text of n characters spreads as the root of 1 + WIDEN / n: short texts vary more.
+WIDEN = 600
 #: One in so many trusted texts, by a hash of doc_id, sets the thresholds and is not trained on.
 HELD_OUT = 5
 #: Trusted texts that a language needs for thresholds of its own.
@@ -156,7 +158,7 @@ class Lookup:
 
 
 def perplexities(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, perplexity of every document; null for a text without characters.
+    """doc_id, lang, trusted, perplexity, chars of every document; perplexity is null for a text without characters.
 
     The table of n-grams is cut into shards of about SHARD, written to the shared folder; the texts pass over each in
     turn, and a document's sums are added up. Tasks read their shard there: nothing of it goes through the driver.
@@ -165,7 +167,7 @@ def perplexities(docs: DataFrame, logp: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams = logp.count()
     if not grams:
-        return docs.select("doc_id", "lang", "trusted", F.lit(None).cast("double").alias("perplexity"))
+        return docs.select("doc_id", "lang", "trusted", F.lit(None).cast("double").alias("perplexity"), F.lit(0).cast("long").alias("chars"))
     shards = -(-grams // SHARD)
     path = shared_path(spark, "model")
     logp.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).write.partitionBy("shard").parquet(path)
@@ -191,8 +193,8 @@ def perplexities(docs: DataFrame, logp: DataFrame) -> DataFrame:
         part = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "doc_id long, lang string, trusted boolean, total double, n long, chars long, text long")
         out = part if out is None else out.union(part)
     if shards > 1:
-        out = out.groupBy("doc_id", "lang", "trusted", "text").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return out.select("doc_id", "lang", "trusted", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"))
+        out = out.groupBy("doc_id", "lang", "trusted", "text").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    return out.select("doc_id", "lang", "trusted", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"), "chars")
 
 
 def hash_of(text: bytes) -> int:
@@ -205,9 +207,10 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH) -> DataFram
     """doc_id, lang, perplexity, kept of every document (columns doc_id, text, lang; others are ignored).
 
     Trusted are the documents that labels (doc_id, quality) marks with quality 1. One in HELD_OUT of them is kept from
-    training: a model knows its own texts too well to tell how it meets others. kept: the perplexity is at most the
-    quantile of the language's held-out texts (of all held-out texts where the language, or a null one, has fewer than
-    ENOUGH); without any, all are kept that have characters. Null and empty texts have no perplexity and are not kept.
+    training: a model knows its own texts too well to tell how it meets others. kept: the excess, the log
+    perplexity less its median and over the spread that WIDEN gives a text of its length, is at most the quantile of the
+    language's held-out texts (of all held-out texts where the language, or a null one, has fewer than ENOUGH); without
+    any, all are kept that have characters. So a few odd short texts do not loosen the bound of long ones. Null and empty texts have no perplexity and are not kept.
     A null doc_id is never trusted. Rows that repeat a doc_id are judged each; where labels differ, one of 1 suffices.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
@@ -215,12 +218,18 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH) -> DataFram
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     counts = written(counted(docs.withColumn("trusted", F.col("known") & ~held)), "counts")
     scores = written(perplexities(docs.withColumn("trusted", F.col("known") & held), written(probabilities(counts), "logp")), "scores")
-    cut = F.percentile_approx("perplexity", F.lit(high), F.lit(100_000))
-    unseen = scores.where("trusted and perplexity is not null")
-    by_lang = unseen.groupBy("lang").agg(F.count("*").alias("k"), cut.alias("high")).where(F.col("k") >= ENOUGH)
-    everywhere = unseen.agg(cut.alias("high_all"))
-    out = scores.join(small(by_lang), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of one number
-    return out.select("doc_id", "lang", "perplexity", F.coalesce(F.col("perplexity") <= F.coalesce("high", "high_all", F.lit(float("inf"))), F.lit(False)).alias("kept"))
+    unseen = "trusted and perplexity is not null"
+    quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(100_000))
+    log = F.log("perplexity")
+    centres = scores.where(unseen).groupBy("lang").agg(F.count("*").alias("k"), quantile(log, 0.5).alias("centre")).where(F.col("k") >= ENOUGH)
+    everywhere = scores.where(unseen).agg(quantile(log, 0.5).alias("centre_all"))
+    placed = scores.join(small(centres), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of one number
+    placed = placed.withColumn("excess", (log - F.coalesce("centre", "centre_all")) / F.sqrt(1 + WIDEN / F.greatest("chars", F.lit(1))))
+    by_lang = placed.where(unseen).where("k is not null").groupBy("lang").agg(quantile("excess", high).alias("high"))
+    everywhere = placed.where(unseen).agg(quantile("excess", high).alias("high_all"))
+    out = placed.join(small(by_lang), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of one number
+    within = F.col("excess") <= F.coalesce("high", "high_all")
+    return out.select("doc_id", "lang", "perplexity", F.when(F.col("high_all").isNull(), F.col("perplexity").isNotNull()).otherwise(F.coalesce(within, F.lit(False))).alias("kept"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

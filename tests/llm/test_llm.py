@@ -71,6 +71,22 @@ def test_quality_keeps_trusted_text_and_rejects_noise(spark):
     assert not any(got[i]["kept"] for i in range(120, 127)) and got[125]["perplexity"] is None
 
 
+def test_quality_odd_short_texts_do_not_loosen_the_bound_of_long_ones(spark):
+    rng = random.Random(7)
+    syllables = ["the", "ri", "ver", "un", "der", "old", "sto", "ne", "brid", "ges", "and", "tow", "ns", "a", "e", "lo", "mi"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    town = lambda n: " ".join(vocabulary[int(400 * rng.random() ** 2)] for _ in range(n))
+    good, short = [town(200) for _ in range(600)], ["".join(rng.choice("qxzjkvw") for _ in range(5)) for _ in range(40)]
+    shuffled = []
+    for _ in range(20):
+        shuffled.append(" ".join("".join(rng.sample(w, len(w))) if i % 4 == 0 else w for i, w in enumerate(town(200).split())))
+    rows = [(i, x, "en", "node", 5, 0.5, "key") for i, x in enumerate([*good, *short, *shuffled])]
+    labels = spark.createDataFrame([(i, 1) for i in range(500)] + [(i, 1) for i in range(600, 640)] + [(i, 0) for i in range(640, 660)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(frame(spark, rows), labels).collect()}
+    assert not any(got[i] for i in range(640, 660))
+    assert sum(got[i] for i in range(500, 600)) >= 95  # clean texts without a label
+
+
 def test_quality_probabilities_sum_to_one(spark):
     texts = ["abab cab", "bab abc", "cc"]
     docs = spark.createDataFrame([(t, True) for t in texts], "text string, trusted boolean")

@@ -191,9 +191,12 @@ def perplexities(docs: DataFrame, logp: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lang, pa.string()), pa.array(trusted, pa.bool_()), pa.array(total[begin[1:]] - total[begin[:-1]]), pa.array((n[begin[1:]] - n[begin[:-1]]).astype("i8")), pa.array(np.diff(begin).astype("i8")), pa.array([hash_of(t) for t in texts], pa.int64())], ["doc_id", "lang", "trusted", "total", "n", "chars", "text"])
 
         part = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "doc_id long, lang string, trusted boolean, total double, n long, chars long, text long")
+        part = part.withColumn("rows", F.lit(int(k == 0)))
         out = part if out is None else out.union(part)
     if shards > 1:
-        out = out.groupBy("doc_id", "lang", "trusted", "text").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("chars").alias("chars"))
+        # equal rows have equal sums: one row for all of them holds their ratio, and comes back as often as it was there
+        out = out.groupBy("doc_id", "lang", "trusted", "text").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("chars").alias("chars"), F.sum("rows").alias("rows"))
+        out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return out.select("doc_id", "lang", "trusted", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"), "chars")
 
 

@@ -87,6 +87,17 @@ def test_quality_odd_short_texts_do_not_loosen_the_bound_of_long_ones(spark):
     assert sum(got[i] for i in range(500, 600)) >= 95  # clean texts without a label
 
 
+def test_quality_shards_keep_repeated_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, 40) for _ in range(60)]
+    rows = rows_of([*texts, "", None]) + rows_of(texts[:2]) + [(None, texts[5], None, None, None, None, None)] * 3 + [(3, "another text", "en", None, None, None, None)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    judged = lambda: sorted(((r["doc_id"] or -1, r["lang"] or "", round(r["perplexity"] or 0, 4), r["kept"]) for r in quality.classify(docs, labels).collect()))
+    one = judged()
+    monkeypatch.setattr(quality, "SHARD", 1000)
+    assert judged() == one and len(one) == len(rows)
+
+
 def test_quality_probabilities_sum_to_one(spark):
     texts = ["abab cab", "bab abc", "cc"]
     docs = spark.createDataFrame([(t, True) for t in texts], "text string, trusted boolean")

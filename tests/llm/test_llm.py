@@ -168,6 +168,29 @@ def test_randomness_tells_keys_from_names():
     assert np.median([secrets.battery(k) for k in keys]) < 1e-3 < min(secrets.battery(n) for n in names)
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+NAMES = ["release", "candidate", "build", "getUser", "Config", "module", "path", "index", "static", "MAX", "VALUE", "Response", "cache", "http", "Android"]
+
+
+def names(rng, n):
+    """Names, paths, dates and versions with a digit, of at least SHORTEST characters."""
+    out = []
+    while len(out) < n:
+        sep = rng.choice(["-", "_", "/", ""])
+        name = sep.join([*rng.sample(NAMES, rng.randint(2, 4)), rng.choice(["2024-11-26", "v2", "17", "1024", "3"])])
+        out += [name] if len(name) >= secrets.SHORTEST else []
+    return out
+
+
+@pytest.mark.parametrize("length,alphabet,least", [(16, BASE64, 0.5), (20, BASE64, 0.7), (24, BASE64, 0.85), (32, BASE64, 0.95), (40, BASE64, 0.95), (24, "0123456789abcdefghijklmnopqrstuvwxyz", 0.85), (32, "0123456789abcdefghijklmnopqrstuvwxyz", 0.9)])
+def test_short_keys_rare_among_names(length, alphabet, least):
+    rng = random.Random(length)
+    keys = [k for k in ("".join(rng.choice(alphabet) for _ in range(length)) for _ in range(400)) if any(c.isdigit() for c in k)]
+    # where one candidate in a hundred is a key, the step-up accepts p up to RATE / 100
+    assert np.mean([secrets.battery(k) <= secrets.RATE / 100 for k in keys]) >= least
+    assert np.mean([secrets.battery(n) <= secrets.RATE for n in names(rng, 1000)]) <= 0.001
+
+
 def test_found_secrets_and_masks(spark):
     rng = random.Random(6)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -1,6 +1,7 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests with false-discovery control by length.
 
-A candidate is a maximal run of [A-Za-z0-9+/_=-] with a digit and a letter. Its encoding is inferred from the
+A candidate is a maximal run of [A-Za-z0-9+/_=-] with a digit and a letter, or the part of one that a key may be: names are
+joined to keys by the same characters. Of spans that overlap the one of least p stands, wide ones before their parts where p is alike. A candidate's encoding is inferred from the
 characters it uses. Each test asks how unlikely a patterned string of that length is to look as random:
 
 * alphabet uniformity: the chi-squared statistic, as its count of coinciding pairs, against a source that repeats
@@ -18,6 +19,7 @@ never loosen the threshold of long ones or the other way round.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -37,6 +39,8 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 _HINTS = ("passw", "secret", "token", "api")
 
 SHORTEST = 16
+#: Where a run may be cut besides not at all: '=' that pads nothing, and what is foreign to base64url, to base64 or to both.
+CUTS = tuple(re.compile(p) for p in (r"=+(?=[^=])", r"=+(?=[^=])|[/+]", r"=+(?=[^=])|[_-]", r"=+(?=[^=])|[/+_-]"))
 STRATA = (16, 20, 24, 32, 40, 48, 64, 96, 128)
 RATE = 0.001
 SKEW = 2.0
@@ -63,6 +67,9 @@ ENCODINGS = (
 _NEXT = ((0.75, 0.10, 0.05, 0.10), (0.05, 0.85, 0.04, 0.06), (0.06, 0.60, 0.29, 0.05), (0.25, 0.50, 0.20, 0.05))
 _LETTERS = dict(zip("etaoinsrhldcumfpgwybvkxjqz", (12, 9, 8, 7.5, 7, 6.7, 6.3, 6, 5.5, 4, 4, 3, 2.8, 2.5, 2.2, 2, 2, 2, 2, 1.5, 1, 0.8, 0.3, 0.3, 0.3, 0.3)))
 
+#: A key's own '/' or '-' may part off an end that looks like a name: a part must be that much better than what holds it.
+WHOLE = 0.9
+
 
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -174,7 +181,7 @@ def _runs(codes: np.ndarray, member: np.ndarray, shortest: int) -> np.ndarray:
 
 
 def candidates(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, p) of every candidate."""
+    """(start, end, p) of candidates that do not overlap: in each run those of least p; a part's log p counts WHOLE times for each cut."""
     codes = _codes(text)
     runs = _runs(codes, _TOKEN, SHORTEST)
     if not len(runs):
@@ -182,7 +189,31 @@ def candidates(text: str) -> list[tuple[int, int, float]]:
     digits = np.concatenate([[0], np.cumsum(_DIGIT[codes])])
     some = digits[runs[:, 1]] - digits[runs[:, 0]]
     runs = runs[(some > 0) & (some < runs[:, 1] - runs[:, 0])]
-    return [(a, b, battery(text[a:b])) for a, b in runs.tolist()]
+    out = []
+    for a, b in runs.tolist():
+        found, tries = parts(text[a:b])
+        taken = []
+        tested = ((min(1.0, battery(text[a + s : a + e]) * tries), s, e, depth) for (s, e), depth in found.items())
+        for _, _, s, e, p in sorted((WHOLE**depth * math.log10(max(p, 1e-300)), s - e, s, e, p) for p, s, e, depth in tested):
+            at = bisect.bisect(taken, (s, e))
+            if (not at or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e):
+                taken.insert(at, (s, e))
+                out.append((a + s, a + e, p))
+    return sorted(out)
+
+
+def parts(run: str) -> tuple[dict[tuple[int, int], int], int]:
+    """(the run and its parts by each of CUTS that are long enough and have a digit, with the number of cuts; how many may hold one place)."""
+    ways = {((0, len(run)),): 0}
+    for cut, depth in zip(CUTS, (1, 2, 2, 3)):
+        edge = [0, *(x for m in cut.finditer(run) for x in m.span()), len(run)]
+        ways.setdefault(tuple((s, e) for s, e in zip(edge[::2], edge[1::2]) if e - s >= SHORTEST and not run[s:e].isdigit() and any(map(str.isdigit, run[s:e]))), depth)
+    ways.pop((), None)
+    spans: dict[tuple[int, int], int] = {}
+    for way, depth in ways.items():
+        for span in way:
+            spans.setdefault(span, depth)
+    return spans, len(ways)
 
 
 def stratum(length: int) -> int:

@@ -191,6 +191,26 @@ def test_short_keys_rare_among_names(length, alphabet, least):
     assert np.mean([secrets.battery(n) <= secrets.RATE for n in names(rng, 1000)]) <= 0.001
 
 
+def test_keys_joined_to_other_text_are_masked(spark):
+    rng = random.Random(11)
+    url = BASE64[:62] + "-_"
+    key = lambda alphabet, n=40: "".join(rng.choice(alphabet) for _ in range(n - 2)) + rng.choice("Gk") + "7"
+    forms = [lambda: ("AWS_ACCESS_KEY=", key(BASE64), ""), lambda: ("https://host/some_path/", key(url), "/index-page"), lambda: ("my-build_name-", key(BASE64), "-of_us"), lambda: ("a=", key(BASE64), "=="), lambda: ("first_thing/", key(url) + "/plain_words/" + key(url), "")]
+    made = [f() for f in forms * 20]
+    docs = frame(spark, rows_of([f"see {a}{k}{b} there" for a, k, b in made] + [f"see {n}" for n in names(rng, 300)]))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    hidden = lambda k, text: not any(k[i : i + 16] in text for i in range(len(k) - 15))
+    for form in range(len(forms)):
+        assert np.mean([all(hidden(x, clean[i]) for x in made[i][1].split("/plain_words/")) for i in range(form, 100, len(forms))]) >= 0.85
+    assert all("[secret]" not in clean[i] for i in range(100, 400))
+
+
+def test_parts_of_a_run():
+    spans, tries = secrets.parts("NAME_OF_KEY=abcd/EFGH1234+ijklMNOP==")
+    assert (12, 36) in spans and (0, 36) in spans and tries == 2
+    assert secrets.parts("a1" * 10) == ({(0, 20): 0}, 1)
+
+
 def test_found_secrets_and_masks(spark):
     rng = random.Random(6)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -22,7 +22,7 @@ HIGH = 0.995
 WIDEN = 600
 #: One in so many trusted texts, by a hash of doc_id, sets the thresholds and is not trained on.
 HELD_OUT = 5
-#: Trusted texts that a language needs for thresholds of its own.
+#: Held-out texts of a language that weigh as much as those of all languages together.
 ENOUGH = 50
 #: N-grams of a shard that a task holds while it passes over its texts (48 MB, and its table).
 SHARD = 4_000_000
@@ -212,8 +212,9 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH) -> DataFram
     Trusted are the documents that labels (doc_id, quality) marks with quality 1. One in HELD_OUT of them is kept from
     training: a model knows its own texts too well to tell how it meets others. kept: the excess, the log
     perplexity less its median and over the spread that WIDEN gives a text of its length, is at most the quantile of the
-    language's held-out texts (of all held-out texts where the language, or a null one, has fewer than ENOUGH); without
-    any, all are kept that have characters. So a few odd short texts do not loosen the bound of long ones. Null and empty texts have no perplexity and are not kept.
+    language's held-out texts. Median and quantile are drawn toward those of all held-out texts, which count as ENOUGH of
+    the language's own; a null language or one without such texts has the common ones. Without any, all are kept that have
+    characters. So a few odd short texts do not loosen the bound of long ones. Null and empty texts have no perplexity and are not kept.
     A null doc_id is never trusted. Rows that repeat a doc_id are judged each; where labels differ, one of 1 suffices.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
@@ -224,14 +225,15 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH) -> DataFram
     unseen = "trusted and perplexity is not null"
     quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(100_000))
     log = F.log("perplexity")
-    centres = scores.where(unseen).groupBy("lang").agg(F.count("*").alias("k"), quantile(log, 0.5).alias("centre")).where(F.col("k") >= ENOUGH)
+    centres = scores.where(unseen).groupBy("lang").agg(F.count("*").alias("k"), quantile(log, 0.5).alias("centre")).where("lang is not null")
     everywhere = scores.where(unseen).agg(quantile(log, 0.5).alias("centre_all"))
     placed = scores.join(small(centres), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of one number
-    placed = placed.withColumn("excess", (log - F.coalesce("centre", "centre_all")) / F.sqrt(1 + WIDEN / F.greatest("chars", F.lit(1))))
+    drawn = lambda own, common: F.coalesce((F.col("k") * F.col(own) + ENOUGH * F.col(common)) / (F.col("k") + ENOUGH), F.col(common))
+    placed = placed.withColumn("excess", (log - drawn("centre", "centre_all")) / F.sqrt(1 + WIDEN / F.greatest("chars", F.lit(1))))
     by_lang = placed.where(unseen).where("k is not null").groupBy("lang").agg(quantile("excess", high).alias("high"))
     everywhere = placed.where(unseen).agg(quantile("excess", high).alias("high_all"))
     out = placed.join(small(by_lang), "lang", "left").crossJoin(F.broadcast(everywhere))  # one row of one number
-    within = F.col("excess") <= F.coalesce("high", "high_all")
+    within = F.col("excess") <= drawn("high", "high_all")
     return out.select("doc_id", "lang", "perplexity", F.when(F.col("high_all").isNull(), F.col("perplexity").isNotNull()).otherwise(F.coalesce(within, F.lit(False))).alias("kept"))
 
 

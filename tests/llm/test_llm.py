@@ -87,6 +87,17 @@ def test_quality_odd_short_texts_do_not_loosen_the_bound_of_long_ones(spark):
     assert sum(got[i] for i in range(500, 600)) >= 95  # clean texts without a label
 
 
+def test_quality_small_language_has_a_bound_of_its_own(spark):
+    rng = random.Random(9)
+    plain, easy = lambda: prose(rng, 120, 300), lambda: " ".join(rng.choice(["river", "stone", "bridges"]) for _ in range(100))
+    texts = [("en", plain()) for _ in range(900)] + [("xx", easy()) for _ in range(230)] + [("xx", plain()) for _ in range(20)] + [("yy", plain()) for _ in range(20)]
+    docs = frame(spark, [(i, t, lang, "node", 5, 0.5, "key") for i, (lang, t) in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1) for i in [*range(800), *range(900, 1080)]], "doc_id long, quality int")  # about 36 texts of xx are held out
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
+    assert sum(got[i] for i in range(800, 900)) >= 95 and sum(got[i] for i in range(1080, 1130)) >= 45
+    assert not any(got[i] for i in range(1130, 1150)) and sum(got[i] for i in range(1150, 1170)) >= 18
+
+
 def test_quality_shards_keep_repeated_rows(spark, monkeypatch):
     rng = random.Random(8)
     texts = [prose(rng, 40) for _ in range(60)]

@@ -173,4 +173,4 @@ def shipping_variants(flavors: DataFrame, types: DataFrame, skip: tuple[str, ...
     """flavor x build type as variant names, without the types that do not ship; both are short lists of a project."""
     types = types.where(~F.lower("build_type").isin(*skip))
     first_up = F.concat(F.upper(F.left("build_type", F.lit(1))), F.expr("substring(build_type, 2)"))
-    return flavors.join(F.broadcast(types.limit(10_000)), how="cross").select("flavor", "build_type", F.concat("flavor", first_up).alias("variant"))
+    return flavors.join(F.broadcast(types), how="cross").select("flavor", "build_type", F.concat("flavor", first_up).alias("variant"))

@@ -194,3 +194,9 @@ def test_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/list").collect()] == ["a", "b"]
     run = K.manifest(spark, {"engine": "x"}).first()
     assert len(run["run_id"]) == 36 and run["schema_version"] == 1
+
+
+def test_shipping_variants_keeps_every_build_type(spark):
+    flavors = spark.createDataFrame([("free",)], "flavor string")
+    types = spark.range(10_001).selectExpr("concat('t', id) as build_type")
+    assert P.shipping_variants(flavors, types).select("variant").distinct().count() == 10_001

@@ -334,12 +334,25 @@ def test_decontamination_equals_brute_force(spark):
 # --- 5 and 9
 
 
-@pytest.mark.parametrize("name,spaced", [(tokens.BYTE_BPE, True), (tokens.WORD_BPE, False)])
-def test_encoder_equals_the_library(name, spaced, corpus):
+@pytest.mark.parametrize("name,kind", [(tokens.BYTE_BPE, "byte"), (tokens.WORD_BPE, "word")])
+def test_encoder_equals_the_library(name, kind, corpus, tmp_path):
+    import shutil
+
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokens.vocabulary(name))
-    enc = tokens.Encoder(tokens.vocabulary(name), spaced, remembered=500)
+    path = shutil.copy(tokens.vocabulary(name), tmp_path / "renamed.json")  # the file's name tells nothing
+    enc = tokens.Encoder(str(path), remembered=500)
+    assert enc.kind == kind
+    rng = random.Random(2)
+    pool = [*map(chr, range(256)), *"漢字🙂—’“”…ẞıİſ\u0301\u2009\u3000\ufeffΣςабв١٢Ⅷ\u0eba\u0378\U0001f101\U00020000", *["'s", "'LL", "'re", "\n", " ", "  "] * 9, "<|endoftext|>"]
+    odd = ["".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(3000)]
+    for got, ids in zip(enc.encode_many([t.encode() for t in odd]), whole.encode_batch(odd, add_special_tokens=False)):
+        assert np.frombuffer(got, "<u4").tolist() == [*ids.ids, tokens.END_ID]
+    points = [c for c in map(chr, range(0, 0x30000, 3)) if not "\ud800" <= c < "\ue000"]
+    odd = [f"a{c}b 1{c}2 {c}'s {c}" for c in points]
+    for got, ids in zip(enc.encode_many([t.encode() for t in odd]), whole.encode_batch(odd, add_special_tokens=False)):
+        assert np.frombuffer(got, "<u4").tolist() == [*ids.ids, tokens.END_ID]
     more = ["don't  we'll I'M", "A'S İstanbul ΣΑΣ ς", "é ́x", "\x00 \x1c a \x85 b", "word. Word, (word) x-y", "a \n b\n\nc \t d", "ÀÉ! ñ? Ñ,", "1 22 333", " "]
     for text in [t or "" for _, t, *_ in corpus] + more:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
@@ -359,16 +372,32 @@ def test_pack_covers_every_id_once(spark, corpus):
         assert sum(r["length"] for r in parts) == sum(len(t) // 4 for t in texts)
         if len(texts) == 1:
             assert b"".join(r["ids"] for r in sorted(parts, key=lambda r: r["start"])) == texts[0]
+    by_number = [r["length"] for r in sorted(got, key=lambda r: r["sequence_id"])]
+    assert sum(a != b for a, b in zip(by_number, by_number[1:])) < 12  # equal lengths stand together
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_vocabulary_with_other_rules(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.load(open(tokens.vocabulary(tokens.BYTE_BPE)))
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "byte_bpe_50k.json").write_text(json.dumps(rules))
+    enc = tokens.Encoder(str(tmp_path / "byte_bpe_50k.json"))
+    ids = Tokenizer.from_file(str(tmp_path / "byte_bpe_50k.json")).encode("some words", add_special_tokens=False).ids
+    assert enc.kind == "other" and np.frombuffer(enc.encode("some words"), "<u4").tolist() == ids
+
+
 def test_token_files_round_trip(spark, corpus, tmp_path):
     docs = frame(spark, corpus)
     path = f"file://{tmp_path}/tokens"
     got = tokenfile.read_tokens(tokenfile.write_tokens(docs, path), path, with_ids=True).collect()
     enc = tokens.encoder(tokens.WORD_BPE)
     at = 0
-    ordered = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    ordered = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1] is not None, r[1] or ""))
     by_start = sorted(got, key=lambda r: r["start"])
     assert len(by_start) == len(ordered)
     for r, want in zip(by_start, ordered):
@@ -381,7 +410,7 @@ def test_token_files_round_trip(spark, corpus, tmp_path):
 
 def test_token_file_blocks():
     rng = np.random.default_rng(1)
-    for n in (1, 5, 1023, 1024, 1025, 9000):
+    for n in (1, 5, 1023, 1024, 1025, 1024 * tokenfile.STEP + 5, 9000):
         ids = np.where(rng.random(n) < 0.02, rng.integers(0, 1 << 32, n), rng.integers(500, 900, n)).astype("<u4")
         cut = sorted({0, n, *rng.integers(0, n + 1, 3).tolist()})
         lengths = np.diff(cut).tolist()
@@ -529,6 +558,71 @@ def test_toxicity_gradients():
     assert abs((vals[0] - vals[1]) / 2e-3 - row[2, 4]) < 2e-3
 
 
+def test_toxicity_equals_a_plain_loop():
+    """A window is read word by word, both ways; a text's score is that of its highest window."""
+    rng = random.Random(4)
+    net = toxicity.Network([f"w{i}" for i in range(50)], seed=3)
+    net.scale, net.shift = 2.0, 0.3
+    texts = ["", "one", prose(rng, 31, 90), prose(rng, 32, 90), prose(rng, 33, 90), prose(rng, 200, 90), "Odd-word, ÄÖ 漢字"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, H = net.p, toxicity.HIDDEN
+
+    def one(words):
+        xs = []
+        for w in map(toxicity.normal, words):
+            flat, _ = toxicity.trigrams([w])
+            xs.append(np.concatenate([p["W"][net.word.get(w, 0)], p["C"][flat].mean(0)]))
+        states = {}
+        for k, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+            h = np.zeros(H)
+            for t in order:
+                g, a = xs[t] @ p[f"X{k}"] + p[f"B{k}"], h @ p[f"U{k}"]
+                z, r = sig(g[:H] + a[:H]), sig(g[H : 2 * H] + a[H : 2 * H])
+                h = z * h + (1 - z) * np.tanh(g[2 * H :] + r * a[2 * H :])
+                states[k, t] = h
+        if not xs:
+            return float(p["c"][0])
+        s = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(xs))])
+        e = np.tanh(s @ p["A"]) @ p["v"]
+        a = np.exp(e - e.max())
+        return float((a / a.sum()) @ s @ p["o"] + p["c"][0])
+
+    for text, got in zip(texts, net.score(texts)):
+        w, cuts = text.split(), [0]
+        while cuts[-1] + toxicity.WIDTH < len(w):
+            cuts.append(cuts[-1] + toxicity.STRIDE)
+        want = sig(net.scale * max(one(w[c : c + toxicity.WIDTH]) for c in cuts) + net.shift)
+        assert abs(got - want) < 1e-4
+
+
+def test_toxicity_beyond_the_remembered_words(monkeypatch):
+    rng = random.Random(5)
+    net = toxicity.Network([f"w{i}" for i in range(50)], seed=3)
+    texts = [prose(rng, n, 900) for n in (5, 300, 80, 1200)]
+    want = net.score(texts)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 100)
+    small = toxicity.Network([f"w{i}" for i in range(50)], seed=3)
+    assert np.allclose(np.concatenate([small.score([t]) for t in texts]), want, atol=1e-5)
+
+
+def test_toxicity_sample_is_bounded_and_stable(spark):
+    rows = [(1, "b"), (1, "a"), (2, "x" * 50), (3, None), (5, "yy"), (6, "z"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 2)) for i, _ in rows if i] + [(1, 0)], "doc_id long, toxic int")
+    free = [i for i in (1, 2, 3, 5, 6) if not toxicity.held_out(i)]
+    texts, labels = toxicity.sample(docs, marks)
+    want = {1: "a", 2: "x" * 50, 3: "", 5: "yy", 6: "z"}
+    assert texts == [want[i] for i in free] and labels == [i % 2 for i in free]
+    assert sum(map(len, toxicity.sample(docs, marks, size_bytes=40)[0])) <= 40
+
+
+def test_toxicity_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "some words", 0.1, 2.0)], "doc_id long, text string, score double, score_ double")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.clean(docs, none)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "some words", 0.1, 2.0)]
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, rows_of(["some words", None]))
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -14,6 +14,8 @@ from .common import put, shared_path, store, table, written
 from .tokens import WORD_BPE, crc32, encoded
 
 BLOCK, LANE = 1024, 64
+#: Blocks that are packed or unpacked at a time.
+STEP = 256
 #: Share of a block's values that its packed width must hold; the others are exceptions.
 FITTING = 0.95
 #: Ids in a file, but for a single longer document.
@@ -45,19 +47,14 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def write_file(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A file's bytes. Header: magic, documents, ids, blocks. Then doc ids (with a null mask), lengths, the blocks'
-    minima, widths, exception counts and byte starts, the payload (for each block its words, then its exceptions'
-    positions and values). The last block is filled up with its last value.
-    """
-    n = len(ids)
-    blocks = -(-n // BLOCK)
-    v = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1] if n else 0, "<u4")]).reshape(blocks, BLOCK)
-    low = v.min(axis=1) if blocks else np.zeros(0, "<u4")
+def _packed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(minima, widths, exception counts, sizes in bytes, payload) of some whole blocks."""
+    v = ids.reshape(-1, BLOCK)
+    low = v.min(axis=1)
     d = (v - low[:, None]).astype("<u8")
     bits = np.frexp(d.astype("f8"))[1].astype("u1")  # the bit length
     at = min(BLOCK - 1, int(np.ceil(FITTING * BLOCK)) - 1)
-    width = np.partition(bits, at, axis=1)[:, at] if blocks else np.zeros(0, "u1")
+    width = np.partition(bits, at, axis=1)[:, at]
     out_of = bits > width[:, None]
     count = out_of.sum(axis=1).astype("<u2")
     size = width.astype("<u8") * (BLOCK // 8) + count.astype("<u8") * 6
@@ -73,9 +70,26 @@ def write_file(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> b
         where = np.flatnonzero(out_of[b])
         tail = where.astype("<u2").tobytes() + v[b, where].astype("<u4").tobytes()
         payload[int(start[b + 1]) - len(tail) : int(start[b + 1])] = np.frombuffer(tail, "u1")
+    return low.astype("<u4"), width, count, size, payload.tobytes()
+
+
+def write_file(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    """A file's bytes. Header: magic, documents, ids, blocks. Then doc ids (with a null mask), lengths, the blocks'
+    minima, widths, exception counts and byte starts, the payload (for each block its words, then its exceptions'
+    positions and values). The last block is filled up with its last value. STEP blocks are packed at a time.
+    """
+    n = len(ids)
+    blocks = -(-n // BLOCK)
+    made = []
+    for at in range(0, blocks, STEP):
+        own = ids[at * BLOCK : (at + STEP) * BLOCK]
+        made.append(_packed(np.concatenate([own, np.full(-len(own) % BLOCK, own[-1], "<u4")])))
+    empty = (np.zeros(0, "<u4"), np.zeros(0, "u1"), np.zeros(0, "<u2"), np.zeros(0, "<u8"))
+    low, width, count, size = (np.concatenate(x) for x in zip(*(m[:4] for m in made))) if made else empty
+    start = np.concatenate([[0], np.cumsum(size)]).astype("<u8")
     null = np.array([x is None for x in docs], "u1")
-    parts = [_HEAD.pack(MAGIC, len(docs), n, blocks), np.array([x or 0 for x in docs], "<i8"), null, np.array(lengths, "<u8"), low.astype("<u4"), width, count, start, payload]
-    return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
+    parts = [_HEAD.pack(MAGIC, len(docs), n, blocks), np.array([x or 0 for x in docs], "<i8"), null, np.array(lengths, "<u8"), low, width, count, start]
+    return b"".join([p if isinstance(p, bytes) else p.tobytes() for p in parts] + [m[4] for m in made])
 
 
 def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -91,12 +105,13 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     payload = np.frombuffer(data, "u1", offset=buf.tell())
     v = np.zeros((blocks, BLOCK), "<u4")
     for w in np.unique(width):
-        own = np.flatnonzero(width == w)
-        size = int(w) * BLOCK // 8
-        words = np.empty((len(own), size), "u1")
-        for k, b in enumerate(own):
-            words[k] = payload[int(start[b]) : int(start[b]) + size]
-        v[own] = (_unpack(words.view("<u8").reshape(-1, int(w)), int(w)).reshape(len(own), BLOCK) if w else np.zeros((len(own), BLOCK), "<u8")) + low[own, None]
+        every, size = np.flatnonzero(width == w), int(w) * BLOCK // 8
+        for at in range(0, len(every), STEP):
+            own = every[at : at + STEP]
+            words = np.empty((len(own), size), "u1")
+            for k, b in enumerate(own):
+                words[k] = payload[int(start[b]) : int(start[b]) + size]
+            v[own] = (_unpack(words.view("<u8").reshape(-1, int(w)), int(w)).reshape(len(own), BLOCK) if w else np.zeros((len(own), BLOCK), "<u8")) + low[own, None]
     for b in np.flatnonzero(count):
         tail, k = payload[int(start[b + 1]) - 6 * int(count[b]) : int(start[b + 1])].tobytes(), int(count[b])
         v[b, np.frombuffer(tail, "<u2", k)] = np.frombuffer(tail, "<u4", k, 2 * k)
@@ -108,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = WORD_BPE) -> Data
 
     Returns the manifest: part, seq, file, n_docs, n_tokens; files in the order of (part, seq) hold the documents in
     order. One range shuffle of the texts; a task holds one file's ids at a time. Null doc_ids come first; rows with
-    one doc_id are ordered by text; a null text is empty.
+    one doc_id are ordered by their text's hash, then text, so that a doc_id with many rows fills many tasks; a null text is empty.
     """
 
     def run(batches):
@@ -139,7 +154,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = WORD_BPE) -> Data
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     return written(ordered.mapInArrow(run, "part long, seq long, file string, n_docs long, n_tokens long"), "manifest")
 
 
@@ -155,7 +171,7 @@ def read_tokens(manifest: DataFrame, path: str, with_ids: bool = False) -> DataF
                 docs, lengths, ids = read_file(content)
                 end = np.cumsum(lengths).astype("i8")
                 view = memoryview(ids.astype("<u4").tobytes())
-                cuts = [view[4 * (e - k) : 4 * e] for e, k in zip(end.tolist(), lengths.tolist())]
+                cuts = [view[4 * (e - int(k)) : 4 * e] for e, k in zip(end.tolist(), lengths.tolist())]
                 columns = [pa.array(docs, pa.int64()), pa.array(base + end - lengths.astype("i8"), pa.int64()), pa.array(lengths.astype("i8"), pa.int64()), pa.array([crc32(c) for c in cuts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([bytes(c) for c in cuts] if with_ids else [None] * len(cuts), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 

@@ -13,19 +13,31 @@ CHECKPOINT = "spark.checkpoint.dir"
 BROADCAST_ROWS = 1_000_000
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, where they are not smaller already. Plans take the bounds when they run, so they
+    stay set; call it for DataFrames that did not come from table()."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. Where the cluster names none, a local session gets one of its own (driver and
+    executors are one process there); any other must name it."""
     base = spark.conf.get(CHECKPOINT, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError(f"set {CHECKPOINT} to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set(CHECKPOINT, base)
     return base.rstrip("/")

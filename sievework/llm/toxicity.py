@@ -15,19 +15,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-#: Labelled texts that training may use, half of them toxic at most: the bound of the sample.
-SAMPLE = 2_000
+#: The bounds of the training sample: labelled texts, half of them toxic at most, and their bytes (those first in the order of a hash).
+SAMPLE, SAMPLE_BYTES = 2_400, 64 << 20
 WIDTH, STRIDE = 32, 24
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 12, 16, 12, 12
 VOCABULARY, TRIGRAMS = 20_000, 1 << 14
-STEPS, TEXTS, RATE = 220, 32, 0.01
+STEPS, TEXTS, RATE = 320, 32, 0.01
+#: The first fifth of the steps trains on this many windows drawn from its texts, as the network cannot choose yet.
+DRAWN = 256
+#: Windows that go through the network at a time.
+AT_ONCE = 1024
 #: Share of words that a training step shows by their characters only.
 HIDDEN_WORDS = 0.5
 THRESHOLD = 0.7
 #: Words whose inputs a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 _EDGES = ".,;:!?\"'()[]{}<>|*_-–—«»¿¡…"
 _sigmoid = lambda x: 1 / (1 + np.exp(-x))
 
@@ -78,8 +82,12 @@ class Network:
         self.clear()
 
     def clear(self) -> None:
+        """Forgets the words met so far."""
         self.row: dict[str, int] = {}
         self.words: list[str] = ["-"]
+        self.gates: dict[str, np.ndarray] = {}
+
+    def _open(self) -> None:
         self.gates = {k: np.empty((REMEMBERED + 1, 3 * HIDDEN), "f4") for k in "fb"}
         for g in self.gates.values():
             g[0] = self._padding()
@@ -111,7 +119,10 @@ class Network:
             self.clear()
             new = list(set(chain.from_iterable(words)))
             if len(new) > REMEMBERED:  # one very long text
+                self._open()
                 self.gates = {k: np.concatenate([g[:1], np.empty((len(new), 3 * HIDDEN), "f4")]) for k, g in self.gates.items()}
+        if gates and not self.gates:
+            self._open()
         if new:
             at = len(self.row) + 1
             self.row.update(zip(new, range(at, at + len(new))))
@@ -154,6 +165,10 @@ class Network:
             keep |= {"s": s, "hidden": hidden, "a": a, "pooled": pooled}
         return pooled @ p["o"] + p["c"][0]
 
+    def all_logits(self, w: np.ndarray, gates) -> np.ndarray:
+        """Of any number of windows, AT_ONCE at a time."""
+        return np.concatenate([self.logits(w[at : at + AT_ONCE], gates) for at in range(0, len(w), AT_ONCE)] or [np.zeros(0, "f4")])
+
     def gradients(self, w: np.ndarray, keep: dict, d: np.ndarray):
         """Of the parameters but W, C, X and B, and of the gates' rows, for the loss's gradient d on the logits."""
         p, g = self.p, {}
@@ -187,8 +202,7 @@ class Network:
         """Each text's score: the highest of its windows' logits, calibrated."""
         w, of = windows(self.rows(texts))
         out = np.full(len(texts), -np.inf)
-        for at in range(0, len(w), 1024):
-            np.maximum.at(out, of[at : at + 1024], self.logits(w[at : at + 1024], self.gates))
+        np.maximum.at(out, of, self.all_logits(w, self.gates))
         return _sigmoid(np.clip(self.scale * out + self.shift, -60, 60))
 
 
@@ -237,8 +251,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         docs = np.concatenate([rng.choice(good, TEXTS // 2), rng.choice(bad, TEXTS // 2)])
         w, of = windows([rows[i] for i in docs])
         warm = step < STEPS // 5
-        if len(w) > 4096 or warm:
-            own = np.sort(rng.permutation(len(w))[: 256 if warm else 4096])
+        if warm:
+            own = np.sort(rng.permutation(len(w))[:DRAWN])
             w, of = w[own], of[own]
         used, inverse = np.unique(w, return_inverse=True)
         w = inverse.reshape(w.shape) + (0 if used[0] == 0 else 1)
@@ -246,7 +260,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             used = np.concatenate([[0], used])
         word, (flat, begin), x, gates = made(used, rng.random(len(used)) < HIDDEN_WORDS)
         if not warm:
-            at = np.lexsort((-net.logits(w, gates), of))
+            at = np.lexsort((-net.all_logits(w, gates), of))
             rank = np.arange(len(at)) - np.searchsorted(of[at], of[at])
             own = at[rank < 2]
             w, of = w[own], of[own]
@@ -282,7 +296,7 @@ def _calibrate(net: Network, texts: list[str], y: np.ndarray) -> None:
         return
     w, of = windows(net.rows(texts))
     z = np.full(len(texts), -np.inf)
-    np.maximum.at(z, of, net.logits(w, net.gates))
+    np.maximum.at(z, of, net.all_logits(w, net.gates))
     net.clear()
     cuts = np.unique(z)
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
@@ -293,23 +307,32 @@ def _calibrate(net: Network, texts: list[str], y: np.ndarray) -> None:
     net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD))) - net.scale * cut
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most `size` labelled texts outside the held-out third, at most half of them toxic, the least by a hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, size_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """At most `size` labelled texts of `size_bytes` outside the held-out third, at most half of them toxic, the least by a hash of doc_id.
+
+    Where rows share a doc_id the least text counts, where labels do any toxic one; so the sample is the same in each run.
+    """
     doc = F.col("doc_id").cast("string")
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(doc) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = [known.where(f"toxic {c} 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2) for c in ("<>", "=")]
     chosen = pick[0].union(pick[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    drawn = written(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    sizes = drawn.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # at most `size` rows
+    sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
+    fits = np.cumsum([r["n"] for r in sizes]) <= size_bytes
+    kept = [r["doc_id"] for r, ok in zip(sizes, fits) if ok]
+    rows = (drawn if len(kept) == len(sizes) else drawn.where(F.col("doc_id").isin(kept))).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] or "" for r in rows], [int(r["toxic"] != 0) for r in rows]
+    return [r["text"] for r in rows], [int(r["toxic"] != 0) for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return train(*sample(docs, labels))
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns, and `score`: of every whole text. A null or empty text has the score of a window without words."""
+def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """All columns, and one called `name`: the score of every whole text. A null or empty text has the score of a window without words."""
     model = docs.sparkSession.sparkContext.broadcast(net)
     names = docs.columns
 
@@ -328,9 +351,10 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             if own:
                 out.append(net.score(own))
             score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), score], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), score], [*names, name])
+        net.clear()  # a worker keeps nothing for its next task
 
-    schema = docs.schema.fromJson(docs.schema.jsonValue()).add("score", "double")
+    schema = docs.schema.fromJson(docs.schema.jsonValue()).add(name, "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -347,12 +371,10 @@ def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns."""
-    names = docs.columns
-    hidden = "score" if "score" not in names else None
-    if hidden is None:  # a column of that name is carried under another
-        docs = docs.withColumnRenamed("score", "__score")
-    out = scored(docs, fit(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
-    return out if hidden else out.withColumnRenamed("__score", "score").select(names)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, fit(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

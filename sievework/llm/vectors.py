@@ -1,9 +1,10 @@
 """Near copies among embeddings by an epsilon grid order join (after Boehm et al., 2001).
 
 Unit vectors are turned to their principal axes; a grid of the join's radius on the leading axes orders them. Runs of
-that order are blocks with a box. Blocks, then halves of blocks, are joined recursively; two intervals whose boxes lie
-further apart than the radius are skipped. The rotation and the boxes decide only what is skipped: a link is a cosine of
-the vectors themselves, in double precision.
+that order are blocks of bounded bytes with a box. Blocks, then halves of blocks, are joined recursively; two intervals
+whose boxes lie further apart than the radius are skipped. In a leaf the leading axes and the length of what the others
+hold bound each cosine from above, and whole vectors meet only where that bound leaves a chance. Rotation, boxes and bounds
+decide only what is skipped: a link is a cosine of the vectors themselves, in double precision.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import arrow_map, put, shared_path, small, store, table, written
 from .graph import components
 
 COSINE = 0.95
-#: Leading axes of the grid, vectors from which the axes are taken, vectors of a block at least, blocks at most, and of a leaf.
-AXES, FITTED, BLOCK, BLOCKS, LEAF = 6, 20_000, 1024, 4096, 64
-#: What rounding may move a coordinate of a unit vector.
-SLACK = 1e-7
+#: Leading axes of the grid and the boxes, and vectors from which the axes are taken.
+AXES, FITTED = 16, 20_000
+#: Vectors of a block at least, its bytes at most, blocks that give small tables tasks enough, vectors of a leaf, partners in a row.
+BLOCK, BLOCK_BYTES, SPREAD, LEAF, PARTNERS = 1024, 4 << 20, 48, 256, 16
+#: What rounding may move a coordinate of a unit vector, and a bound in single precision.
+SLACK, BOUND_SLACK = 1e-7, 1e-4
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -32,6 +35,12 @@ def radius(cosine: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
 
 
+def bounding(p: np.ndarray) -> np.ndarray:
+    """Leading coordinates of unit vectors and the length of the rest: products of these rows are at least the cosines."""
+    rest = np.sqrt(np.maximum(0, 1 - (p * p).sum(1)))
+    return np.concatenate([p, rest[:, None]], 1).astype("f4")
+
+
 def apart(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
     gap = np.maximum(0, np.maximum(lo_b - hi_a, lo_a - hi_b))
     return bool((gap * gap).sum() > eps * eps)
@@ -47,6 +56,7 @@ class _Join:
         """a, b: (node, copies, unit vectors), in grid order. Returns links of each row of a and of b, and star edges."""
         self.a, self.b, self.same = a, b, same
         self.pa, self.pb = a[2] @ self.axes, b[2] @ self.axes
+        self.fa, self.fb = bounding(self.pa), bounding(self.pb)
         self.na, self.nb = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
         self.parent: dict[int, int] = {}
         self._go(0, len(a[0]), 0, len(b[0]))
@@ -74,11 +84,16 @@ class _Join:
                 self._go(*i, *j)
 
     def _leaf(self, i0, i1, j0, j1):
-        near = self.a[2][i0:i1] @ self.b[2][j0:j1].T >= self.cosine
+        near = self.fa[i0:i1] @ self.fb[j0:j1].T >= self.cosine - BOUND_SLACK
+        if self.same and i0 == j0:
+            np.fill_diagonal(near, False)
+        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(rows):
+            return
+        near[np.ix_(rows, cols)] &= self.a[2][i0:i1][rows] @ self.b[2][j0:j1][cols].T >= self.cosine
         if self.same:
             near &= np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None]
-        rows, cols = np.nonzero(near)
-        if not len(rows):
+        if not near.any():
             return
         self.na[i0:i1] += near @ self.b[1][j0:j1]
         self.nb[j0:j1] += near.T @ self.a[1][i0:i1]
@@ -96,37 +111,37 @@ class _Join:
                 self.parent[max(p, q)] = min(p, q)
 
 
-def block_pairs(boxes: list[tuple[int, list[float], list[float]]], eps: float) -> list[tuple[int, int]]:
-    """Pairs of blocks (and each with itself) whose boxes are not apart, by recursion over intervals of the sequence."""
-    boxes = sorted(boxes)
-    lo, hi = (np.array([b[k] for b in boxes]).reshape(len(boxes), -1) for k in (1, 2))
+def partners(lo: np.ndarray, hi: np.ndarray, i: int, eps: float) -> list[int]:
+    """The blocks from i on whose boxes are not apart from its own, by recursion over intervals of the sequence."""
     out = []
 
-    def go(i0, i1, j0, j1):
-        if i0 >= i1 or j0 >= j1 or j1 <= i0 or apart(lo[i0:i1].min(0), hi[i0:i1].max(0), lo[j0:j1].min(0), hi[j0:j1].max(0), eps):
+    def go(j0, j1):
+        if j0 >= j1 or apart(lo[i], hi[i], lo[j0:j1].min(0), hi[j0:j1].max(0), eps):
             return
-        if i1 - i0 == 1 and j1 - j0 == 1:
-            if i0 <= j0:
-                out.append((boxes[i0][0], boxes[j0][0]))
+        if j1 - j0 == 1:
+            out.append(j0)
             return
-        mi, mj = (i0 + i1 + 1) // 2, (j0 + j1 + 1) // 2
-        for i in ((i0, mi), (mi, i1)):
-            for j in ((j0, mj), (mj, j1)):
-                go(*i, *j)
+        m = (j0 + j1 + 1) // 2
+        go(j0, m)
+        go(m, j1)
 
-    go(0, len(boxes), 0, len(boxes))
+    go(i, len(lo))
     return out
 
 
 def links(classes: DataFrame, size: int, cosine: float) -> DataFrame:
-    """kind 0: links (v) of node u that one pair of blocks gives; kind 1: an edge u, v. classes: node, vector, copies; all of one size."""
+    """kind 0: links (v) of node u that one pair of blocks gives; kind 1: an edge u, v. classes: node, vector, copies; all of one size.
+
+    Blocks are files in the shared folder; a task takes a block and some of its partners and reads them there. The driver
+    has the blocks' boxes only: 2 * AXES numbers for BLOCK_BYTES of vectors.
+    """
     spark = classes.sparkSession
     n = classes.count()
     fitted = _unit(np.array([r[0] for r in classes.orderBy(F.xxhash64("node")).limit(FITTED).select("vector").collect()], "f8").reshape(-1, size))
     axes = np.linalg.eigh(np.cov(fitted.T) if len(fitted) > 1 else np.eye(size))[1][:, ::-1][:, :AXES] if size > 1 else np.eye(1)
     eps = radius(cosine)
-    block = max(BLOCK, -(-n // BLOCKS))
-    m = axes.shape[1]
+    block = max(1, min(max(BLOCK, -(-n // SPREAD)), BLOCK_BYTES // (8 * size) or 1))
+    path = shared_path(spark, "blocks")
 
     def located(batches):
         import pyarrow as pa
@@ -134,64 +149,87 @@ def links(classes: DataFrame, size: int, cosine: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                cell = np.floor(_unit(v) @ axes / eps).astype("i4")
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("vector"), *(pa.array(cell[:, k]) for k in range(m))], ["node", "copies", "vector", *(f"c{k}" for k in range(m))])
+                cell = np.clip(np.floor(_unit(v) @ axes / eps) + 32768, 0, 65535).astype(">u2")
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("vector"), pa.array([c.tobytes() for c in cell], pa.binary())], ["node", "copies", "vector", "cell"])
 
-    cells = [f"c{k}" for k in range(m)]
     kind = classes.schema["vector"].dataType.simpleString()
-    ordered = classes.mapInArrow(located, f"node long, copies long, vector {kind}, " + ", ".join(f"{c} int" for c in cells))
+    ordered = arrow_map(classes, located, f"node long, copies long, vector {kind}, cell binary")
     parts = max(1, -(-n // (8 * block)))
-    ordered = ordered.repartitionByRange(parts, *cells, "node").sortWithinPartitions(*cells, "node")
+    ordered = ordered.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node")
 
     def blocks(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, made, own = TaskContext.get().partitionId(), 0, []
+        fs, top = store(path)
+        fs.create_dir(top, recursive=True)
+        part, made, own, held = TaskContext.get().partitionId(), 0, [], 0
 
         def done(rows):
             nonlocal made
             node, copies, v = (np.concatenate(x) for x in zip(*rows))
             p = _unit(v) @ axes
+            name = f"{part:08d}-{made:08d}"
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + made]), pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64())), pa.array([node.astype("<i8").tobytes()]), pa.array([copies.astype("<i8").tobytes()]), pa.array([v.astype("<f8").tobytes()])], ["block", "lo", "hi", "node", "copies", "vectors"])
+            put(fs, f"{top}/{name}", node.astype("<i8").tobytes() + copies.astype("<i8").tobytes() + v.astype("<f8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64()))], ["block", "lo", "hi"])
 
-        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                some = batch.slice(at, block)
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, block - held)
                 own.append((some.column("node").to_numpy(), some.column("copies").to_numpy(), some.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)))
-                held += some.num_rows
-                if held >= block:
+                held, at = held + some.num_rows, at + some.num_rows
+                if held == block:
                     yield done(own)
                     own, held = [], 0
         if own:
             yield done(own)
 
-    laid = written(ordered.mapInArrow(blocks, "block long, lo array<double>, hi array<double>, node binary, copies binary, vectors binary"), "blocks")
-    # at most about 2 * BLOCKS boxes of AXES numbers, whatever the number of vectors
-    pairs = block_pairs([tuple(r) for r in laid.select("block", "lo", "hi").collect()], eps)
-    if not pairs:
+    boxes = sorted(tuple(r) for r in written(arrow_map(ordered, blocks, "block string, lo array<double>, hi array<double>"), "boxes").collect())
+    if not boxes:
         return spark.createDataFrame([], "kind int, u long, v long")
-    todo = spark.createDataFrame(pairs, "a long, b long").repartition(max(1, min(len(pairs), 4 * spark.sparkContext.defaultParallelism)))
-    side = lambda s: laid.select(F.col("block").alias(s), F.struct("node", "copies", "vectors").alias(f"x{s}"))
+    shared = spark.sparkContext.broadcast(([b[0] for b in boxes], *(np.array([b[k] for b in boxes]) for k in (1, 2))))
+
+    def met(batches):
+        import pyarrow as pa
+
+        _, lo, hi = shared.value
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                own = partners(lo, hi, i, eps)
+                rows = [own[at : at + PARTNERS] for at in range(0, len(own), PARTNERS)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["a", "bs"])
+
+    todo = arrow_map(spark.range(len(boxes)), met, "a long, bs array<long>")
+    tasks = max(1, min(len(boxes) * (len(boxes) // PARTNERS + 1), 4 * spark.sparkContext.defaultParallelism))
+    todo = written(todo.repartition(tasks), "partners")
 
     def run(batches):
         import pyarrow as pa
 
+        names = shared.value[0]
+        fs, top = store(path)
         join = _Join(axes, cosine)
-        take = lambda x: (np.frombuffer(x["node"], "<i8"), np.frombuffer(x["copies"], "<i8"), _unit(np.frombuffer(x["vectors"], "<f8").reshape(-1, size)))
+
+        def take(i):
+            with fs.open_input_stream(f"{top}/{names[i]}") as f:
+                data = f.read()
+            k = len(data) // (16 + 8 * size)
+            return np.frombuffer(data, "<i8", k), np.frombuffer(data, "<i8", k, 8 * k), _unit(np.frombuffer(data, "<f8", k * size, 16 * k).reshape(-1, size))
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = take(batch.column("xa")[k].as_py()), take(batch.column("xb")[k].as_py())
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                na, nb, edges = join.run(a, b, same)
-                u = np.concatenate([a[0][na > 0], b[0][nb > 0], np.array([e[0] for e in edges], np.int64)])
-                v = np.concatenate([na[na > 0], nb[nb > 0], np.array([e[1] for e in edges], np.int64)])
-                what = np.concatenate([np.zeros(len(u) - len(edges), "i4"), np.ones(len(edges), "i4")])
-                yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(u), pa.array(v)], ["kind", "u", "v"])
-
-    return todo.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "kind int, u long, v long")
+            for i, js in zip(batch.column("a").to_pylist(), batch.column("bs").to_pylist()):
+                a = take(i)
+                for j in js:
+                    b = a if i == j else take(j)
+                    na, nb, edges = join.run(a, b, i == j)
+                    u = np.concatenate([a[0][na > 0], b[0][nb > 0], np.array([e[0] for e in edges], np.int64)])
+                    v = np.concatenate([na[na > 0], nb[nb > 0], np.array([e[1] for e in edges], np.int64)])
+                    what = np.concatenate([np.zeros(len(u) - len(edges), "i4"), np.ones(len(edges), "i4")])
+                    yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(u), pa.array(v)], ["kind", "u", "v"])
+
+    return arrow_map(todo.repartition(tasks), run, "kind int, u long, v long")
 
 
 def near_copies(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

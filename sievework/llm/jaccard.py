@@ -3,12 +3,14 @@
 Equal sets are one node. A node's prefix, its tokens in one global order (frequent ones last), goes to the lists of
 these tokens. Answers are found in two steps (set relations, after Wang et al., 2017):
 
-1. In each list nodes are tried with a leader, the node in the middle of the list. What is linked forms a relation: its
-   sets are so alike that one's answers are the others'.
-2. In each list only nodes of different relations are tried, in the blocks that size and position leave. Inside a
-   relation nothing is left to find, so a group of many near copies costs a pass and not its square.
-
-Pairs are tried on parity bitmaps (a lower bound of the difference) where their list is, then verified on the full sets.
+1. In each list nodes are tried with a leader, the node in the middle of the list. What is linked forms a relation, and a
+   set's difference from its leader is kept.
+2. In each list only nodes of different relations are tried. Long lists are cut into blocks by size, and a pair of blocks is
+   skipped whole where their sizes, positions or relations leave no chance. What remains is answered from the leaders: the
+   overlap of two leaders is computed once, and those of the sets like them follow from it by the small differences.
+   Inside a relation nothing is left to find, so a group of many near copies costs a pass and not its square.
+
+Pairs are tried on parity bitmaps (a lower bound of the difference) where their list is, before any set is read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove_table, small, table, written
+from .common import arrow_map, remove_table, small, table, written
 from .graph import components
 from .words import U, mix, shingle_sets
 
@@ -31,6 +33,8 @@ SEEN_OFTEN = 3
 STEP = 1 << 20
 #: Lists up to this size are tried at once, pair by pair.
 SHORT_LIST = 12
+#: Entries of a list's block, whose bounds may skip it whole; bytes of entries in a bucket; pairs whose answers one row derives.
+BLOCK, BUCKET_BYTES, DERIVED = 64, 256 << 20, 256
 ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -107,7 +111,7 @@ def sets(docs: DataFrame) -> DataFrame:
         if held:
             yield often()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, node long, bitmap binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "kind int, doc_id long, n long, node long, bitmap binary")
 
 
 def _order(made: DataFrame):
@@ -164,7 +168,7 @@ def lists(docs: DataFrame, order, buckets: int) -> DataFrame:
         if held:
             yield dealt()
 
-    return docs.select("text").mapInArrow(run, "bucket int, entries binary")
+    return arrow_map(docs.select("text"), run, "bucket int, entries binary")
 
 
 def shared_lists(batches):
@@ -204,6 +208,25 @@ def _pairs(x: np.ndarray, y: np.ndarray):
     return np.minimum(x["node"], y["node"]), np.maximum(x["node"], y["node"])
 
 
+def blocks(e: np.ndarray, root: np.ndarray):
+    """(from, to, from, to) of the pairs of a list's blocks that sizes, positions and relations leave a chance; the others are skipped whole.
+
+    The list is sorted by size, and a block's bounds are its least and largest size, the most that any position leaves,
+    and its least and largest relation.
+    """
+    first = np.arange(0, len(e), BLOCK)
+    last = np.minimum(first + BLOCK, len(e))
+    n = e["n"].astype(np.int64)
+    low, high, rest = n[first], n[last - 1], np.maximum.reduceat(n - e["pos"], first)
+    least, most = np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
+    for x in range(len(first)):
+        y = np.arange(x, np.searchsorted(low, high[x] * SIMILAR[1] // SIMILAR[0], "right"))
+        one = (least[x] == most[x]) & (least[y] == most[y]) & (least[x] == least[y])
+        y = y[(np.minimum(rest[x], rest[y]) >= required(low[x], low[y])) & ~one]
+        for k in y.tolist():
+            yield int(first[x]), int(last[x]), int(first[k]), int(last[k])
+
+
 class _Bucket:
     """A bucket's lists with what is known of their nodes: bitmaps and, in step 2, relations."""
 
@@ -256,8 +279,8 @@ class _Bucket:
         yield from _batches(out)
 
     def cross(self, root: np.ndarray):
-        """Step 2: pairs of different relations (root: of each entry). Lists of one relation are skipped; in the others the
-        size window and the positions skip what cannot be."""
+        """Step 2: pairs of different relations (root: of each entry). Lists of one relation are skipped, and in long lists the
+        blocks that cannot hold a pair."""
         if not len(self.begin):
             return
         mixed = np.minimum.reduceat(root, self.begin) != np.maximum.reduceat(root, self.begin)
@@ -273,16 +296,14 @@ class _Bucket:
                 out.append(self.pairs(i[near], j[near]))
         long = mixed & (self.size > SHORT_LIST)
         for a, k in zip(self.begin[long].tolist(), self.size[long].tolist()):
-            n, rel = self.e["n"][a : a + k].astype(np.int64), root[a : a + k]
-            top = np.searchsorted(n, n * SIMILAR[1] // SIMILAR[0], "right")
-            for i in range(k - 1):
-                j = a + i + 1 + np.flatnonzero(rel[i + 1 : top[i]] != rel[i])
-                if len(j):
-                    i_ = np.full(len(j), a + i)
-                    near = self.near(i_, j)
-                    if near.any():
-                        out.append(self.pairs(i_[near], j[near]))
-                        made += int(near.sum())
+            for x0, x1, y0, y1 in blocks(self.e[a : a + k], root[a : a + k]):
+                i, j = (z.ravel() for z in np.meshgrid(np.arange(a + x0, a + x1), np.arange(a + y0, a + y1), indexing="ij"))
+                own = (i < j) & (root[i] != root[j])
+                i, j = i[own], j[own]
+                near = self.near(i, j)
+                if near.any():
+                    out.append(self.pairs(i[near], j[near]))
+                    made += int(near.sum())
             if made > 200_000:
                 yield from _batches(out)
                 out, made = [], 0
@@ -315,11 +336,11 @@ def cross_pairs(batches):
         yield from bucket.cross(root)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, one: bool = False) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked; with `one`, each b is tried with one a only. nodes: node, doc_id (one that has the set). Written; the sets go."""
-    num, den = SIMILAR
-    left = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one else pairs.distinct(), "near")
-    wanted = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
+def _near(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the pairs that wide bitmaps leave, the sets of their nodes and of `also`). nodes: node, doc_id (one that has the set); both are written."""
+    left = written(pairs, "near")
+    wanted = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node")))
+    wanted = (wanted.union(also.select("node")) if also is not None else wanted).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id")
 
     def full(batches):
@@ -330,7 +351,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, one: bool = Fa
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "bits", "tokens"])
 
-    made = written(texts.mapInArrow(full, "node long, n long, bits binary, tokens binary"), "tokens")
+    # rows that repeat a doc_id and its set give it more than once
+    made = written(arrow_map(texts, full, "node long, n long, bits binary, tokens binary").dropDuplicates(["node"]), "tokens")
 
     def near(batches):
         import pyarrow as pa
@@ -344,21 +366,81 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, one: bool = Fa
 
     # long sets fill the small bitmaps: the wide ones decide which sets have to meet
     x, y = made.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), made.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
-    left = written(left.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(near, "a long, b long").distinct(), "near")
+    return written(arrow_map(left.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y"), near, "a long, b long"), "near"), made
+
+
+def computed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of pairs (a, b), from their whole sets, with what b's lacks and has beyond a's (minus, plus). Each b is tried
+    with its least a only. Written; the sets go."""
+    num, den = SIMILAR
+    left, made = _near(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs)
 
     def exact(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            out = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
                 s, t = _wide(x), _wide(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(den * both >= num * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+                if den * both >= num * (len(s) + len(t) - both):
+                    out.append((a, b, _short(np.setdiff1d(s, t, assume_unique=True)), _short(np.setdiff1d(t, s, assume_unique=True))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["a", "b", "minus", "plus"])
 
     x, y = made.select(F.col("node").alias("a"), F.col("tokens").alias("x")), made.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    out = written(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct(), "links")
+    out = written(arrow_map(left.join(x, "a").join(y, "b").select("a", "b", "x", "y"), exact, "a long, b long, minus binary, plus binary"), "links")
+    remove_table(made)
+    return out
+
+
+def _has(t: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of t are in the sorted s."""
+    if not len(s):
+        return np.zeros(len(t), bool)
+    return s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t
+
+
+def overlap(r: np.ndarray, s: np.ndarray, both: int, minus_a, plus_a, minus_b, plus_b) -> int:
+    """The overlap of a = r - minus_a + plus_a with b = s - minus_b + plus_b, from that of r with s and the differences alone."""
+    both += int(_has(plus_a, s).sum()) - int(_has(minus_a, s).sum())
+    in_a = lambda t: (_has(t, r) & ~_has(t, minus_a)) | _has(t, plus_a)
+    return both + int(in_a(plus_b).sum()) - int(in_a(minus_b).sum())
+
+
+def derived(pairs: DataFrame, like: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of pairs (a, b), by answers of like sets. like: what computed() gave; a set b there has the like set a.
+
+    All pairs whose like sets are the same two meet with these sets, DERIVED pairs at a time: the overlap of the two is
+    computed once, and each pair's follows from it by its differences. A set without a like one stands for itself.
+    """
+    num, den = SIMILAR
+    left, made = _near(pairs.distinct(), nodes, docs, also=like.select(F.col("a").alias("node")))
+    for side in "ab":
+        own = like.select(F.col("b").alias(side), F.col("a").alias(f"r{side}"), F.col("minus").alias(f"m{side}"), F.col("plus").alias(f"p{side}"))
+        left = left.join(own, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    left = written(left, "near")
+    groups = left.groupBy("ra", "rb").agg(F.ceil(F.count("*") / DERIVED).alias("parts"))
+    dealt = left.join(groups, ["ra", "rb"]).withColumn("part", F.pmod(F.xxhash64("a", "b"), "parts"))
+    dealt = dealt.groupBy("ra", "rb", "part").agg(F.collect_list(F.struct("a", "b", "ma", "pa", "mb", "pb")).alias("own"))  # about DERIVED each
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r, s = _wide(batch.column("x")[k].as_py()), _wide(batch.column("y")[k].as_py())
+                first, out = len(np.intersect1d(r, s, assume_unique=True)), []
+                for z in batch.column("own")[k].as_py():
+                    ma, pa_, mb, pb = (_wide(z[c] or b"") for c in ("ma", "pa", "mb", "pb"))
+                    both = overlap(r, s, first, ma, pa_, mb, pb)
+                    if den * both >= num * (len(r) - len(ma) + len(pa_) + len(s) - len(mb) + len(pb) - both):
+                        out.append((z["a"], z["b"]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    x, y = made.select(F.col("node").alias("ra"), F.col("tokens").alias("x")), made.select(F.col("node").alias("rb"), F.col("tokens").alias("y"))
+    out = written(arrow_map(dealt.join(x, "ra").join(y, "rb").select("x", "y", "own"), run, "a long, b long"), "links")
     remove_table(made)
     return out
 
@@ -370,25 +452,27 @@ def join(docs: DataFrame) -> DataFrame:
     doc_id. Rows that repeat a doc_id are copies if their texts have one set, and otherwise lie in different components
     unless linked. A null doc_id may be a copy of others but names no component unless it is alone.
     """
-    spark = docs.sparkSession
     made = written(sets(docs), "sets")
     own = made.where("kind = 0")
     nodes = written(own.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-    # a node goes to each bucket that has one of its tokens: a quarter as many buckets as partitions keep these few
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    # a node goes to each bucket that has one of its tokens: a quarter as many buckets as partitions keep these few; more of
+    # them where entries are so many that a bucket would grow beyond its bytes
+    num, den = SIMILAR
+    entries = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, -(-int(entries) * ENTRY.itemsize // BUCKET_BYTES))
     order = _order(made)
     # texts give their entries once; what is left of a bucket is one row, so that no step below deals entries anew
     dealt = lists(docs, order, buckets).repartitionById(buckets, F.col("bucket"))
-    posted = written(dealt.mapInArrow(shared_lists, "bucket int, entries binary"), "lists")
-    member = posted.mapInArrow(_members, "bucket int, node long")
+    posted = written(arrow_map(dealt, shared_lists, "bucket int, entries binary"), "lists")
+    member = arrow_map(posted, _members, "bucket int, node long")
     # at most as long as the bucket's own entries
     known = member.join(nodes.select("node", "bitmap"), "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "bitmap")).alias("names"))
     posted = written(posted.join(known, "bucket"), "lists")
-    first = verified(posted.mapInArrow(first_pairs, "a long, b long"), nodes, docs, one=True)
+    first = computed(arrow_map(posted, first_pairs, "a long, b long"), nodes, docs)
     relation = written(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "relations")
-    roots = posted.mapInArrow(_members, "bucket int, node long").join(relation, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("roots"))
-    second = verified(posted.join(roots, "bucket", "left").mapInArrow(cross_pairs, "a long, b long"), nodes, docs)
-    links = first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = arrow_map(posted, _members, "bucket int, node long").join(relation, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("roots"))
+    second = derived(arrow_map(posted.join(roots, "bucket", "left"), cross_pairs, "a long, b long"), first, nodes, docs)
+    links = first.select("a", "b").union(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
     root = components(links)
     least = nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     name = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -5,8 +5,12 @@ passages keep equal positions, and each stretch of LEAST words has one in its fi
 KEY = LEAST - SPAN words of it follow. Two passes over the texts:
 
 1. the first KEY words of each kept suffix, as one hash: those that start suffixes of different texts go into a filter;
-2. suffixes that pass it are sorted with LEAST words of context on the right and SPAN on the left; neighbours that
-   agree are extended to both sides. A stretch counts where left and right agreement add up to LEAST words.
+2. suffixes that pass it are sorted by the LEAST words from them on, with the common length of neighbours. Where the common
+   length of a run of neighbours and the words that they are extended by to the left, SPAN at most, add up to LEAST, a
+   stretch of LEAST words is found. Longer passages keep a suffix in each SPAN words, so their stretches overlap and are
+   joined, however long they are.
+
+Only stretches that stand in different texts count: a text that repeats itself is no copy of another.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_map, table, written
 from .jaccard import _texts
 from .words import U, _BASE, hashed, mix, shingles
 
@@ -24,6 +28,8 @@ KEY = LEAST - SPAN
 #: log2 of the filter's bits: 16 MB at most, however many suffixes repeat; a full filter only lets more pass.
 FILTER = 27
 SUFFIX = np.dtype([("key", "<u8"), ("text", "<i8"), ("pos", "<u4"), ("words", "<u4", (SPAN + LEAST,))])
+#: Bytes of suffixes in a bucket, about; suffixes that are sorted at a time, but for those of one key.
+BUCKET_BYTES, AT_ONCE = 8 << 20, 20_000
 _END = np.uint32(0)
 
 
@@ -77,17 +83,17 @@ def keys(docs: DataFrame) -> DataFrame:
                 t, key = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), "i4")), none(len(t)), pa.array(t), none(len(t)), pa.array(key)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, text long, n long, key long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "kind int, doc_id long, text long, n long, key long")
 
 
 def _filter(made: DataFrame):
-    """Bits of the keys that start suffixes of different texts, as a broadcast of at most 2**FILTER bits."""
-    shared = made.where("kind = 1").groupBy("key").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b")
-    bit = F.shiftrightunsigned("key", 64 - FILTER)
-    words = shared.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
+    """(bits of the keys that start suffixes of different texts, as a broadcast of at most 2**FILTER bits; how many suffixes have such keys)."""
+    shared = made.where("kind = 1").groupBy("key").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count("*").alias("k")).where("a <> b")
+    shared = written(shared.select(F.shiftrightunsigned("key", 64 - FILTER).alias("bit"), "k"), "shared")
+    words = shared.groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER - 6), np.uint64)
     out[words["word"].to_numpy("i8")] = words["bits"].to_numpy("i8").view("u8")
-    return made.sparkSession.sparkContext.broadcast(out)
+    return made.sparkSession.sparkContext.broadcast(out), shared.agg(F.sum("k")).first()[0] or 0
 
 
 def suffixes(docs: DataFrame, bits, buckets: int) -> DataFrame:
@@ -131,7 +137,7 @@ def suffixes(docs: DataFrame, bits, buckets: int) -> DataFrame:
         if held:
             yield dealt()
 
-    return docs.select("text").mapInArrow(run, "bucket int, entries binary")
+    return arrow_map(docs.select("text"), run, "bucket int, entries binary")
 
 
 def repeated(batches):
@@ -142,50 +148,59 @@ def repeated(batches):
     if not held:
         return
     e = np.concatenate(held)
+    del held
     e = e[np.lexsort((e["pos"], e["text"], e["key"]))]
     e = e[np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["text"][1:] != e["text"][:-1]) | (e["pos"][1:] != e["pos"][:-1])])]
     edge = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]]))
     e = e[np.repeat(np.diff(edge) > 1, np.diff(edge))]
     if not len(e):
         return
-    w = e["words"].astype(np.uint64)
-    rest = w[:, SPAN + KEY :]
-    # the sorted array of suffixes; neighbours that share a stretch to the right stand together
-    right = np.empty((len(e), LEAST - KEY + 1), np.uint64)  # hash of the first KEY + i words
-    right[:, 0] = e["key"]
-    for i in range(LEAST - KEY):
-        right[:, i + 1] = mix(right[:, i] * U(_BASE) + rest[:, i])
-    left = np.empty((len(e), SPAN + 1), np.uint64)  # hash of the i words before
-    left[:, 0] = 0
-    for i in range(SPAN):
-        left[:, i + 1] = mix(left[:, i] * U(_BASE) + w[:, SPAN - 1 - i])
-    hit = np.zeros((len(e), SPAN + 1), bool)
+    # keys are independent: some at a time, so that the work on a bucket needs little beyond the bucket
+    edge = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]]))
+    cut = [0]
+    for z in edge[1:].tolist():
+        if z - cut[-1] >= AT_ONCE or z == len(e):
+            cut.append(z)
+    for x, y in zip(cut, cut[1:]):
+        text, s, t = _stretches(e[x:y])
+        if len(text):
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (s[1:] > t[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(text[first]), pa.array(s[first]), pa.array(np.maximum.reduceat(t, first))], ["text", "s", "e"])
+
+
+def _stretches(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of what each suffix shares with another text, LEAST words or more around it; by text and place."""
+    # the sorted array of suffixes, and how many words each shares with its neighbour before
+    right = np.ascontiguousarray(e["words"][:, SPAN:])
+    order = np.argsort(right.view(f"S{4 * LEAST}").ravel(), kind="stable")
+    common = np.zeros(len(e), "u1")
+    for at in range(1, len(e), AT_ONCE):
+        x, y = right[order[at - 1 : at - 1 + AT_ONCE]], right[order[at : at + AT_ONCE]]
+        alike = (x[: len(y)] == y) & (y != _END)
+        common[at : at + len(y)] = np.where(alike.all(1), LEAST, alike.argmin(1))
+    del right
+    text, pos, before = e["text"][order], e["pos"][order], e["words"][:, :SPAN][order]
+    least, most = np.full(len(e), SPAN + 1, "u1"), np.zeros(len(e), "u1")
+    left = np.zeros(len(e), np.uint64)  # hash of the j words before
     for j in range(SPAN + 1):
-        need = LEAST - j - KEY  # words to the right beyond KEY
-        whole = np.ones(len(e), bool)
-        if need > 0:
-            whole &= rest[:, need - 1] != 0
         if j:
-            whole &= w[:, SPAN - j] != 0
-        own = np.flatnonzero(whole)
-        h = mix(left[own, j] ^ mix(right[own, need] + U(j)))
-        at = own[np.lexsort((e["text"][own], h))]
-        h = np.sort(h)
-        if not len(h):
+            left = mix(left * U(_BASE) + before[:, SPAN - j])
+        # stretches of the array that share the words to the right; in each, suffixes that are extended alike by j words to the left
+        stretch = np.cumsum(common < LEAST - j)
+        own = np.flatnonzero(before[:, SPAN - j] != _END) if j else np.arange(len(e))
+        if not len(own):
             continue
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        end = np.concatenate([start[1:], [len(h)]])
-        other = e["text"][at[start]] != e["text"][at[end - 1]]  # the least and the largest text of neighbours that agree
-        hit[at[np.repeat(other, end - start)], j] = True
-    rows, js = np.nonzero(hit)
-    if len(rows):
-        s = e["pos"][rows].astype("i8") - js
-        order = np.lexsort((s, e["text"][rows]))
-        text, s = e["text"][rows][order], s[order]
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (s[1:] > s[:-1] + LEAST)])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(s)]]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(text[first]), pa.array(s[first]), pa.array(s[last] + LEAST)], ["text", "s", "e"])
+        at = own[np.lexsort((text[own], left[own], stretch[own]))]
+        start = np.flatnonzero(np.concatenate([[True], (stretch[at][1:] != stretch[at][:-1]) | (left[at][1:] != left[at][:-1])]))
+        end = np.concatenate([start[1:], [len(at)]])
+        other = text[at[start]] != text[at[end - 1]]  # the least and the largest text of those that agree
+        hit = at[np.repeat(other, end - start)]
+        least[hit], most[hit] = np.minimum(least[hit], j), j
+    # two stretches around one suffix start less than LEAST words apart: they are one
+    hit = np.flatnonzero(least <= SPAN)
+    s, t = pos[hit].astype("i8") - most[hit], pos[hit].astype("i8") - least[hit] + LEAST
+    order = np.lexsort((s, text[hit]))
+    return text[hit][order], s[order], t[order]
 
 
 def _merged():
@@ -203,12 +218,13 @@ def find(docs: DataFrame) -> DataFrame:
     copies. Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Null, empty and shorter texts repeat nothing; a null
     doc_id is kept; rows that repeat a doc_id are rows of their own, copies of each other if their words are equal.
     """
-    spark = docs.sparkSession
     made = written(keys(docs), "keys")
     own = made.where("kind = 0").select("doc_id", "text", "n")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = suffixes(docs, _filter(made), buckets).repartitionById(buckets, F.col("bucket"))
-    parts = posted.mapInArrow(repeated, "text long, s long, e long")
+    bits, shared = _filter(made)
+    # a bucket does not grow with the data
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(shared) * SUFFIX.itemsize // BUCKET_BYTES))
+    posted = suffixes(docs, bits, buckets).repartitionById(buckets, F.col("bucket"))
+    parts = arrow_map(posted, repeated, "text long, s long, e long")
     copies = own.where(f"n >= {LEAST}").groupBy("text").agg(F.count("*").alias("k"), F.max("n").alias("e")).where("k > 1").select("text", F.lit(0).cast("long").alias("s"), "e")
     spans = parts.union(copies).groupBy("text").agg(_merged().alias("spans"))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.e - x.s)

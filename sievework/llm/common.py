@@ -73,6 +73,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system; workers are used again, and keep it otherwise."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, after which a worker keeps no memory of the task."""
+
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(freed, schema)
+
+
 def store(uri: str):
     """The file system of a folder in the shared folder, and the folder's path there; for use on executors."""
     from pyarrow import fs

@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching: exact hits of an item's pieces, verified by Myers's bit vectors.
 
 Texts and items are lower-cased and every run of other than letters and digits becomes one space. An item of m characters
-may differ by k = m * BUDGET edits; cut into k + 1 pieces, one of them is unharmed in every such match.
+may differ by k = m * BUDGET edits; cut into k + 1 pieces, one of them is unharmed in every such match. An item too short for
+an edit has to stand between words: "cat" is not in "education".
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_map, table
 
 BUDGET = 0.08
-#: Items below this many normal characters are too common to mean anything; they are matched without errors.
-SHORT = 24
 #: Bytes of benchmark text whose pieces one pass carries to the executors; a larger benchmark takes several passes.
 PASS_BYTES = 4 << 20
 _OTHER = re.compile(r"[^\w]+|_+")
@@ -26,7 +25,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    return int(m * BUDGET) if m >= SHORT else 0
+    return int(m * BUDGET)
 
 
 def cut(item: str) -> list[tuple[int, str]]:
@@ -71,11 +70,12 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(i, t, budget(len(t)), masks(t)) for i, t in items if t]
+        items = [(i, t, budget(len(t))) for i, t in items if t]
+        self.items = [(i, t, k, masks(t)) for i, t, k in ((i, t if k else f" {t} ", k) for i, t, k in items)]
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, _, _) in enumerate(self.items):
-            for a, piece in cut(t):
+            for a, piece in cut(t) if budget(len(t.strip())) else [(0, t)]:
                 where.setdefault(piece, []).append((n, a))
         for piece, own in where.items():
             self.automaton.add_word(piece, (len(piece), own))
@@ -86,6 +86,7 @@ class Matcher:
         """(item, distance, end in the normal text) of each item in a normal text."""
         if not self.items:
             return []
+        text = f" {text} "
         around: dict[int, list[list[int]]] = {}
         for last, (size, own) in self.automaton.iter(text):
             for n, a in own:
@@ -101,8 +102,8 @@ class Matcher:
         for n, spans in around.items():
             item, t, k, peq = self.items[n]
             best = min(((d, lo + e) for lo, hi in spans for d, e in [distance(t, text[lo:hi], peq)]), default=(k + 1, 0))
-            if best[0] <= k:
-                out.append((item, *best))
+            if best[0] <= k:  # the blank before the text counts for nothing, nor does one that an item brought
+                out.append((item, best[0], best[1] - (1 if k else 2)))
         return sorted(out)
 
 
@@ -111,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: columns doc_id, text; benchmark: item_id, text; other columns are ignored. distance is the least over the
     document, match_end where it ends in the normal text. Null and empty texts and items match nothing; null ids stay
-    null; repeated rows are matched each. Items go to the executors PASS_BYTES at a time; texts stay where they are.
+    null; documents' repeated rows are matched each, an item's repeated rows once. Items go to the executors PASS_BYTES at a time; texts stay where they are.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -131,7 +132,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "item_id", "distance", "match_end"])
 
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance int, match_end long")
+        own = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, item_id long, distance int, match_end long")
         out = own if out is None else out.union(own)
     return out
 
@@ -152,7 +153,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not (t and matcher.find(normal(t))) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs
 
 

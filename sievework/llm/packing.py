@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import arrow_map, shared_path, table
 from .tokens import BYTE_BPE, crc32, encoded
 
 LONGEST = 2048
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, vocabulary: str = BYTE_BPE, longest: int = LONGEST, wit
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def bucketed(cuts: DataFrame, path: str) -> DataFrame:

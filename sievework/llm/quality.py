@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small, store, table, written
+from .common import arrow_map, shared_path, small, store, table, written
 from .jaccard import _texts
 from .words import U
 
@@ -78,7 +78,7 @@ def counted(docs: DataFrame) -> DataFrame:
             key, count = merged()
             yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(count)], ["key", "c"])
 
-    return docs.select("text", "trusted").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select("text", "trusted"), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _cut(order: int):
@@ -190,7 +190,7 @@ def perplexities(docs: DataFrame, logp: DataFrame) -> DataFrame:
                 doc, lang, trusted = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lang, pa.string()), pa.array(trusted, pa.bool_()), pa.array(total[begin[1:]] - total[begin[:-1]]), pa.array((n[begin[1:]] - n[begin[:-1]]).astype("i8")), pa.array(np.diff(begin).astype("i8")), pa.array([hash_of(t) for t in texts], pa.int64())], ["doc_id", "lang", "trusted", "total", "n", "chars", "text"])
 
-        part = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "doc_id long, lang string, trusted boolean, total double, n long, chars long, text long")
+        part = arrow_map(docs.select("doc_id", "lang", "trusted", "text"), run, "doc_id long, lang string, trusted boolean, total double, n long, chars long, text long")
         part = part.withColumn("rows", F.lit(int(k == 0)))
         out = part if out is None else out.union(part)
     if shards > 1:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_map, table, written
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed by the contract.
@@ -148,7 +148,7 @@ def word_like(s: str, size: int) -> float:
 def _poisson_lower(mean: float, k: int) -> float:
     """P(X <= k) for X ~ Poisson(mean)."""
     if mean > 400:
-        return 1 - _upper((k + 0.5 - mean) / math.sqrt(mean))
+        return _upper((mean - k - 0.5) / math.sqrt(mean))
     term = total = math.exp(-mean)
     for i in range(1, k + 1):
         term *= mean / i
@@ -241,7 +241,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     found.append([{"s": a, "e": b, "stratum": stratum(b - a), "score": int(min(LOWEST, -math.log10(max(p, 1e-300))) * GRID)} for a, b, p in candidates(text or "")])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, span), pa.array(found, cand)], ["doc_id", "base", "found"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCAN)
 
 
 def thresholds(scanned: DataFrame, rate: float = RATE) -> list[int]:
@@ -286,9 +286,11 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rate: float = RATE, mask: str = "[secret]") -> DataFrame:
-    """The documents with every secret replaced by a mask; overlapping spans become one; n_chars follows. Rows need a doc_id of their own."""
-    scanned = written(scan(docs), "secrets")
-    bound = F.broadcast(docs.sparkSession.createDataFrame([(thresholds(scanned, rate),)], "bound array<int>"))
+    """The documents with every secret replaced by a mask; overlapping spans become one; n_chars follows, in its own type.
+
+    Null and empty texts stay as they are; repeated rows are masked each; other columns are untouched, whatever their names.
+    """
+    least = thresholds(written(scan(docs), "secrets"), rate)  # a number for each stratum
     names = docs.columns
 
     # the thresholds are known, so the texts are scanned in place rather than joined with their spans
@@ -297,14 +299,14 @@ def redact(docs: DataFrame, rate: float = RATE, mask: str = "[secret]") -> DataF
 
         for batch in batches:
             texts = []
-            for text, least in zip(batch.column("text").to_pylist(), batch.column("bound").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 texts.append(text and masked(text, least, mask))
             out = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
 
-    return docs.crossJoin(bound).mapInArrow(run, docs.schema)  # one row of thresholds
+    return arrow_map(docs, run, docs.schema)
 
 
 def masked(text: str, least: list[int], mask: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import put, shared_path, store, table, written
+from .common import arrow_map, put, shared_path, store, table, written
 from .tokens import WORD_BPE, crc32, encoded
 
 BLOCK, LANE = 1024, 64
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = WORD_BPE) -> Data
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     ordered = keyed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
-    return written(ordered.mapInArrow(run, "part long, seq long, file string, n_docs long, n_tokens long"), "manifest")
+    return written(arrow_map(ordered, run, "part long, seq long, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -188,7 +188,7 @@ def read_tokens(manifest: DataFrame, path: str, with_ids: bool = False) -> DataF
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     # the files' contents stay where they are read: only names and starts, one row a file, go to all
-    return files.join(F.broadcast(starts), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return arrow_map(files.join(F.broadcast(starts), "file"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

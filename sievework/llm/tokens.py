@@ -281,7 +281,7 @@ def vocabulary(name_or_path: str) -> str:
 
 
 def encoder(name_or_path: str) -> Encoder:
-    """The worker's encoder of a vocabulary; it keeps one at a time."""
+    """The process's encoder of a vocabulary; it keeps one at a time."""
     if name_or_path not in _LOADED:
         _LOADED.clear()
         _LOADED[name_or_path] = Encoder(vocabulary(name_or_path))
@@ -303,6 +303,7 @@ def encoded(batches, name_or_path: str):
                 docs, held, size = [], [], 0
         if docs:
             yield from zip(docs, enc.encode_many(held))
+    _LOADED.clear()  # a worker keeps nothing for its next task
 
 
 def crc32(data) -> int:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_map, table, written
 
 #: The bounds of the training sample: labelled texts, half of them toxic at most, and their bytes (those first in the order of a hash).
 SAMPLE, SAMPLE_BYTES = 2_400, 64 << 20
@@ -355,7 +355,7 @@ def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
         net.clear()  # a worker keeps nothing for its next task
 
     schema = docs.schema.fromJson(docs.schema.jsonValue()).add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:

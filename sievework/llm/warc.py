@@ -10,10 +10,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put, shared_path, store, table, written
+from .common import arrow_map, put, shared_path, store, table, written
 
 #: Uncompressed bytes of a file, but for a single longer record.
 FILE_BYTES = 32 << 20
+#: Bytes of a compressed record that are read at once.
+PIECE = 16 << 10
 #: Rows of the index that one task merges, about.
 MERGE_ROWS = 200_000
 #: Captures without a time of their own are dated by this second plus their id.
@@ -77,13 +79,17 @@ def parse(data: bytes) -> dict:
 
 
 def members(data: bytes):
-    """(offset, length, record) of each gzip member."""
-    at = 0
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        out = z.decompress(memoryview(data)[at:])
-        end = len(data) - len(z.unused_data)
-        yield at, end - at, out
+    """(offset, length, record) of each gzip member, read PIECE bytes at a time."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(view):
+                raise ValueError("an archive ends within a record")
+            out.append(z.decompress(view[end : end + PIECE]))
+            end = min(end + PIECE, len(view))
+        end -= len(z.unused_data)
+        yield at, end - at, b"".join(out)
         at = end
 
 
@@ -126,7 +132,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     when = F.col("captured").cast("string") if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pages = pages.select("page_id", "url", "html", F.coalesce(when, F.lit("1970-01-01T00:00:00Z")).alias("captured"))
     ordered = verdicts(pages, least_bytes).withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("url_key", "captured", "page_id")
-    return written(ordered.mapInArrow(run, RUN), "runs")
+    return written(arrow_map(ordered, run, RUN), "runs")
 
 
 def loser_tree(runs: list[list]):
@@ -188,7 +194,7 @@ def merge_index(runs: DataFrame) -> DataFrame:
 
     # a run's piece arrives in order
     dealt = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order)
-    return dealt.mapInArrow(run, "part long, pos long, url_key string, captured string, page_id long, file string, offset long, length long")
+    return arrow_map(dealt, run, "part long, pos long, url_key string, captured string, page_id long, file string, offset long, length long")
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -220,7 +226,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
     schema = "file string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, schema)
+    return arrow_map(files, run, schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,21 +142,29 @@ def normal_path(path) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """A path pattern in which * crosses slashes, as a regular expression; it may also match from any slash on."""
-    out, i = "", 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            out += ".*"
-        elif c == "?":
-            out += "."
-        elif c == "[" and (j := glob.find("]", i + 2)) > 0:
-            out += "[" + glob[i + 1 : j].replace("\\", "\\\\").replace("!", "^", 1) + "]"
-            i = j
-        else:
-            out += re.escape(c)
-        i += 1
-    return f"(?s)^{out}$" if "/" in glob else f"(?s)^(?:.*/)?{out}$"
+    """A path pattern as a regular expression. It matches a whole path, where * crosses slashes, or, if it is no absolute
+    one, the last parts of a path, where * stays within a part."""
+
+    def regex(part: str, any_: str) -> str:
+        out, i = "", 0
+        while i < len(part):
+            c = part[i]
+            if c in "*?":
+                out += any_ + "*" * (c == "*")
+            elif c == "[" and (j := part.find("]", i + 3 if part[i + 1 : i + 2] == "!" else i + 2)) > 0:
+                inner = part[i + 1 : j].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+                out += f"(?={any_})[" + ("^" + inner[1:] if inner[0] == "!" else "\\" * (inner[0] == "^") + inner) + "]"
+                i = j
+            else:
+                out += re.escape(c)
+            i += 1
+        return out
+
+    parts = [x for x in glob.split("/") if x not in ("", ".")]
+    whole = regex(glob, ".")
+    if glob.startswith("/") or not parts:
+        return rf"(?s)^{whole}\z"
+    return rf"(?s)^{whole}\z|(?:^|/){'/'.join(regex(x, '[^/]') for x in parts)}\z"
 
 
 def braces(glob: str) -> list[str]:

@@ -132,6 +132,26 @@ def fingerprint(rows: DataFrame, path: str, content: str) -> DataFrame:
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
 
 
+def rule_kinds(hits: DataFrame, configured: DataFrame) -> DataFrame:
+    """engine, rules_run (different checks that reported), rules_configured (never less). hits: engine, check; configured: engine, rules."""
+    run = hits.where("check is not null and check <> ''").groupBy("engine").agg(F.countDistinct("check").alias("rules_run"))
+    both = run.join(configured.groupBy("engine").agg(F.sum("rules").alias("_n")), "engine", "full")
+    ran = F.coalesce("rules_run", F.lit(0))
+    return both.select("engine", ran.alias("rules_run"), F.greatest(F.coalesce("_n", F.lit(0)), ran).alias("rules_configured"))
+
+
+def scope_stats(files: DataFrame, missing: DataFrame, hunts: bool = True) -> DataFrame:
+    """One row of counts. files: file, direct, in_scope, in_hunt, in_context, deleted (booleans); missing: file. should_hunt: the
+    evidence of a language model is required, as its engine is not excluded (`hunts`) and there are files to hunt in."""
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    gone = missing.select(F.count("*").alias("missing_changed"))
+    own = files.agg(
+        n("direct and not deleted").alias("direct_files"), n("in_scope and not direct and not deleted").alias("impact_added"), n("in_scope").alias("scope_files"),
+        n("in_hunt").alias("hunt_files"), n("in_context").alias("context_files"), n("deleted").alias("deleted_files"), n("direct").alias("direct_paths_total"),
+    )
+    return own.crossJoin(F.broadcast(gone)).withColumn("should_hunt", F.lit(hunts) & (F.col("hunt_files") > 0))  # one row each
+
+
 def coverage(rows: DataFrame, keys: list[str] = []) -> DataFrame:
     """Conservation of inputs by `state` (analysed, generated, missing): counts, and whether they add up with nothing missing."""
     n = {s: F.col("state") == s for s in ("analysed", "generated", "missing")}

@@ -46,12 +46,16 @@ GENERATED = (
 )
 
 
+# Folders of test sources.
+TEST_SETS = ("/src/test/", "/src/androidTest/", "/src/AndroidTest/")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
 def matches_any(file, globs: list[str]) -> Column:
-    """Any path pattern matches, as a whole or from a slash on; * crosses slashes."""
+    """Any path pattern matches, the whole path or its last parts; see glob_regex."""
     return any_of([col(file).rlike(glob_regex(g)) for x in globs for g in braces(x)])
 
 
@@ -65,6 +69,12 @@ def generated(file) -> Column:
     return col(file).rlike("|".join(GENERATED))
 
 
+def test_source(file) -> Column:
+    """Files of test source sets, which the index leaves out."""
+    path = F.concat(F.lit("/"), col(file))
+    return any_of([path.contains(x) for x in TEST_SETS])
+
+
 def in_module(file, module: str) -> Column:
     return (col(file) == module) | col(file).startswith(module.rstrip("/") + "/")
 

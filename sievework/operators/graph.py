@@ -19,6 +19,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
@@ -30,15 +32,15 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node, hops: nodes within `depth` undirected hops of the seeds. edges: source, target; seeds: node."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).union(edges.select("target", "source")).distinct()
-    found = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    front = found
+    # edges as they are, met from either end: nothing is doubled or made distinct but the nodes found
+    e = _cut(edges.select("source", "target"))
+    found = front = _cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     for k in range(1, depth + 1):
-        front = both.join(front.select("node"), "node").select(F.col("next").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(k))
+        near = [e.join(front.select(F.col("node").alias(a)), a).select(F.col(b).alias("node")) for a, b in (("source", "target"), ("target", "source"))]
+        front = _cut(near[0].union(near[1]).distinct().join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
+        if not front.head(1):
+            break
         found = found.union(front)
-        if k % 4 == 0 and k < depth:
-            found = _cut(found)
-            front = found.where(F.col("hops") == k)
     return found
 
 
@@ -91,9 +93,7 @@ def trace(spark: SparkSession, calls: DataFrame, start: DataFrame, depth: int =
         stuck = next_.where("caller is null").select("path", "depth", F.lit("origin").alias("terminal"))
         looped = live.join(next_.select("path"), "path", "left_anti").select("path", "depth", F.lit("cycle").alias("terminal"))
         done += [ends, stuck, looped]
-        front = next_.where("caller is not null").select(F.array_append("path", F.col("caller")).alias("path"), F.lit(k + 1).alias("depth"), F.col("_next").alias("_c"))
-        if k == 2:
-            front = _cut(front)
+        front = _cut(next_.where("caller is not null").select(F.array_append("path", F.col("caller")).alias("path"), F.lit(k + 1).alias("depth"), F.col("_next").alias("_c")))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
@@ -102,10 +102,12 @@ def trace(spark: SparkSession, calls: DataFrame, start: DataFrame, depth: int =
 
 def frontier(calls: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """name, level: callers of callers by name, each name once, at its first level."""
-    found = start.select("name").distinct().withColumn("level", F.lit(0))
-    front = found
+    found = front = _cut(start.select("name").distinct().withColumn("level", F.lit(0)))
+    calls = _cut(calls.select("callee", "caller").distinct()) if depth else calls
     for k in range(1, depth + 1):
-        front = calls.join(front.select(F.col("name").alias("callee")), "callee").select(F.col("caller").alias("name")).distinct().join(found.select("name"), "name", "left_anti").withColumn("level", F.lit(k))
+        front = _cut(calls.join(front.select(F.col("name").alias("callee")), "callee").select(F.col("caller").alias("name")).distinct().join(found.select("name"), "name", "left_anti").withColumn("level", F.lit(k)))
+        if not front.head(1):
+            break
         found = found.union(front)
     return found
 

@@ -30,6 +30,20 @@ def prefer_tier(rows: DataFrame, keys: list[str], tier: Column, only_if_many: bo
     return out.where(keep | (F.col("_k") == 1) if only_if_many else keep).drop("_tier", "_low", "_k")
 
 
+def report_paths(reported: DataFrame, scope: DataFrame) -> DataFrame:
+    """reported (column file) with `path`: the shortest file of the scope that ends the reported path, or else the path as it is.
+
+    Each path meets the scope by its suffixes from a slash on, an equality join; there is no pairwise comparison.
+    """
+    plain = F.replace("file", F.lit("\\"), F.lit("/"))
+    parts = F.split("_plain", "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    paths = reported.select("file", plain.alias("_plain")).distinct()
+    known = scope.select(F.col("file").alias("path")).distinct()
+    found = paths.select("file", F.explode(suffixes).alias("path")).join(known, "path").groupBy("file").agg(F.min_by("path", F.length("path")).alias("path"))
+    return reported.join(found, "file", "left").withColumn("path", F.coalesce("path", plain))
+
+
 def variant_tier(source_set, module, target_set, target_module) -> Column:
     """Same module and source set, else the module's main, else the module, else any."""
     same = F.col(module).eqNullSafe(F.col(target_module))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from . import joins as J
 from .graph import WEIGHTS
 
 # Words before a bracket that are no call.
-KEYWORDS = ["if", "for", "while", "when", "switch", "catch", "return", "throw", "new", "super", "this", "synchronized", "try", "else", "do"]
+KEYWORDS = ["if", "for", "while", "switch", "catch", "synchronized", "return", "new", "else", "do", "try", "when", "super", "this"]
+# Names before a parenthesis that are no call where a change's callees are looked for.
+CALL_STOP = ["if", "for", "while", "when", "switch", "catch", "return", "throw", "new", "super", "this", "synchronized", "require", "check", "assert"]
 DECLARATION = r"\b(?:class|interface|object|enum)\s+([A-Za-z_]\w*)"
 METHOD = r"^\s*(?:[\w@<>\[\],.?]+\s+)*(?:fun\s+|[\w<>\[\],.?]+\s+)([A-Za-z_]\w*)\s*\([^;]*\{?\s*$"
 
@@ -116,7 +120,7 @@ def callers(refs: DataFrame, symbol: str, types: DataFrame) -> DataFrame:
     method, owner = one["m"] or symbol, one["c"]
     r = refs.where(F.col("name") == method).join(types.select("file", F.col("variable").alias("receiver"), F.col("type").alias("receiver_type")), ["file", "receiver"], "left")
     tail = F.substring_index("receiver", ".", -1)
-    chain = F.col("snippet").rlike(rf"\b{owner}\b[^;\n]*\.\s*{method}\s*\(") if owner else F.lit(False)
+    chain = F.col("snippet").rlike(rf"(?<![\w$]){re.escape(owner)}(?![\w$])[^;\n]*\.\s*{re.escape(method)}\s*\(") if owner else F.lit(False)
     how = (
         F.when(F.lit(not owner), "method-name")
         .when(tail == owner, "explicit-receiver")

@@ -148,10 +148,10 @@ def evidence_gate(spark, d):
     return out.select("doc_id", "queue", "review_reason")
 
 
-@query("SELECT doc_id, quality FROM labels l WHERE toxic = 1 AND NOT EXISTS (SELECT 1 FROM labels c WHERE c.quality = 1 AND c.doc_id % 7 = 0 AND c.doc_id = l.doc_id)")
+@query("SELECT doc_id, quality FROM labels l WHERE toxic = 1 AND NOT EXISTS (SELECT 1 FROM labels c WHERE c.quality = 1 AND c.doc_id = l.doc_id)")
 def confirmed_beats_review(spark, d):
     labels = t(spark, d, "labels")
-    left, _ = J.beats(labels.where("quality = 1 and doc_id % 7 = 0"), labels.where("toxic = 1"), ["doc_id"])
+    left, _ = J.beats(labels.where("quality = 1"), labels.where("toxic = 1"), ["doc_id"])
     return left.select("doc_id", "quality")
 
 

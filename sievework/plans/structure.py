@@ -13,6 +13,8 @@ from sievework.operators import joins as J
 from sievework.operators import sets as X
 from sievework.operators import windows as W
 
+from sievework.sources import readers as R
+
 from .evidence import query, t
 
 _EDGES = "SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS kind, 1 AS weight FROM lineitem"
@@ -101,16 +103,16 @@ def edge_kind_stats(spark, d):
     return A.kind_stats(supply(spark, d).select("source", "target", "kind", "weight").distinct())
 
 
-@query("""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey ),
 s AS (SELECT s_suppkey, s_nationkey, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-p AS (SELECT c_custkey, s_suppkey, CASE WHEN c_nationkey = s_nationkey THEN 0 WHEN c.r = s.r THEN 1 ELSE 2 END AS tier FROM c, s WHERE c.c_custkey % 7 = s.s_suppkey % 7)
+p AS (SELECT c_custkey, s_suppkey, CASE WHEN c_nationkey = s_nationkey THEN 0 ELSE 1 END AS tier FROM c JOIN s ON c.r = s.r)
 SELECT c_custkey, s_suppkey FROM (SELECT *, min(tier) OVER (PARTITION BY c_custkey) AS low FROM p) WHERE tier = low""")
 def variant_preference(spark, d):
     n = t(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    c = t(spark, d, "customer").where("c_custkey % 50 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", F.col("n_regionkey").alias("cr"), (F.col("c_custkey") % 7).alias("k"))
-    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("sr"), (F.col("s_suppkey") % 7).alias("k"))
-    tier = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 0).when(F.col("cr") == F.col("sr"), 1).otherwise(2)
-    return J.prefer_tier(c.join(s, "k"), ["c_custkey"], tier).select("c_custkey", "s_suppkey")
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
+    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
+    tier = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 0).otherwise(1)
+    return J.prefer_tier(c.join(s, "n_regionkey"), ["c_custkey"], tier).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, t.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN (SELECT p_name, p_size, min(p_brand) AS p_brand FROM part GROUP BY p_name, p_size HAVING count(DISTINCT p_brand) = 1) t ON p.p_name = t.p_name AND p.p_size = t.p_size")
@@ -137,7 +139,7 @@ def bfs_expand(spark, d):
     return G.expand(e, seeds, 2)
 
 
-_TRADE = "SELECT s_nationkey AS s, c_nationkey AS t, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey AND s_nationkey < 20 GROUP BY 1, 2"
+_TRADE = "SELECT s_nationkey AS s, c_nationkey AS t, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2"
 
 
 @query(f"""WITH RECURSIVE e AS ({_TRADE}), o AS (SELECT s, sum(w) AS total FROM e GROUP BY s), m AS (SELECT a.n_nationkey AS s, b.n_nationkey AS t, CASE WHEN o.total IS NULL THEN 1.0 / 25 ELSE coalesce(e.w, 0)::DOUBLE / o.total END AS p FROM nation a CROSS JOIN nation b LEFT JOIN o ON o.s = a.n_nationkey LEFT JOIN e ON e.s = a.n_nationkey AND e.t = b.n_nationkey),
@@ -146,7 +148,7 @@ SELECT n_nationkey AS node, round(v[n_nationkey + 1], 9) AS rank FROM r, nation
 def file_pagerank(spark, d):
     li, o = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), t(spark, d, "orders").select("o_orderkey", "o_custkey")
     c, s = t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey <> c_nationkey and s_nationkey < 20")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey <> c_nationkey")
     e = e.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.count("*").alias("weight"))
     out = G.pagerank(t(spark, d, "nation").select(F.col("n_nationkey").alias("node")), e)
     return out.select("node", F.round("rank", 9).alias("rank"))
@@ -281,3 +283,46 @@ def scope_semi_join(spark, d):
 def caller_frontier(spark, d):
     calls = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("callee"), F.col("n_name").alias("caller"))
     return G.frontier(calls, spark.createDataFrame([("EUROPE",)], "name string"), 3)
+
+
+_PLACE = "source || '/' || lang || '/' || d.doc_id"
+
+
+@query(f"""WITH s AS (SELECT lang || '/' || d.doc_id AS path FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION SELECT {_PLACE} FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1),
+r AS (SELECT DISTINCT d.doc_id, '/ci/build/' || {_PLACE} AS file FROM documents d)
+SELECT doc_id, coalesce(arg_min(path, length(path)), file) AS path FROM r LEFT JOIN s ON ends_with(file, '/' || path) GROUP BY doc_id, file""")
+def report_paths(spark, d):
+    place = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    docs = t(spark, d, "documents").select("doc_id", "lang", place.alias("file"))
+    known = docs.join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    scope = known.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("file")).union(known.where("quality = 1").select("file"))
+    return J.report_paths(docs.select("doc_id", F.concat(F.lit("\\ci\\build/"), "file").alias("file")).distinct(), scope).select("doc_id", "path")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_PLACE} AS p FROM documents d) WHERE p LIKE 'en/1_' OR p LIKE '%/en/1_' OR p LIKE '%/de/%5' OR p LIKE '%/7%'")
+def path_globs(spark, d):
+    place = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return P.user_filter(t(spark, d, "documents").select("doc_id", place.alias("file")), [], globs=["en/1?", "*/de/*5", "7*"]).select("doc_id")
+
+
+@query("SELECT event_type AS engine, count(DISTINCT user_id) AS rules_run, greatest(100, count(DISTINCT user_id)) AS rules_configured FROM events GROUP BY event_type")
+def rule_kinds(spark, d):
+    events = t(spark, d, "events")
+    configured = events.select(F.col("event_type").alias("engine"), F.lit(100).alias("rules")).distinct()
+    return A.rule_kinds(events.select(F.col("event_type").alias("engine"), F.col("user_id").cast("string").alias("check")), configured)
+
+
+@query("""SELECT count(*) FILTER (lang = 'en' AND n_chars >= 50) AS direct_files, count(*) FILTER (n_chars > 1000 AND lang <> 'en') AS impact_added, count(*) FILTER (n_chars > 1000) AS scope_files,
+count(*) FILTER (n_chars > 2000) AS hunt_files, count(*) FILTER (n_chars < 500) AS context_files, count(*) FILTER (n_chars < 50) AS deleted_files, count(*) FILTER (lang = 'en') AS direct_paths_total,
+(SELECT count(*) FROM labels) AS missing_changed, count(*) FILTER (n_chars > 2000) > 0 AS should_hunt FROM documents""")
+def scope_stats(spark, d):
+    n = F.col("n_chars")
+    files = t(spark, d, "documents").select(F.col("doc_id").alias("file"), (F.col("lang") == "en").alias("direct"), (n > 1000).alias("in_scope"), (n > 2000).alias("in_hunt"), (n < 500).alias("in_context"), (n < 50).alias("deleted"))
+    return A.scope_stats(files, t(spark, d, "labels").select(F.col("doc_id").alias("file")))
+
+
+@query("SELECT conv_id, turn, role AS file, CAST(turn AS INTEGER) AS line, 'from' AS message FROM conversations UNION ALL SELECT conv_id, turn, 'end', CAST(turn + 1 AS INTEGER), 'taint sink' FROM conversations")
+def taint_trace(spark, d):
+    form = '{"taint_sink": {"location": {"path": "end", "start": {"line": %d}}}, "taint_source": ["x", [{"path": "%s", "start": {"line": %d}, "content": {"value": " from "}}]]}'
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.format_string(form, F.col("turn") + 1, "role", "turn").alias("trace"))
+    return rows.select("conv_id", "turn", F.explode(R.flat_trace("trace")).alias("hop")).select("conv_id", "turn", "hop.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,17 @@ MANIFEST_VERSION = 1
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replaces a table as a whole through the commit protocol: readers see the old or the new one."""
-    df.write.mode("overwrite").format(form).save(path)
+    """Replaces a table as a whole: the new one is written beside it and takes its name when it is complete.
+
+    A write that fails leaves the old table. Between the removal of the old name and the renaming readers find none.
+    """
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}"))
+    df.write.format(form).save(new.toString())
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{new.toString()} could not take the name {path}")
 
 
 def write_batches(files: DataFrame, path: str) -> None:

@@ -115,6 +115,8 @@ class Network:
         """Row numbers of each text's words; new words get a row (and, for scoring, their projections)."""
         words = [t.split() for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.row))
+        if not gates:  # training draws by row: a set's order would change it from run to run
+            new.sort()
         if gates and len(self.row) + len(new) > REMEMBERED:
             self.clear()
             new = list(set(chain.from_iterable(words)))

@@ -231,3 +231,14 @@ def excluded_engines(settings) -> list[str]:
     raw = settings.get("excluded_engines") if isinstance(settings, dict) else None
     names = [x.strip().lower() for x in raw if isinstance(x, str)] if isinstance(raw, list) else []
     return list(dict.fromkeys(n for n in names if n in ENGINES))
+
+
+# Fields of a run manifest that later phases may not change.
+MANIFEST_FIELDS = [
+    "schema_version", "run_id", "started_at", "source_only",
+    "repo_revision", "repo_dirty", "skill_fingerprint", "config_fingerprint",
+    "language", "scan_mode", "scope", "config_trusted",
+    "effective_hunt_policy", "effective_excluded_engines",
+]
+# What an auditor may say of a case.
+DISPOSITIONS = ["agree_no_signal", "agree_mitigated", "new_candidate", "unresolved"]

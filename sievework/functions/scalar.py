@@ -1,9 +1,11 @@
-"""Scalar expressions: identities, ranks, paths, symbols. All are columns, so they stay in generated code."""
+"""Scalar expressions: identities, ranks, paths, symbols. All are columns that stay in generated code, but for canonical JSON."""
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -203,6 +205,41 @@ def canonical_json(struct_fields: list[str]) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in sorted(struct_fields))))
 
 
+def canonical_text(record_json, fields: list[str] | None = None) -> Column:
+    """JSON with keys sorted at every level, ", " and ": " between parts, nulls kept and other alphabets as they are.
+
+    With `fields` an object of those alone, null where absent or where the text holds no object. Else null for what is no JSON.
+    """
+
+    def one(text):
+        try:
+            value = json.loads(text)
+        except (TypeError, ValueError):
+            value = None
+            if fields is None:
+                return None
+        if fields is not None:
+            own = value if isinstance(value, dict) else {}
+            value = {k: own.get(k) for k in fields}
+        return json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(col(record_json))
+
+
+def canonical_hash(record_json, fields: list[str] | None = None) -> Column:
+    """SHA-256 of the canonical text."""
+    return F.sha2(canonical_text(record_json, fields), 256)
+
+
+def rule_id_count(text) -> Column:
+    """Rules of a YAML text, told by the lines that begin with `- id:`."""
+    return F.size(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(?m)^- id:"), F.lit(0))).cast("long")
+
+
 def strict_equal(left_json, right_json) -> Column:
     """JSON texts equal in value and type: true is not 1."""
     kind = lambda x: F.schema_of_variant(F.parse_json(col(x)))

@@ -23,13 +23,25 @@ def dedupe_richest(rows: DataFrame, keys: list[str], score: Column, ordinal: str
     return rows.groupBy(*keys).agg(best.alias("_r"), F.min(ordinal).alias("first_seen")).select(*keys, "_r.*", "first_seen")
 
 
-def merge(rows: DataFrame, key: str, score: Column, ordinal: str, location: list[str], sources: str | None = None) -> DataFrame:
+def merge(rows: DataFrame, key: str, score: Column, ordinal: str, location: list[str], sources: str | None = None, detail: list[str] = [], lists: list[str] = []) -> DataFrame:
     """One row for each key: the richest row's fields, the worst severity, distinct locations and sources in order of the ordinal.
 
-    `merged_manifestations` counts distinct locations and, like related_locations, is null where nothing was merged.
+    `merged_manifestations` counts distinct locations and is null where nothing was merged; so is related_locations, unless the
+    one row had some. A row's related_locations count after its own place. `detail` comes along with a location and does not tell it apart.
+    Each array column of `lists` becomes its distinct items over all rows of the key (union_lists).
     """
-    others = [c for c in rows.columns if c not in (key, "severity")]
-    spots = rows.groupBy(key, *location).agg(F.min(ordinal).alias("_o")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", *location))), lambda x: F.struct(*(x[c].alias(c) for c in location))).alias("_places"))
+    earlier = "related_locations" in rows.columns
+    others = [c for c in rows.columns if c not in (key, "severity", "related_locations", "merged_manifestations", *lists)]
+    place = F.struct(*(F.col(c) for c in location + detail))
+    own = rows.select(key, ordinal, F.lit(0).alias("_p"), place.alias("_l"))
+    if earlier:
+        before = rows.select(key, ordinal, F.posexplode("related_locations").alias("_p", "_l")).where("_l is not null")
+        types = dict(zip(location + detail, (f.dataType for f in own.schema["_l"].dataType.fields)))
+        fields = before.schema["_l"].dataType.names
+        own = own.unionByName(before.select(key, ordinal, (F.col("_p") + 1).alias("_p"), F.struct(*((F.col(f"_l.{c}") if c in fields else F.lit(None)).cast(types[c]).alias(c) for c in location + detail)).alias("_l")))
+    first = F.struct(ordinal, "_p")
+    spots = own.groupBy(key, *(F.col(f"_l.{c}").alias(c) for c in location)).agg(F.min(first).alias("_o"), F.min_by("_l", first).alias("_l"))
+    spots = spots.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda x: x["_l"]).alias("_places"))
     out = rows.groupBy(key).agg(
         F.max_by(F.struct(*others), F.struct(score, -F.col(ordinal))).alias("_r"),
         F.min(severity_rank("severity")).alias("_rank"),
@@ -38,7 +50,66 @@ def merge(rows: DataFrame, key: str, score: Column, ordinal: str, location: list
         *([F.array_sort(F.collect_set(sources)).alias("merged_sources")] if sources else []),
     )
     merged = F.col("inputs") > 1
-    return out.join(spots, key).select(key, "_r.*", "severity", "inputs", *(["merged_sources"] if sources else []), F.when(merged, F.col("_places")).alias("related_locations"), F.when(merged, F.size("_places")).alias("merged_manifestations"))
+    # a row alone keeps what it had
+    kept = F.when(F.size("_places") > 1, F.slice("_places", 2, F.size("_places") - 1))
+    out = out.join(spots, key).select(key, "_r.*", "severity", "inputs", *(["merged_sources"] if sources else []), F.when(merged, F.col("_places")).otherwise(kept).alias("related_locations"), F.when(merged, F.size("_places")).alias("merged_manifestations"))
+    return out.join(union_lists(rows, key, ordinal, lists), key, "left") if lists else out
+
+
+def union_lists(rows: DataFrame, key: str, ordinal: str, lists: list[str]) -> DataFrame:
+    """key and, for each array column, its distinct items over the key's rows, by the first row and place; null where there are none."""
+    out = None
+    for c in lists:
+        items = rows.select(key, ordinal, F.posexplode(c).alias("_p", "_x")).where("_x is not null")
+        first = items.groupBy(key, "_x").agg(F.min(F.struct(ordinal, "_p")).alias("_f"))
+        own = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_x"))), lambda x: x["_x"]).alias(c))
+        out = own if out is None else out.join(own, key, "full")
+    return out
+
+
+def merge_counters(rows: DataFrame, key: str, semantic: str, queue: str) -> DataFrame:
+    """One row with the eight counters of a merge. rows: one an input; queue is confirmed, review, or moved (confirmed, held back for want of an origin).
+
+    semantic tells whether the key names a root cause, and is the same for a key's rows.
+    """
+    held = F.col(queue) != "confirmed"
+    per = rows.groupBy(key).agg(F.first(semantic).alias("_s"), F.count(F.when(~held, 1)).alias("_c"), F.count(F.when(held, 1)).alias("_h"), F.count(F.when(F.col(queue) == "moved", 1)).alias("_m"))
+    more = F.greatest(F.col("_c") - 1, F.lit(0)) + F.greatest(F.col("_h") - 1, F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per.agg(
+        *count_where(findings_total=F.col("_c") > 0, needs_review_total=(F.col("_c") == 0) & (F.col("_h") > 0)),
+        total(more).alias("findings_duplicate"),
+        total(F.when(F.col("_s"), more)).alias("semantic_duplicates_merged"),
+        total(F.when(~F.col("_s"), more)).alias("exact_duplicates_merged"),
+        *count_where(confirmed_review_conflicts_resolved=(F.col("_c") > 0) & (F.col("_h") > 0)),
+        total(F.when(~F.col("_s"), F.col("_c") + F.col("_h"))).alias("records_without_root_cause"),
+        total("_m").alias("moved_to_review_no_origin"),
+    )
+
+
+def lossless(coverage_ok, given, batched, batches, files) -> Column:
+    """Whether a verifier's receipt is whole: all candidates batched, and as many batch files as batches."""
+    return F.coalesce(F.col(coverage_ok) & (F.col(given) == F.col(batched)) & (F.col(batches) == F.col(files)), F.lit(False))
+
+
+def phases(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, phase, status, reason: four rows a run. runs: ai_excluded, hunt_files (null: no list was written), hunt_ok, gap_ok, verify_ok, merge_ok (null: no receipt)."""
+    empty = F.coalesce(F.col("hunt_files"), F.lit(0)) == 0
+    done = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "complete").otherwise("failed")
+    why = lambda c, told: F.when(F.col(c).isNull(), "missing receipt").when(~F.col(c), told).otherwise("")
+    row = lambda name, status, reason: F.struct(F.lit(name).alias("phase"), status.alias("status"), reason.alias("reason"))
+    hunter = row(
+        "ai_hunter",
+        F.when(F.col("ai_excluded"), "skipped").when(F.col("hunt_files").isNull(), "failed").when(empty, "not_applicable").otherwise(done("hunt_ok")),
+        F.when(F.col("ai_excluded"), "excluded").when(F.col("hunt_files").isNull(), "missing hunt scope").when(empty, "").otherwise(why("hunt_ok", "hunt coverage not ok")),
+    )
+    audit = row(
+        "ai_gap_audit",
+        F.when(F.col("ai_excluded"), "skipped").when(empty, "not_applicable").otherwise(done("gap_ok")),
+        F.when(F.col("ai_excluded"), "excluded").when(empty, "").otherwise(why("gap_ok", "audit coverage not ok")),
+    )
+    rest = [row("verifier", done("verify_ok"), why("verify_ok", "not lossless")), row("merge", done("merge_ok"), why("merge_ok", "receipt does not match"))]
+    return runs.select(*keys, F.inline(F.array(hunter, audit, *rest)))
 
 
 def distinct_structs(items: DataFrame, key: str, fields: list[str], ordinal: str) -> DataFrame:

@@ -123,6 +123,11 @@ def definitions(defs: DataFrame, name: str, owner: str | None = None) -> DataFra
     return out.where(F.col("owner") == owner) if owner else out
 
 
+def callees(defs: DataFrame, name: str, hint: str = "read the body and look up the definition of each name in it") -> DataFrame:
+    """Definitions of a method with a hint: no edges to what it calls are made, they come from looking its body's names up."""
+    return definitions(defs, name).withColumn("hint", F.lit(hint))
+
+
 def type_hierarchy(defs: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     """A type's definitions and what refers to it: role, file, line."""
     d = defs.where((F.col("name") == name) & F.col("kind").isin("class", "interface", "object", "enum", "type"))

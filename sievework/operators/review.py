@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import catalogue as C
@@ -90,14 +90,51 @@ def read_problems(reads: DataFrame, expected: DataFrame, keys: list[str] = ["bat
     return sets.select(*own, "problem").union(values.select(*own, "problem")).union(gaps)
 
 
-def case_problems(assessed: DataFrame, expected: DataFrame, candidates: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """batch, case_id, problem: cases missing, extra, repeated, of unknown status, or called a candidate without one (rule_id)."""
+def evidence_problems(rows: DataFrame, files: DataFrame, keys: list[str], must: Column) -> DataFrame:
+    """keys, problem of what backs a judgement: no signals or conclusion, no evidence where there must be some, places outside of the batch or the file.
+
+    rows: keys, signals_checked array<string>, conclusion, evidence array<struct<file, line>>; files: file, line_count of the batch (with the keys it shares with rows, such as batch).
+    """
+    blank = lambda x: x.isNull() | (F.trim(x) == "")
+    none = F.coalesce(F.size("evidence"), F.lit(0)) <= 0
+    own = F.array_compact(F.array(
+        F.when(F.coalesce(F.size("signals_checked"), F.lit(0)) <= 0, "signals").when(F.exists("signals_checked", blank), "signals"),
+        F.when(F.length(F.trim(F.coalesce("conclusion", F.lit("")))) < 4, "conclusion"),
+        F.when(must & none, "evidence"),
+    ))
+    shared = [c for c in files.columns if c in keys]
+    known = files.select(*shared, F.col("file").alias("_file"), F.col("line_count").alias("_lines"))
+    spots = rows.select(*keys, F.explode("evidence").alias("_e")).select(*keys, F.replace(F.col("_e.file"), F.lit("\\"), F.lit("/")).alias("_file"), F.col("_e.line").alias("_line"))
+    placed = spots.join(known, [*shared, "_file"], "left")
+    wrong = F.array_compact(F.array(
+        F.when(F.col("_lines").isNull(), "evidence-file"),
+        F.when(F.col("_line").isNull() | (F.col("_line") < 1), "evidence-line").when(F.col("_line") > F.col("_lines"), "evidence-range"),
+    ))
+    return rows.select(*keys, F.explode(own).alias("problem")).union(placed.select(*keys, F.explode(wrong).alias("problem")))
+
+
+def case_problems(assessed: DataFrame, expected: DataFrame, candidates: DataFrame, statuses: tuple[str, ...], files: DataFrame | None = None, status: str = "status", backed: tuple[str, ...] = ("candidate", "mitigated"), undecided: str = "needs_context") -> DataFrame:
+    """batch, case_id, problem: cases missing, extra, repeated, of unknown status, or called a candidate without one (rule_id).
+
+    With files (batch, file, line_count) also what the evidence lacks (evidence_problems), and cases left undecided.
+    """
     keys = ["batch", "case_id"]
     sets = J.compare_sets(expected, assessed, keys).select(*keys, "problem")
-    unknown = assessed.where(~F.col("status").isin(*statuses)).select(*keys, F.lit("status").alias("problem"))
+    known = F.coalesce(F.col(status).isin(*statuses), F.lit(False))
+    unknown = assessed.where(~known).select(*keys, F.lit("status").alias("problem"))
     have = candidates.select("batch", F.col("rule_id").alias("case_id")).distinct()
-    unbacked = assessed.where("status in ('candidate', 'new_candidate')").join(have, keys, "left_anti").select(*keys, F.lit("no-candidate").alias("problem"))
-    return sets.union(unknown).union(unbacked)
+    unbacked = assessed.where(F.col(status).isin("candidate", "new_candidate")).join(have, keys, "left_anti").select(*keys, F.lit("no-candidate").alias("problem"))
+    out = sets.union(unknown).union(unbacked)
+    if files is None:
+        return out
+    planned = assessed.where(known).join(expected.select(*keys).distinct(), keys, "left_semi")
+    open_ = planned.where(F.col(status) == undecided).select(*keys, F.lit("undecided").alias("problem"))
+    return out.union(open_).union(evidence_problems(planned, files, keys, F.col(status).isin(*backed)))
+
+
+def audit_case_problems(audits: DataFrame, expected: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """The same of an auditor's rows, whose judgement is a disposition."""
+    return case_problems(audits, expected, candidates, tuple(C.DISPOSITIONS), files, "disposition", ("agree_mitigated", "new_candidate"), "unresolved")
 
 
 def audit_plan(assessed: DataFrame, planned: DataFrame) -> DataFrame:
@@ -139,7 +176,8 @@ def impact_slice(files: DataFrame, changed: DataFrame, edges: DataFrame, definit
 def merge_findings(confirmed: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, needs_review): required fields or nothing, the gate, identities, merging, and confirmed rows beating reviews.
 
-    confirmed: the required fields, dataflow_path, origin_trace, root_cause, ordinal; review: file, line, category, rule_id, root_cause, ordinal, ...
+    confirmed: the required fields, dataflow_path, origin_trace, root_cause, ordinal, and, where there are, candidate_id, source_candidate_ids,
+    provenance and related_locations, which a merged finding keeps of all its rows; review: file, line, category, rule_id, root_cause, ordinal, ...
     """
     P.require(P.missing_fields(confirmed, P.CONFIRMED_FIELDS), "confirmed rows lack fields")
     P.require(P.missing_fields(review, P.REVIEW_FIELDS), "review rows lack fields")
@@ -147,12 +185,27 @@ def merge_findings(confirmed: DataFrame, review: DataFrame) -> tuple[DataFrame,
     key = S.identity("file", "line", "category", "rule_id", "root_cause.primary_file", "root_cause.symbol", "root_cause.failure_mode")
     named = lambda df: df.withColumn("_i", key).withColumns({"key": F.col("_i.key"), "id": F.col("_i.id"), "dedup_scope": F.when(F.col("_i.semantic"), "root_cause").otherwise("exact")}).drop("_i")
     score = A.richness("evidence", "why", "repro", "suggestion", F.to_json("dataflow_path"), F.to_json("origin_trace"))
-    findings = A.merge(named(P.confirmed_record(gated.where("queue = 'confirmed'"))), "key", score, "ordinal", ["file", "line", "rule_id", "category"])
+    own = named(P.confirmed_record(gated.where("queue = 'confirmed'")))
+    ids = [F.col("source_candidate_ids")] if "source_candidate_ids" in own.columns else []
+    if "candidate_id" in own.columns:
+        ids.append(F.array("candidate_id"))
+    if ids:
+        own = own.withColumn("source_candidate_ids", F.filter(F.concat(*(F.coalesce(x.cast("array<string>"), F.array().cast("array<string>")) for x in ids)), lambda x: x != ""))
+    lists = [c for c in ("source_candidate_ids", "provenance") if c in own.columns]
+    findings = A.merge(own, "key", score, "ordinal", ["file", "line", "rule_id", "category"], detail=["end_line", "title"], lists=lists)
     held = named(P.review_record(gated.where("queue = 'needs_review'"))).unionByName(named(P.review_record(review)), allowMissingColumns=True)
     left, _ = J.beats(findings, held, ["key"])
     return findings, A.distinct_structs(left, "key", [], "ordinal")
 
 
+def merge_receipt(confirmed: DataFrame, review: DataFrame) -> DataFrame:
+    """The eight counters of merge_findings over the same inputs."""
+    key = S.identity("file", "line", "category", "rule_id", "root_cause.primary_file", "root_cause.symbol", "root_cause.failure_mode")
+    held = P.needs_origin("category") & ~P.has_items("dataflow_path", "origin_trace")
+    one = lambda df, queue: df.select(key.alias("i"), queue.alias("queue")).select(F.col("i.key").alias("key"), F.col("i.semantic").alias("semantic"), "queue")
+    return A.merge_counters(one(confirmed, F.when(held, "moved").otherwise("confirmed")).union(one(review, F.lit("review"))), "key", "semantic", "queue")
+
+
 def enriched(rows: DataFrame) -> DataFrame:
     """Candidates with ids and the kind of their source, told by its file name."""
     return B.enrich(rows, "source", "index", "json", {r"^hunt": "ai_hunter", r"^gap": "ai_gap_auditor"}, "tool_engine")

@@ -1,4 +1,4 @@
 """Registered queries and the SQL that computes the same rows."""
 
-from . import structure  # noqa: F401  (registers its queries)
+from . import project, structure  # noqa: F401  (register their queries)
 from .evidence import ORACLES, QUERIES  # noqa: F401

@@ -64,6 +64,14 @@ def markdown(findings: DataFrame, title: str) -> DataFrame:
     return head.unionByName(items).orderBy("_r", "category", "file", "line").select("text")
 
 
+def skeletons(defs: DataFrame) -> DataFrame:
+    """file, text: a head and the signatures of a file's definitions (file, line, kind, sig) by line; a method without a body's brace ends in dots."""
+    cut = (F.col("kind") == "method") & ~F.rtrim("sig").rlike(r"[{;]$")
+    line = F.concat(F.lit("  "), "sig", F.when(cut, "  ...").otherwise(""))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line", line.alias("text")))), lambda x: x.text)
+    return defs.groupBy("file").agg(rows.alias("_l")).select("file", F.concat(F.lit("### "), "file", F.lit("\n"), F.array_join("_l", "\n")).alias("text"))
+
+
 def status_lines(stats: DataFrame, scanned: str = "%s: %s, %d candidates") -> DataFrame:
     """One banner line an engine."""
     return stats.select("engine", F.format_string(scanned, "engine", "status", F.coalesce("candidates", F.lit(0))).alias("text"))

@@ -89,3 +89,60 @@ def test_final_merge(spark):
     assert sorted((r["line"], r["status"]) for r in held.collect()) == [(3, "needs_review"), (6, "needs_review")]
     with pytest.raises(ValueError):
         R.merge_findings(made([row(1, title=" ")]), review)
+
+
+def test_merge_keeps_provenance(spark):
+    place = "array<struct<file:string,line:int,rule_id:string,category:string>>"
+    form = f"{SCHEMA}, candidate_id string, source_candidate_ids array<string>, provenance array<struct<engine:string>>, related_locations {place}"
+    root = ("a.kt", "f", "leak")
+    row = lambda o, ids, cid, prov, near, cause=root: ("a.kt", o, None, "R", "stability/x", "minor", f"t{o}", "e" * o, "w", "r", "s", None, None, cause, o, cid, ids, prov, near)
+    rows = spark.createDataFrame([row(1, ["x", ""], "c1", [("pmd",)], [("z.kt", 9, "R", "stability/x"), ("a.kt", 2, "R", "stability/x")]), row(2, ["x", "y"], None, [("lint",), ("pmd",)], None), row(7, None, None, None, [("q", 1, "R", "c")], None)], form)
+    findings, held = R.merge_findings(rows, rows.limit(0))
+    got = {r["line"]: r for r in findings.collect()}
+    assert got[2]["source_candidate_ids"] == ["x", "c1", "y"] and [p["engine"] for p in got[2]["provenance"]] == ["pmd", "lint"]
+    assert [(p["file"], p["line"], p["title"]) for p in got[2]["related_locations"]] == [("a.kt", 1, "t1"), ("z.kt", 9, None), ("a.kt", 2, None)] and got[2]["merged_manifestations"] == 3
+    assert [p["file"] for p in got[7]["related_locations"]] == ["q"] and got[7]["merged_manifestations"] is None and got[7]["provenance"] is None
+    counters = R.merge_receipt(rows, rows.where("line = 2")).first().asDict()
+    assert counters == {"findings_total": 2, "needs_review_total": 0, "findings_duplicate": 1, "semantic_duplicates_merged": 1, "exact_duplicates_merged": 0, "confirmed_review_conflicts_resolved": 1, "records_without_root_cause": 1, "moved_to_review_no_origin": 0}
+
+
+def test_case_evidence(spark):
+    spot = "array<struct<file:string,line:int>>"
+    audits = spark.createDataFrame(
+        [
+            (1, "A", "new_candidate", ["s"], "long enough", [("x\\a.kt", 3)]),
+            (1, "B", "agree_mitigated", [], "no", None),
+            (1, "C", "agree_no_signal", ["s", " "], "fine then", [("b.kt", 1), ("x/a.kt", 0), ("x/a.kt", 9)]),
+            (1, "D", "unresolved", ["s"], "fine then", None),
+            (1, "E", None, None, None, None),
+            (2, "A", "agree_no_signal", ["s"], "fine then", [("x/a.kt", 1)]),
+        ],
+        f"batch int, case_id string, disposition string, signals_checked array<string>, conclusion string, evidence {spot}",
+    )
+    expected = spark.createDataFrame([(1, c) for c in "ABCDE"] + [(2, "A")], "batch int, case_id string")
+    files = spark.createDataFrame([(1, "x/a.kt", 5)], "batch int, file string, line_count int")
+    none = spark.createDataFrame([], "batch int, rule_id string")
+    got = sorted((r["batch"], r["case_id"], r["problem"]) for r in R.audit_case_problems(audits, expected, none, files).collect())
+    assert got == sorted([(1, "A", "no-candidate"), (1, "B", "signals"), (1, "B", "conclusion"), (1, "B", "evidence"), (1, "C", "signals"), (1, "C", "evidence-file"), (1, "C", "evidence-line"), (1, "C", "evidence-range"), (1, "D", "undecided"), (1, "E", "status"), (2, "A", "evidence-file")])
+
+
+def test_project_facts(spark):
+    from sievework.sources import readers
+
+    a = "android { compileSdkVersion(33)\n buildTypes { } \n productFlavors {\n paid { }\n dimension { } }\n manifestPlaceholders['k'] = 1 }"
+    b = "plugins { id 'com.android.library' }\nminSdk = 21\nproductFlavors { create('free') { } }"
+    scripts = spark.createDataFrame([("app", "app/build.gradle", a), ("app", "app/build.gradle.kts", b), ("x", "x/build.gradle", a)], "module string, file string, text string")
+    files = spark.createDataFrame([("app/src/main/A.kt",), ("app/src/paid/A.kt",), ("y/src/main/B.kt",)], "file string")
+    got = {r["module"]: r for r in readers.project_facts(scripts, files, ["app", "lib"]).collect()}
+    assert set(got) == {"app"} and got["app"]["flavors"] == ["free", "paid"] and got["app"]["source_sets"] == ["main", "paid"]
+    assert got["app"]["min_sdk"] == 21 and got["app"]["compile_sdk"] is None and got["app"]["build_types"] == ["debug", "release"] and got["app"]["manifest_placeholder_keys"] == []
+
+
+def test_callees_and_canonical_text(spark):
+    from sievework.functions import scalar as S
+
+    defs = spark.createDataFrame([("f", "A", "a.kt", 1), ("g", "A", "a.kt", 2)], "name string, owner string, file string, line int")
+    assert [(r["line"], bool(r["hint"])) for r in J.callees(defs, "f").collect()] == [(1, True)]
+    rows = spark.createDataFrame([('{"b": [1, {"d": null, "c": "ü"}], "a": 1.5}',), ("oops",), (None,), ("[2]",)], "j string")
+    got = [(r["a"], r["b"]) for r in rows.select(S.canonical_text("j").alias("a"), S.canonical_text("j", ["a"]).alias("b")).collect()]
+    assert got == [('{"a": 1.5, "b": [1, {"c": "ü", "d": null}]}', '{"a": 1.5}'), (None, '{"a": null}'), (None, '{"a": null}'), ("[2]", '{"a": null}')]

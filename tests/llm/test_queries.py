@@ -61,9 +61,65 @@ def ids(name, text):
     return np.array([*own.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
+def plain_kneser_ney(train, texts):
+    """Perplexity of each text by a 5-gram model over characters in dictionaries; None without characters."""
+    symbol = lambda c: ord(c) if ord(c) < 2048 else 2048 + (ord(c) * 0x9E3779B97F4A7C15 % 2**64 >> 53)
+    grams = lambda t: [tuple(x[i : i + 5]) for x in [[0] * 4 + [symbol(c) for c in t]] for i in range(len(t))]
+    seen = {5: Counter(g for t in train for g in grams(t))}
+    for k in (4, 3, 2, 1):
+        seen[k] = Counter(g[1:] for g in seen[k + 1])
+    cuts, total, mass = {}, defaultdict(int), defaultdict(float)
+    for k in range(1, 6):
+        t1, t2, t3, t4 = (sum(c == i for c in seen[k].values()) for i in (1, 2, 3, 4))
+        y = t1 / (t1 + 2 * t2) if t1 else 0
+        exact = [1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3 if t4 else 0.5] if min(t1, t2, t3) else [0.5] * 3
+        cuts[k] = [min(max(d, 0), i + 1) for i, d in enumerate(exact)]
+        for g, c in seen[k].items():
+            total[g[:-1]] += c if k > 1 else 0
+            mass[g[:-1]] += cuts[k][min(c, 3) - 1] if k > 1 else 0
+    whole, spare = sum(seen[1].values()), sum(cuts[1][min(c, 3) - 1] for c in seen[1].values())
+
+    def p(g):
+        c = seen[len(g)].get(g, 0)
+        own = max(c - cuts[len(g)][min(c, 3) - 1], 0) if c else 0
+        if len(g) == 1:
+            return own / whole + spare / whole / 4096
+        return (own + mass[g[:-1]] * p(g[1:])) / total[g[:-1]] if total.get(g[:-1]) else p(g[1:])
+
+    return [float(np.exp(-np.mean([np.log(p(g)) for g in grams(t)]))) if t else None for t in texts]
+
+
 def test_op1(spark, tables):
-    got = Counter(r["doc_id"] for r in run["op1"](spark, tables[0]).collect())
-    assert got == Counter(r[0] for r in tables[1]["documents"])
+    docs, labels = tables[1]["documents"], tables[1]["labels"]
+    good = {i for i, quality, _ in labels if quality == 1 and i is not None}
+    held = {r[0] for r in spark.createDataFrame([(r[0],) for r in docs if r[0] is not None], "i long").where("pmod(xxhash64(i), 5) = 0").collect()}
+    perplexity = plain_kneser_ney([r[1] or "" for r in docs if r[0] in good - held], [r[1] for r in docs])
+    low = lambda values, q: sorted(values)[max(int(np.ceil(q * len(values))), 1) - 1]
+    unseen = [(r[2], np.log(x), len(r[1])) for r, x in zip(docs, perplexity) if r[0] in good & held and x]
+    assert len(unseen) >= 5
+    spread = lambda n: (1 + 600 / n) ** 0.5
+
+    def drawn(values, q):
+        common = low([v for _, v in values], q)
+        own = defaultdict(list)
+        for lang, v in values:
+            own[lang].append(v)
+        own.pop(None, None)
+        return defaultdict(lambda: common, {k: (len(v) * low(v, q) + 50 * common) / (len(v) + 50) for k, v in own.items()})
+
+    centre = drawn([(lang, x) for lang, x, _ in unseen], 0.5)
+    high = drawn([(lang, (x - centre[lang]) / spread(n)) for lang, x, n in unseen], 0.995)
+    got = sorted(run["op1"](spark, tables[0]).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["perplexity"] or 0))
+    want = sorted(zip(docs, perplexity), key=lambda x: (x[0][0] is None, x[0][0], x[1] or 0))
+    assert len(got) == len(want) and {r["kept"] for r in got} == {True, False}
+    for r, (d, x) in zip(got, want):
+        assert r["doc_id"] == d[0] and r["lang"] == d[2] and (r["perplexity"] is None) == (x is None)
+        if x is None:
+            assert not r["kept"]
+            continue
+        assert r["perplexity"] == pytest.approx(x, rel=1e-5)
+        over = (np.log(x) - centre[d[2]]) / spread(len(d[1])) - high[d[2]]
+        assert r["kept"] == (over <= 0) or abs(over) < 1e-5
 
 
 def test_op2(spark, tables):
@@ -81,6 +137,47 @@ def test_op2(spark, tables):
     assert "random:4:68" in spans[len(ODD) + 2] and "assign:" in spans[len(ODD)]
 
 
+@pytest.mark.parametrize("rate", [0.001, 0.3])
+def test_op2_added_spans(spark, rate):
+    """All spans against the step-up procedure in its plain form: sort the p of a stratum, take the last that is small enough for its rank."""
+    rng = random.Random(31)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [prose(rng, 30, 900) for _ in range(30)]
+    for n in (16, 17, 20, 22, 24, 30, 40, 64, 130):
+        for make in (lambda: "".join(rng.choices(signs, k=n)), lambda: "".join(rng.choices("0123456789abcdef", k=n)), lambda: "_".join(prose(rng, 9, 900).split())[: n - 4] + "2024", lambda: "a1" * (n // 2)):
+            texts.append(f"{prose(rng, 4, 900)} {make()} x={make()}/{make()}-{make()} é{make()}")
+    texts += [None, "", texts[-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["s"], x["e"], x["k"]) for x in r["spans"]] for r in secrets.find(docs, rate).collect()}
+    floor = lambda p: int(min(40, -np.log10(max(p, 1e-300))) * 100) / 100
+    edges = [16, 20, 24, 32, 40, 48, 64, 96, 128, 10**9]
+    base, added, strata = {}, defaultdict(list), defaultdict(list)
+    for i, text in enumerate(texts):
+        base[i] = [(s, e, k) for s, e, k in secrets.base_spans(text or "")]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text or ""):
+            if not re.search("[0-9]", m[0]) or m[0].isdigit():
+                continue
+            places, tries = secrets.parts(m[0])
+            tested = [(0.9**cuts * np.log10(max(min(1, secrets.battery(m[0][s:e]) * tries), 1e-300)), s - e, s, e) for (s, e), cuts in places.items()]
+            taken = []
+            for score, _, s, e in sorted(tested):
+                if all(e <= a or b <= s for a, b in taken):
+                    taken.append((s, e))
+                    p = min(1, secrets.battery(m[0][s:e]) * tries)
+                    kind = sum(x <= e - s for x in edges)
+                    added[i].append((m.start() + s, m.start() + e, kind, floor(p)))
+                    strata[kind].append(floor(p))
+    least = {}
+    for kind, scores in strata.items():
+        ranked = sorted(scores, reverse=True)
+        passing = [x for k, x in enumerate(ranked, 1) if 10**-x <= rate * sum(y >= x for y in ranked) / len(ranked) * (1 + 1e-12)]
+        least[kind] = min(passing, default=99)
+    for i in range(len(texts)):
+        own = [(s, e, 3) for s, e, kind, x in added[i] if x >= least[kind] and not any(a <= s and e <= b for a, b, _ in base[i])]
+        assert got[i] == sorted(base[i] + own, key=lambda x: (x[0], x[2], x[1]))
+    assert sum(k == 3 for x in got.values() for _, _, k in x) >= 20
+
+
 def test_op3(spark, tables):
     own = [(i, np.array(v)) for i, v, _ in tables[1]["embeddings"]]
     good = [(i, v / np.linalg.norm(v)) for i, v in own if v.ndim and len(v) == 8 and np.isfinite(v).all() and np.linalg.norm(v)]

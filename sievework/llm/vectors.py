@@ -241,9 +241,10 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     good = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    node = F.when(good, F.xxhash64("vector"))
-    rows = vectors.withColumn("node", node)
-    classes = written(rows.where("node is not null").groupBy("node", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first")), "classes")
+    # 128 bits tell vectors apart in the shuffle and in the last join; a class has a number of its own between them
+    rows = vectors.withColumns({"h1": F.when(good, F.xxhash64("vector")), "h2": F.when(good, F.xxhash64(F.lit(1), "vector"))})
+    classes = rows.where("h1 is not null").groupBy("h1", "h2", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = None
     for (size,) in sorted(classes.select(F.size("vector")).distinct().collect()):
         own = links(classes.where(F.size("vector") == size).select("node", "vector", "copies"), size, cosine)
@@ -254,10 +255,10 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = written(found, "found")
     counts = found.where("kind = 0").groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("n"))
     root = components(found.where("kind = 1").select("u", "v"))
-    named = classes.select("node", "copies", "first").join(counts, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "h1", "h2", "copies", "first").join(counts, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(small(named), "node", "left")
+    named = named.join(least, "root").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "h1", "h2").join(small(named), ["h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
 
 

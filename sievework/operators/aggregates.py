@@ -178,6 +178,21 @@ def sample_coverage(results: DataFrame, planned: DataFrame, least: int) -> DataF
     return out.withColumn("covered", (F.col("samples") >= least) & (F.col("problems") == 0))
 
 
+def attested_coverage(expected: DataFrame, attested: DataFrame, results: DataFrame, least: int) -> DataFrame:
+    """batch, samples, results, missing, stray, ok: plans of the first version, whose receipts and results are counted apart.
+
+    expected: batch, perspective (null: none); attested: batch, sample, perspective (null: none); results: batch, sample. A batch is
+    ok when each expected perspective is in some receipt and there are as many results as receipts, `least` and one at least.
+    """
+    lacks = expected.where("perspective is not null").distinct().join(attested.select("batch", "perspective").distinct(), ["batch", "perspective"], "left_anti")
+    lacks = lacks.groupBy("batch").agg(F.array_join(F.array_sort(F.collect_set("perspective")), ",").alias("missing"))
+    n = lambda df, name: df.groupBy("batch").agg(F.countDistinct("sample").alias(name))
+    out = expected.select("batch").distinct().withColumn("_e", F.lit(True)).join(n(attested, "samples"), "batch", "full").join(n(results, "results"), "batch", "full")
+    out = out.join(lacks, "batch", "left").na.fill(0, ["samples", "results"]).na.fill("", ["missing"])
+    fits = F.col("_e").isNotNull() & (F.col("missing") == "") & (F.col("samples") == F.col("results")) & (F.col("samples") >= max(least, 1))
+    return out.select("batch", "samples", "results", "missing", F.col("_e").isNull().alias("stray"), fits.alias("ok"))
+
+
 def case_status(assessed: DataFrame, planned: DataFrame, keys: list[str], negative: list[str]) -> DataFrame:
     """keys, statuses, negative (all statuses are, or there is none), disagreement (several distinct ones)."""
     s = assessed.groupBy(*keys).agg(F.countDistinct("status").alias("_n"), F.bool_and(F.col("status").isin(*negative)).alias("_neg"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
@@ -198,9 +213,9 @@ def precision_recall(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, path: str, content: str) -> DataFrame:
-    """One SHA-256 over the sorted (path, SHA-256 of content) pairs of a rule set, which is a short list."""
-    line = F.concat(F.col(path), F.lit("\0"), F.sha2(F.col(content), 256), F.lit("\0"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
+    """One SHA-256 over path, NUL, content, NUL of a rule set's files by path. A rule set is a short list of small files."""
+    line = F.struct(F.col(path).alias("p"), F.concat(F.hex(F.encode(path, "UTF-8")), F.lit("00"), F.hex(F.col(content).cast("binary")), F.lit("00")).alias("x"))
+    return rows.agg(F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda v: v.x), "")), 256).alias("fingerprint"))
 
 
 def rule_kinds(hits: DataFrame, configured: DataFrame) -> DataFrame:

@@ -86,6 +86,24 @@ def partition_problems(inputs: DataFrame, outputs: DataFrame, key: str) -> DataF
     return counts.withColumn("problem", problem).where("problem is not null").select(key, "problem")
 
 
+def provenance_problems(records: DataFrame, inputs: DataFrame) -> DataFrame:
+    """record, problem: records whose provenance (array of canonical texts) is not, as a set without repeats, that of their inputs.
+
+    records: record, source_candidate_ids, provenance; inputs: candidate_id, provenance.
+    """
+    asked = records.select("record", F.explode(F.array_distinct("source_candidate_ids")).alias("candidate_id"))
+    met = asked.join(inputs.select("candidate_id", F.col("provenance").alias("_p"), F.lit(True).alias("_known")), "candidate_id", "left")
+    want = met.groupBy("record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("_p", F.array().cast("array<string>")))))).alias("_want"), F.bool_or(F.col("_known").isNull()).alias("_unknown"))
+    p = F.coalesce("provenance", F.array().cast("array<string>"))
+    both = records.join(want, "record", "left").withColumn("_want", F.coalesce("_want", F.array().cast("array<string>")))
+    found = F.array_compact(F.array(
+        F.when(F.coalesce(F.size("source_candidate_ids"), F.lit(0)) <= 0, "no-source").when(F.size("source_candidate_ids") != F.size(F.array_distinct("source_candidate_ids")), "repeated-source"),
+        F.when(F.col("_unknown"), "unknown-source"),
+        F.when(F.size(p) <= 0, "no-provenance").when((F.size(p) != F.size(F.array_distinct(p))) | (F.array_sort(p) != F.col("_want")), "provenance"),
+    ))
+    return both.select("record", F.explode(found).alias("problem"))
+
+
 def plan_difference(planned: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Rows that only one side has, with `side`; repeated rows count."""
     return planned.exceptAll(rebuilt.select(planned.columns)).withColumn("side", F.lit("planned")).union(rebuilt.select(planned.columns).exceptAll(planned).withColumn("side", F.lit("rebuilt")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.scalar import fence, severity_rank
+from sievework.functions.scalar import fence, percent, severity_rank
 
 # Fields of a run manifest that later phases may not change.
 MANIFEST_VERSION = 1
@@ -64,6 +64,57 @@ def markdown(findings: DataFrame, title: str) -> DataFrame:
     return head.unionByName(items).orderBy("_r", "category", "file", "line").select("text")
 
 
+# Heads, labels and default reasons of the report of undecided items, by language.
+REVIEW_TEXTS = {
+    "zh": ("# 待复核项", "> 这些条目有有效线索，但当前证据不足以确认或排除。它们不计入正式 finding。", "待复核：", "位置", "复核原因", "证据不足", "缺少证据", "现有线索：", "、"),
+    "en": ("# Needs review", "> These items have useful signals, but current evidence is insufficient to confirm or reject them. They are not confirmed findings.", "Needs review:", "Location", "Review reason", "Insufficient evidence", "Missing evidence", "Current evidence:", ", "),
+}
+
+
+def review_report(items: DataFrame, language: str = "zh") -> DataFrame:
+    """The lines (text) of the report of undecided items in report order, below a head with their number. items: rule_id, title,
+    category, severity, file, line, review_reason, missing_evidence array<string>, evidence."""
+    head, note, count, place, why, default, lacks, shown, comma = REVIEW_TEXTS["en" if language == "en" else "zh"]
+    said = lambda c, other="": F.coalesce(F.col(c).cast("string"), F.lit(other))
+    missing = F.array_join("missing_evidence", comma)
+    mark = F.lit("```")
+    text = F.concat(
+        F.lit("## "), said("rule_id", "?"), F.lit(" · "), said("title"), F.lit(f"\n\n{place}: `"), said("file"), F.lit(":"), said("line", "0"), F.lit(f"`\n\n{why}: "), said("review_reason", default),
+        F.when(F.coalesce(missing, F.lit("")) != "", F.concat(F.lit(f"\n\n{lacks}: "), missing)).otherwise(""),
+        F.when(said("evidence") != "", F.concat(F.lit(f"\n\n{shown}\n\n"), mark, fence("file"), F.lit("\n"), F.col("evidence"), F.lit("\n"), mark)).otherwise(""),
+        F.lit("\n\n---\n"),
+    )
+    rows = items.select(severity_rank("severity").alias("_r"), said("category").alias("_c"), said("file").alias("_f"), F.col("line").cast("long").alias("_l"), text.alias("text"))
+    top = items.agg(F.count("*").alias("n")).select(F.lit(-1).alias("_r"), F.lit("").alias("_c"), F.lit("").alias("_f"), F.lit(0).cast("long").alias("_l"), F.format_string(f"{head}\n\n{note}\n\n**{count}** %d\n", "n").alias("text"))
+    return top.unionByName(rows).orderBy("_r", "_c", "_f", "_l").select("text")
+
+
+def map_receipt(map_text: DataFrame, batch_text: DataFrame, backend: str) -> DataFrame:
+    """The receipt of a map (file, text) that was made for a batch (file, text): names, SHA-256, backend, whether it is degraded or cut."""
+    cut = F.col("text").contains("截断") | F.col("text").contains("已用尽") | F.col("text").contains("[truncated")
+    m = map_text.select(F.col("file").alias("map_file"), F.sha2("text", 256).alias("map_sha256"), cut.alias("map_truncated"))
+    b = batch_text.select(F.col("file").alias("batch_file"), F.sha2("text", 256).alias("batch_sha256"))
+    return m.join(F.broadcast(b), how="left").select(F.lit(2).alias("schema_version"), F.lit(backend).alias("backend"), (F.lit(backend) != "treesitter").alias("degraded"), "*")  # one row each
+
+
+def degraded_map(files: DataFrame) -> DataFrame:
+    """file, text, degraded: the map of files without an index, which says so for each of them."""
+    return files.select("file", F.concat(F.lit("### "), "file", F.lit("\n  (no signatures without an index: read this file)")).alias("text"), F.lit(True).alias("degraded"))
+
+
+def benchmark_report(scores: DataFrame) -> DataFrame:
+    """The lines (text) of a table of navigation scores (backend, tp, fp, fn, precision, recall, f1, seconds) by backend; a dash for what is undefined."""
+    line = F.concat(F.lit("| `"), "backend", F.lit("` | "), percent("precision"), F.lit(" | "), percent("recall"), F.lit(" | "), percent("f1"), F.lit(" | "), F.concat_ws("/", F.col("tp").cast("string"), (F.col("tp") + F.col("fp")).cast("string"), (F.col("tp") + F.col("fn")).cast("string")), F.lit(" | "), F.round("seconds", 2).cast("string"), F.lit(" |"))
+    head = scores.sparkSession.createDataFrame([("", 0, "| backend | precision | recall | F1 | hits/returned/truth | seconds |"), ("", 1, "|---|---|---|---|---|---|")], "b string, k int, text string")
+    return head.unionByName(scores.select(F.col("backend").alias("b"), F.lit(2).alias("k"), line.alias("text"))).orderBy("k", "b").select("text")
+
+
+def write_audit(plan: DataFrame, artefacts: dict[str, DataFrame], base: str, run_id: str) -> None:
+    """An audit's plan and artefacts as JSON below the run's own folder, so that those of an older plan are never read with them."""
+    for name, df in {**artefacts, "gap_audit_plan": plan}.items():
+        df.write.mode("errorifexists").json(run_path(base, run_id, name))
+
+
 def skeletons(defs: DataFrame) -> DataFrame:
     """file, text: a head and the signatures of a file's definitions (file, line, kind, sig) by line; a method without a body's brace ends in dots."""
     cut = (F.col("kind") == "method") & ~F.rtrim("sig").rlike(r"[{;]$")

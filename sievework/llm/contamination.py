@@ -17,7 +17,7 @@ from .common import arrow_map, table
 BUDGET = 0.08
 #: Bytes of benchmark text whose pieces one pass carries to the executors; a larger benchmark takes several passes.
 PASS_BYTES = 4 << 20
-_OTHER = re.compile(r"[^\w]+|_+")
+_OTHER = re.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:

@@ -33,7 +33,7 @@ def url_key(url):
 
 
 def verdicts(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages with `refers_to`: the response's page_id where a row is a revisit.
+    """pages with the payload's `digest` and `refers_to`: the response's page_id where a row is a revisit.
 
     Payloads move once, dealt by their page_id; the digests' groups, which may be large, are only counted and joined.
     """
@@ -43,7 +43,7 @@ def verdicts(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     first = ids.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
     other = ids.join(first, "digest").where("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
     p, o = pages.alias("p"), other.alias("o")
-    return p.join(o, F.col("p.page_id").eqNullSafe(F.col("o.page_id")) & (F.col("p.digest") == F.col("o.digest")), "left").select("p.*", "o.refers_to").drop("digest")
+    return p.join(o, F.col("p.page_id").eqNullSafe(F.col("o.page_id")) & (F.col("p.digest") == F.col("o.digest")), "left").select("p.*", "o.refers_to")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -99,6 +99,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     Returns the index runs: each task sorts its captures by URL key and time, writes its files in that order and gives
     one run of index rows. Among equal payloads of at least least_bytes bytes the row with the largest page_id is the
     response (rows that repeat it too), the others are revisits. A null html is empty; a null url and page_id are kept.
+    Rows that tie in all of that have equal records, so a task that runs again writes the same bytes.
     """
 
     def run(batches):
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
 
     when = F.col("captured").cast("string") if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pages = pages.select("page_id", "url", "html", F.coalesce(when, F.lit("1970-01-01T00:00:00Z")).alias("captured"))
-    ordered = verdicts(pages, least_bytes).withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("url_key", "captured", "page_id")
+    ordered = verdicts(pages, least_bytes).withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("url_key", "captured", "page_id", "digest", "url", "refers_to")
     return written(arrow_map(ordered, run, RUN), "runs")
 
 
@@ -235,4 +236,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not runs.head(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, index_part long, index_pos long")
     index = merge_index(runs).select("file", "offset", F.col("part").alias("index_part"), F.col("pos").alias("index_pos"))
-    return read_archives(spark, path).join(index, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_part", "index_pos")
+    return indexed(read_archives(spark, path).drop("payload"), index)
+
+
+def indexed(records: DataFrame, index: DataFrame) -> DataFrame:
+    """The records with their places in the index; a record or an entry without the other stops the job."""
+    both = records.withColumn("read", F.lit(True)).join(index, ["file", "offset"], "full")
+    whole = F.col("read") & F.col("index_pos").isNotNull()
+    lost = F.raise_error(F.concat(F.lit("record and index differ at "), F.col("file"), F.lit(":"), F.col("offset").cast("string")))
+    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_part", F.when(whole, F.col("index_pos")).otherwise(lost.cast("long")).alias("index_pos"))

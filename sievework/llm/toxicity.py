@@ -322,8 +322,11 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, size_bytes: i
     drawn = written(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     sizes = drawn.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # at most `size` rows
     sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
-    fits = np.cumsum([r["n"] for r in sizes]) <= size_bytes
-    kept = [r["doc_id"] for r, ok in zip(sizes, fits) if ok]
+    kept, room = [], size_bytes
+    for r in sizes:  # a text that does not fit is passed over
+        if r["n"] <= room:
+            kept.append(r["doc_id"])
+            room -= r["n"]
     rows = (drawn if len(kept) == len(sizes) else drawn.where(F.col("doc_id").isin(kept))).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [int(r["toxic"] != 0) for r in rows]

@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import contamination, queries, secrets, tokens, toxicity
+from sievework.llm import contamination, queries, secrets, tokens, toxicity, warc
 
 from .test_llm import ODD, brute_jaccard, edit_distance_inside, prose
 
@@ -201,6 +202,20 @@ def test_op4(spark, tables):
     assert Counter((r["doc_id"], r["item_id"]) for r in run["op4"](spark, tables[0]).collect()) == want and len(want) >= 2
 
 
+def test_op4_signs_between_words(spark, monkeypatch):
+    """Any mix of signs is one space, told by a normaliser of its own; items of several passes."""
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    docs = [(1, "in new_ york now"), (2, "in new-york now"), (3, "in newyork now"), (4, "__New__--__York__"), (5, "a _-_ b"), (6, "anew york"), (7, "x_y-_z" * 4 + " the _quick_ - brown__fox")]
+    items = [(1, "new york"), (2, "NEW _-_ YORK"), (3, "the quick brown fox"), (4, "_"), (5, "a__b")]
+    monkeypatch.setattr(contamination, "PASS_BYTES", 12)
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    holds = lambda p, t: f" {p} " in f" {t} " if contamination.budget(len(p)) == 0 else edit_distance_inside(p, t) <= contamination.budget(len(p))
+    want = {(d, i) for d, t in docs for i, x in items if plain(x) and holds(plain(x), plain(t))}
+    assert got == want and {(1, 1), (4, 2), (7, 3), (5, 5)} <= got and (6, 1) not in got
+    kept = contamination.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_op5(spark, tables):
     got = run["op5"](spark, tables[0]).collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and all(r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 for r in got)
@@ -243,6 +258,30 @@ def test_op7(spark, tables):
     assert {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in run["op7"](spark, tables[0]).collect()} == want
 
 
+def test_op7_ties_and_lost_entries(spark):
+    """Payloads of one page_id and URL come in one order; an index that lacks a record stops the job."""
+    rows = [(1, "http://a/", f"<p>{k}</p>" * (k + 1)) for k in (3, 1, 2)] + [(2, "http://a/", "<p>9</p>"), (2, "HTTP://A/", "<p>9</p>")]
+    schema, made = "page_id long, url string, html string", []
+    for order in (rows, rows[::-1]):
+        path = warc.shared_path(spark, "ties")
+        runs = warc.write_archives(spark.createDataFrame(order, schema).coalesce(1), path)
+        records = warc.read_archives(spark, path, with_payload=True)
+        made.append([r["payload"] for r in records.orderBy("file", "offset").collect()])
+        index = warc.merge_index(runs).select("file", "offset", F.col("part").alias("index_part"), F.col("pos").alias("index_pos"))
+        assert warc.indexed(records, index).count() == len(rows)
+        with pytest.raises(Exception, match="record and index differ"):
+            warc.indexed(records, index.where("index_pos > 0")).collect()
+    assert made[0] == made[1]
+
+
+def test_op8_sample_passes_over_a_text_that_is_too_long(spark):
+    docs = spark.createDataFrame([(k, "long " * 5000 if k % 5 == 0 else f"short {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(docs, labels, size_bytes=1000)
+    usable = [k for k in range(40) if k % 5 and zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sorted(texts) == sorted(f"short {k}" for k in usable) and len(set(toxic)) == 2
+
+
 def test_op8(spark, tables, monkeypatch):
     monkeypatch.setattr(toxicity, "STEPS", 40)
     got = run["op8"](spark, tables[0]).collect()

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage. None has SQL: each is tested against brute force, a round trip or held-out labels."""
 
-from . import contamination, jaccard, packing, passages, quality, repair, secrets, spelling, tokenfile, toxicity, vectors, warc
+from . import contamination, jaccard, packing, passages, pitman, quality, repair, secrets, spelling, tokenfile, toxicity, vectors, warc
 
 QUERIES = {
     "op1_kneser_ney_quality": quality.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_token_file": tokenfile.op9,
     "op10_jaccard_join": jaccard.op10,
+    "op11_pitman_yor_scores": pitman.op11,
     "op12_conversation_repair": repair.op12,
     "op13_spelling_variants": spelling.op13,
 }

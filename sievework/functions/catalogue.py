@@ -242,3 +242,7 @@ MANIFEST_FIELDS = [
 ]
 # What an auditor may say of a case.
 DISPOSITIONS = ["agree_no_signal", "agree_mitigated", "new_candidate", "unresolved"]
+
+# Whole paths whose change reaches every file, and file names whose change reaches their module.
+GLOBAL_FILES = ["settings.gradle", "settings.gradle.kts", "build.gradle", "build.gradle.kts", "gradle.properties", "gradle/libs.versions.toml", "gradle/verification-metadata.xml"]
+MODULE_WIDE = ["AndroidManifest.xml", "build.gradle", "build.gradle.kts", "proguard-rules.pro", "consumer-rules.pro", "network_security_config.xml", "data_extraction_rules.xml", "backup_rules.xml"]

@@ -57,6 +57,10 @@ def severity_rank(severity) -> Column:
     return out.otherwise(UNKNOWN_SEVERITY)
 
 
+# Owners that stand for any class.
+ANY_OWNER = ("", "any", "unknown", "*")
+
+
 def severity_name(rank) -> Column:
     out = F
     for name, k in SEVERITIES.items():
@@ -78,21 +82,19 @@ def short_commit(commit, length: int = 8) -> Column:
 
 
 def method_hint(symbol) -> Column:
-    """The method's name in pkg.Class#method(args) or pkg.Class.method."""
-    s = F.substring_index(col(symbol), "(", 1)
-    s = F.when(s.contains("#"), F.substring_index(s, "#", -1)).otherwise(F.substring_index(s, ".", -1))
-    return strip(s)
+    """The method's name in pkg.Class#method(args); null without a #, as nothing tells a method from a type there."""
+    tail = F.regexp_extract(col(symbol), r"^[^#]*#([^(]*)", 1)
+    return F.nullif(F.btrim(strip(tail), F.lit("`")), F.lit(""))
 
 
 def class_hint(symbol) -> Column:
-    """The simple class name before the method, or an empty text."""
-    s = F.substring_index(col(symbol), "(", 1)
-    owner = F.when(s.contains("#"), F.substring_index(s, "#", 1)).when(s.contains("."), F.regexp_replace(s, r"\.[^.]*$", "")).otherwise("")
-    return strip(F.substring_index(owner, ".", -1))
+    """The simple class name before #, or an empty text: without a #, or where the owner is any."""
+    owner = type_hint(symbol)
+    return F.when(~col(symbol).contains("#") | F.lower(owner).isin(*ANY_OWNER), "").otherwise(owner)
 
 
 def type_hint(symbol) -> Column:
-    return strip(F.substring_index(F.substring_index(col(symbol), "#", 1), ".", -1))
+    return F.btrim(strip(F.substring_index(F.substring_index(col(symbol), "#", 1), ".", -1)), F.lit("`"))
 
 
 def receiver(line, method) -> Column:

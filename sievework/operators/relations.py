@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import scalar as S
+from sievework.sources.readers import DECLARATION
 
 from . import aggregates as A
 from . import joins as J
 from .graph import WEIGHTS
+from .nesting import BEFORE_NAME, COMMENT_LINE, NOT_BEFORE, code_blocks, enclosing
 
 # Words before a bracket that are no call.
 KEYWORDS = ["if", "for", "while", "switch", "catch", "synchronized", "return", "new", "else", "do", "try", "when", "super", "this"]
 # Names before a parenthesis that are no call where a change's callees are looked for.
 CALL_STOP = ["if", "for", "while", "when", "switch", "catch", "return", "throw", "new", "super", "this", "synchronized", "require", "check", "assert"]
-DECLARATION = r"\b(?:class|interface|object|enum)\s+([A-Za-z_]\w*)"
-METHOD = r"^\s*(?:[\w@<>\[\],.?]+\s+)*(?:fun\s+|[\w<>\[\],.?]+\s+)([A-Za-z_]\w*)\s*\([^;]*\{?\s*$"
 
 
 def _declared(nodes: DataFrame) -> DataFrame:
@@ -96,22 +96,33 @@ def graph(parts: list[DataFrame]) -> DataFrame:
 
 
 def index(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(definitions, references) of source lines by patterns: name, kind, file, line, signature; name, file, line, receiver, snippet."""
-    code = lines.where(~F.col("text").rlike(r"^\s*(//|\*|/\*)"))
-    types = code.select(F.regexp_extract("text", DECLARATION, 1).alias("name"), F.lit("type").alias("kind"), "file", "line", F.left(S.strip("text"), F.lit(200)).alias("signature"))
-    methods = code.select(F.regexp_extract("text", METHOD, 1).alias("name"), F.lit("method").alias("kind"), "file", "line", F.left(S.strip("text"), F.lit(200)).alias("signature"))
-    defs = types.union(methods).where(F.col("name") != "").where(~F.col("name").isin(*KEYWORDS))
+    """(definitions, references) of source lines by patterns: name, kind, file, line, signature; name, file, line, receiver, snippet; both
+    with enclosing_type and enclosing_symbol, what the blocks around a line declare (of a declaration: itself, if it opens a block)."""
+    code = lines.where(~F.col("text").rlike(COMMENT_LINE))
+    blocks = code_blocks(lines)
+    signature = F.left(S.strip("text"), F.lit(200)).alias("signature")
+    types = code.select(F.explode(F.regexp_extract_all("text", F.lit(DECLARATION), F.lit(1))).alias("name"), F.lit("type").alias("kind"), "file", "line", signature)
+    before, name = (F.regexp_extract("text", BEFORE_NAME, k) for k in (1, 2))
+    methods = code.where((name != "") & ~F.regexp_extract(before, r"(\S+)$", 1).isin(*NOT_BEFORE)).select(name.alias("name"), F.lit("method").alias("kind"), "file", "line", signature)
+    defs = types.union(methods).where(~F.col("name").isin(*KEYWORDS))
     calls = code.select("file", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("name")).where(~F.col("name").isin(*KEYWORDS))
     refs = calls.join(methods.select("name", "file", "line"), ["name", "file", "line"], "left_anti")
-    return defs, refs.select("name", "file", "line", S.receiver("text", "name").alias("receiver"), F.left(S.strip("text"), F.lit(200)).alias("snippet"))
+    refs = refs.select("name", "file", "line", S.receiver("text", "name").alias("receiver"), F.left(S.strip("text"), F.lit(200)).alias("snippet"))
+    return enclosing(defs, blocks), enclosing(refs, blocks)
 
 
 def receiver_types(lines: DataFrame) -> DataFrame:
-    """file, variable, type of declarations: name: Type, Type name, name = Type(...); the first pattern's first line wins."""
-    forms = [(r"\b(?:val|var)?\s*([a-z_]\w*)\s*:\s*([A-Z]\w*)", 1, 2), (r"\b([A-Z]\w*)(?:<[^>]*>)?\s+([a-z_]\w*)\s*[=;,)]", 2, 1), (r"\b([a-z_]\w*)\s*=\s*(?:new\s+)?([A-Z]\w*)\s*\(", 1, 2)]
-    found = F.array(*(F.struct(F.lit(k).alias("form"), F.regexp_extract("text", p, v).alias("variable"), F.regexp_extract("text", p, t).alias("type")) for k, (p, v, t) in enumerate(forms)))
-    rows = lines.select("file", "line", F.explode(found).alias("x")).select("file", "line", "x.*").where("variable <> ''")
-    return rows.groupBy("file", "variable").agg(F.min_by("type", F.struct("form", "line")).alias("type"))
+    """file, variable, type of declarations; the last part of a type with dots. The first form that a file has of a variable wins, and its first place.
+
+    Forms, in order: Type name before = ; , ) or the line's end; val or var name: Type; val or var name = Type(...).
+    """
+    forms = [(r"\b([A-Z][\w$.]*)\s+([A-Za-z_]\w*)\s*(?:[=;,)]|$)", 2, 1), (r"\b(?:val|var)\s+(\w+)\s*:\s*([A-Z][\w$.]*)", 1, 2), (r"\b(?:val|var)\s+(\w+)\s*=\s*([A-Z][\w$.]*)\s*\(", 1, 2)]
+    every = lambda p, k: F.regexp_extract_all("text", F.lit(p), F.lit(k))
+    pair = lambda p, v, t: F.arrays_zip(every(p, v).alias("v"), every(p, t).alias("t"))
+    placed = lambda k: lambda x, i: F.struct(F.lit(k).alias("form"), i.alias("at"), x["v"].alias("variable"), F.substring_index(x["t"], ".", -1).alias("type"))
+    found = F.flatten(F.array(*(F.transform(pair(*form), placed(k)) for k, form in enumerate(forms))))
+    rows = lines.select("file", "line", F.explode(found).alias("x")).select("file", "line", "x.*").where("variable not in ('this', 'super')")
+    return rows.groupBy("file", "variable").agg(F.min_by("type", F.struct("form", "line", "at")).alias("type"))
 
 
 def callers(refs: DataFrame, symbol: str, types: DataFrame) -> DataFrame:

@@ -151,16 +151,17 @@ def audit_result(plan: DataFrame, results: DataFrame, problems: DataFrame) -> Da
     return both.select("batch", F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "stray").when(F.col("_p"), "failed").otherwise("audited").alias("state"))
 
 
-def impact_slice(files: DataFrame, changed: DataFrame, edges: DataFrame, definitions: DataFrame, calls: DataFrame, modules: list[str], depth: int, build_names: list[str]) -> DataFrame:
+def impact_slice(files: DataFrame, changed: DataFrame, edges: DataFrame, definitions: DataFrame, calls: DataFrame, modules: list[str], depth: int, module_names: list[str] = C.MODULE_WIDE, global_files: list[str] = C.GLOBAL_FILES) -> DataFrame:
     """file: what a change reaches. files: file, text; changed: file, deleted; definitions: name, file; calls: caller_file, caller, name.
 
-    Build files and deletions widen to their module (without one, to all); relations, callees and callers to `depth`.
+    A change of a global file (whole path) reaches all. Files of module_names and deletions widen to their module, a deletion
+    without one to all; relations, callees and callers to `depth`.
     """
     live = changed.where("not deleted").select("file")
-    wide = changed.where(F.col("deleted") | F.element_at(F.split("file", "/"), -1).isin(build_names))
-    homes = J.longest_prefix(wide.select("file"), modules)
+    wide = changed.where(F.col("deleted") | F.element_at(F.split("file", "/"), -1).isin(module_names)).select("file", "deleted")
+    homes = J.longest_prefix(wide, modules)
     tree = J.longest_prefix(files.select("file"), modules)
-    everything = homes.where("module is null").limit(1).withColumn("_all", F.lit(True)).select("_all")
+    everything = homes.where("module is null and deleted").select("file").union(changed.where(F.col("file").isin(global_files)).select("file")).limit(1).withColumn("_all", F.lit(True)).select("_all")
     parts = [live, tree.join(homes.select("module").where("module is not null").distinct(), "module", "left_semi").select("file"), files.select("file").join(F.broadcast(everything), how="cross").select("file")]
     if depth > 0:
         parts.append(G.expand(edges, live.withColumnRenamed("file", "node"), depth).select(F.col("node").alias("file")))

@@ -34,16 +34,20 @@ def nearest_preceding(rows: DataFrame, keys: list[str], order: list[str], wanted
 
 
 def enclosing_type(lines: DataFrame, declaration: str) -> DataFrame:
-    """Adds `type`: the nearest preceding type declaration whose braces are still open. lines: file, line, text."""
-    count = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
-    before = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    depth = lines.withColumn("_open", F.coalesce(F.sum(count("{") - count("}")).over(before), F.lit(0))).withColumn("_name", F.regexp_extract("text", declaration, 1))
-    # a declaration stays while no later line falls back to its own depth
-    own = depth.withColumn("_decls", F.collect_list(F.when(F.col("_name") != "", F.struct(F.col("_open").alias("d"), F.col("line").alias("l"), F.col("_name").alias("n")))).over(upto))
-    own = own.withColumn("_after", F.col("_open"))
-    best = F.element_at(F.filter("_decls", lambda x: (x.l == F.col("line")) | (x.d < F.col("_after"))), -1)
-    return own.withColumn("type", F.when(F.exists("_decls", lambda x: (x.l == F.col("line")) | (x.d < F.col("_after"))), best.n)).drop("_open", "_name", "_decls", "_after")
+    """Adds `type`: the nearest preceding type declaration whose braces are still open, or that of the line itself. lines: file, line, text."""
+    from .nesting import around, nest, place
+
+    declared = F.regexp_extract("text", declaration, 1)
+    braces = lines.select("file", "line", F.posexplode(F.regexp_extract_all("text", F.lit("[{}]"), F.lit(0))).alias("k", "b")).select("file", "line", place("line", F.col("k") + 1).alias("at"), F.when(F.col("b") == "{", 1).otherwise(-1).alias("step"))
+    # a declaration opens with the first brace from its line on
+    named = lines.where(declared != "").select("file", place().alias("_from"), declared.alias("type"))
+    opened = nest(braces, ["file"], "at")
+    own = W.partitionBy("file").orderBy("_p", "_k").rowsBetween(W.currentRow, W.unboundedFollowing)
+    first = named.select("file", F.col("_from").alias("_p"), F.lit(0).alias("_k"), "type", F.lit(None).cast("struct<at:bigint,close:bigint>").alias("_b")).union(opened.select("file", "at", F.lit(1), F.lit(None).cast("string"), F.struct("at", "close")))
+    bound = first.withColumn("_b", F.first("_b", ignorenulls=True).over(own)).where("_k = 0 and _b is not null")
+    bound = bound.groupBy("file", F.col("_b.at").alias("at"), F.col("_b.close").alias("close")).agg(F.max_by("type", "_p").alias("type"))
+    inside = around(lines.withColumn("_place", place()), bound, ["file"], "_place", "at", "type").drop("_place")
+    return inside.withColumn("type", F.when(declared != "", declared).otherwise(F.col("type")))
 
 
 def budget_prefix(rows: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:

@@ -211,3 +211,23 @@ def report_lines(spark, d):
 
     rows = severity(t(spark, d, "events")).select("user_id", "severity", F.col("event_type").alias("category"), F.col("event_type").alias("file"), F.col("event_id").alias("line"))
     return report(rows, ["user_id"])
+
+
+_SHAPES = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/repo/app/src/d' || doc_id || '.kt' WHEN 1 THEN 'app\\src\\d' || doc_id || '.kt' ELSE '/elsewhere/d' || doc_id || '.kt' END AS path,
+CASE doc_id % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'INVENTORY' WHEN 3 THEN 'EXPERIMENT' END AS level,
+CASE WHEN doc_id % 4 <> 0 THEN n_chars % 500 END AS line, CASE WHEN doc_id % 2 = 0 THEN n_chars % 500 + doc_id % 3 END AS last, CASE WHEN doc_id % 7 = 0 THEN 'requires login' ELSE left(text, 350) END AS code FROM documents"""
+
+
+@query(f"""SELECT 'R-SG-' || lpad(CAST(doc_id % 90 AS VARCHAR), 3, '0') AS rule_id, CASE doc_id % 3 WHEN 2 THEN path ELSE 'app/src/d' || doc_id || '.kt' END AS file, coalesce(level, 'INFO') AS level_given,
+CASE coalesce(level, 'INFO') WHEN 'ERROR' THEN 'critical' WHEN 'WARNING' THEN 'major' WHEN 'INFO' THEN 'minor' ELSE 'info' END AS severity, coalesce(line, 0) AS line, nullif(coalesce(last, coalesce(line, 0)), coalesce(line, 0)) AS end_line,
+CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(trim(code, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 300) END AS snippet FROM ({_SHAPES})""")
+def pattern_report_shapes(spark, d):
+    """Reports of a result for each document: paths below the root, with back slashes and elsewhere, levels that are missing or unknown."""
+    from sievework.sources.readers import pattern_texts
+
+    t(spark, d, "documents").createOrReplaceTempView("shaped_documents")
+    rows = spark.sql(_SHAPES.replace("FROM documents", "FROM shaped_documents").replace("\\", "\\\\"))
+    spark.catalog.dropTempView("shaped_documents")
+    result = F.struct(F.concat(F.lit("rules.r-sg-"), F.col("doc_id") % 90).alias("check_id"), "path", F.struct("line").alias("start"), F.struct(F.col("last").alias("line")).alias("end"), F.struct(F.coalesce("level", F.lit("INFO")).alias("message"), F.col("level").alias("severity"), F.col("code").alias("lines")).alias("extra"))
+    reports = rows.select(F.to_json(F.struct(F.array(result).alias("results"))).alias("report"))
+    return pattern_texts(reports, "/repo").select("rule_id", "file", F.col("message").alias("level_given"), "severity", F.col("line").cast("long"), F.col("end_line").cast("long"), "snippet")

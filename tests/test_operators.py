@@ -31,7 +31,8 @@ def test_identities(spark):
 def test_scalars(spark):
     text = lambda x: F.lit(x)
     assert one(spark, S.severity_rank(text("major")), S.severity_rank(text("odd")), S.severity_rank(F.lit(None))) == (1, 99, 99)
-    assert one(spark, S.method_hint(text("a.B#run(x.y)")), S.class_hint(text("a.B#run(x)")), S.class_hint(text("run")), S.method_hint(text("a.B.run"))) == ("run", "B", "", "run")
+    assert one(spark, S.method_hint(text("a.B#run(x.y)")), S.class_hint(text("a.B#run(x)")), S.class_hint(text("run")), S.method_hint(text("a.B.run"))) == ("run", "B", "", None)
+    assert one(spark, S.class_hint(text("Any#foo")), S.class_hint(text("a.unknown#x")), S.class_hint(text("a.b.C")), S.method_hint(text("Any#`go`(x#y)"))) == ("", "", "", "go")
     assert one(spark, S.receiver(text("  x?.load(1)"), text("load")), S.receiver(text("load(1)"), text("load"))) == ("x", "")
     assert one(spark, S.component_class(text(".Main"), text("a.b")), S.component_class(text("Main"), text("a.b")), S.component_class(text("c.Main"), text("a.b"))) == ("a.b.Main", "a.b.Main", "c.Main")
     assert one(spark, S.normal_path(text("./a\\b/../c")), S.normal_path(text("../x")), S.normal_path(text("/x")), S.normal_path(text("a/../../x"))) == ("a/c", None, None, None)

@@ -44,25 +44,42 @@ def import_edges(nodes: DataFrame) -> DataFrame:
 
 
 def type_edges(nodes: DataFrame) -> DataFrame:
-    """A file that names a type which resolves to exactly one file: in its own package first, else by the simple name."""
+    """A file that names a type which resolves to exactly one file: in its own package first, else by the simple name.
+
+    Declarations are counted first: by package and name, then by name alone, each in the three variants; a use meets a row of
+    counts and one file of each level, however many files declare the name.
+    """
     wants = nodes.select(F.col("file").alias("source"), "module", "source_set", "package", F.explode("identifiers").alias("name"))
-    d = _declared(nodes).select("name", F.col("package").alias("target_package"), F.col("file").alias("target"), F.col("module").alias("target_module"), F.col("source_set").alias("target_set"))
-    both = wants.join(d, "name").where("source <> target")
-    near = J.prefer_tier(both, ["source", "name"], F.when(F.col("package").eqNullSafe(F.col("target_package")), 0).otherwise(1))
-    single = _pick(near, ["source", "name"])
-    only = single.groupBy("source", "name").agg(F.count("*").alias("k"), F.min("target").alias("target")).where("k = 1")
-    return _raw(only, "type", F.col("name"))
+    d = nodes.select(F.explode("symbols").alias("name"), F.coalesce("package", F.lit("")).alias("p"), F.col("module").alias("m"), F.col("source_set").alias("s"), "file").distinct()
+    first = None
+    rows = wants.withColumn("p", F.coalesce("package", F.lit("")))
+    for scope in (["p"], []):
+        found = rows
+        for level, own in enumerate((["m", "s"], ["m", "main"], ["m"], [])):
+            keys = ["name", *scope, *(k for k in own if k != "main")]
+            held = (d.where("s = 'main'") if "main" in own else d).groupBy(*keys).agg(F.count("*").alias(f"k{level}"), F.min("file").alias(f"t{level}"))
+            left = found.withColumn("m", F.col("module")).withColumn("s", F.col("source_set"))
+            found = left.join(held, keys, "left").drop("m", "s")
+        pick_k = F.coalesce(*(f"k{level}" for level in range(4)))
+        pick_t = F.coalesce(*(f"t{level}" for level in range(4)))
+        found = found.select("source", "module", "source_set", "package", "p", "name", pick_k.alias("k"), pick_t.alias("target"))
+        hit = found.where("k is not null").select("source", "name", "k", "target")
+        first = hit if first is None else first.union(hit)
+        rows = found.where("k is null").drop("k", "target")
+    return _raw(first.where("k = 1"), "type", F.col("name"))
 
 
 def component_edges(components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A manifest and the class of a component it declares: the full name, else the last part, if exactly one file has it.
-    components: file, package, value."""
-    c = components.select(F.col("file").alias("source"), S.component_class("value", "package").alias("fqn"))
-    d = _declared(nodes)
-    exact = c.join(d.select("fqn", F.col("file").alias("target")), "fqn")
+    """A manifest and the class of a component it declares: the full name, else the last part, if exactly one file has it in the best variant.
+    components: file, package, value and, if there, module and source_set."""
+    at = [F.col(c) if c in components.columns else F.lit("").alias(c) for c in ("module", "source_set")]
+    c = components.select(F.col("file").alias("source"), *at, S.component_class("value", "package").alias("fqn"))
+    d = _declared(nodes).select("fqn", "name", F.col("file").alias("target"), F.col("module").alias("target_module"), F.col("source_set").alias("target_set"))
+    exact = c.join(d.drop("name"), "fqn")
     rest = c.join(exact.select("source", "fqn").distinct(), ["source", "fqn"], "left_anti").withColumn("name", F.substring_index("fqn", ".", -1))
-    loose = rest.join(d.select("name", F.col("file").alias("target")), "name").select("fqn", "source", "target")
-    only = exact.select("fqn", "source", "target").union(loose).groupBy("source", "fqn").agg(F.countDistinct("target").alias("k"), F.min("target").alias("target")).where("k = 1")
+    loose = rest.join(d.drop("fqn"), "name").select(*exact.columns)
+    best = _pick(exact.union(loose), ["source", "fqn"])
+    only = best.groupBy("source", "fqn").agg(F.countDistinct("target").alias("k"), F.min("target").alias("target")).where("k = 1")
     return _raw(only, "component", F.col("fqn"))
 
 

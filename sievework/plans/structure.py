@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import scalar as S
 from sievework.operators import aggregates as A
 from sievework.operators import batching as B
+from sievework.operators import elements as E
 from sievework.operators import filters as P
 from sievework.operators import graph as G
 from sievework.operators import joins as J
@@ -326,3 +327,34 @@ def taint_trace(spark, d):
     form = '{"taint_sink": {"location": {"path": "end", "start": {"line": %d}}}, "taint_source": ["x", [{"path": "%s", "start": {"line": %d}, "content": {"value": " from "}}]]}'
     rows = t(spark, d, "conversations").select("conv_id", "turn", F.format_string(form, F.col("turn") + 1, "role", "turn").alias("trace"))
     return rows.select("conv_id", "turn", F.explode(R.flat_trace("trace")).alias("hop")).select("conv_id", "turn", "hop.*")
+
+
+_TAG_EVENTS = """SELECT page_id, k, m, regexp_extract(m, '^</?([A-Za-z_][\\w:.\\-]*)', 1) AS tag, CASE WHEN starts_with(m, '</') THEN -1 WHEN ends_with(m, '/>') OR regexp_extract(m, '^</?([A-Za-z_][\\w:.\\-]*)', 1) IN ('br', 'meta') THEN 0 ELSE 1 END AS step
+FROM (SELECT page_id, unnest(l) AS m, unnest(range(len(l))) AS k FROM (SELECT page_id, regexp_extract_all(html, '""" + E.MARKUP.replace("'", "''") + """') AS l FROM pages)) WHERE substr(m, 2, 1) NOT IN ('!', '?')"""
+
+
+@query(f"""WITH e AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY k) AS depth FROM ({_TAG_EVENTS}) WHERE NOT (step = -1 AND tag IN ('br', 'meta')))
+SELECT page_id, tag, 2 * k AS element, CASE WHEN step = 0 THEN 2 * k + 1 ELSE (SELECT 2 * min(c.k) FROM e c WHERE c.page_id = e.page_id AND c.k > e.k AND c.step = -1 AND c.depth < e.depth) END AS close,
+CAST(depth + 1 - step AS BIGINT) AS level, (SELECT 2 * max(p.k) FROM e p WHERE p.page_id = e.page_id AND p.k < e.k AND p.step = 1 AND p.depth = e.depth - e.step) AS parent,
+CAST(len(regexp_extract_all(m, '[A-Za-z_][\\w:.\\-]*\\s*=\\s*(?:"[^"]*"|''[^'']*'')')) AS INTEGER) AS n_attributes FROM e WHERE step >= 0""")
+def page_elements(spark, d):
+    rows = E.shred(t(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("text")), ["br", "meta"])
+    return rows.select(F.col("file").alias("page_id"), "tag", "element", "close", "level", "parent", F.size("attributes").alias("n_attributes"))
+
+
+# commas open and full stops close; a line that begins with a capital declares its first word
+_MARKED = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(translate(text, ',.{}', '{}  '), chr(10)) AS l FROM documents)"
+_DECLARES = r"^[^A-Za-z]*([A-Z][A-Za-z]+)"
+
+
+@query(f"""WITH lines AS ({_MARKED}),
+b AS (SELECT doc_id, line, line * 1048576 + k + 1 AS pos, m, sum(CASE m WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY line, k) AS depth FROM (SELECT doc_id, line, unnest(l) AS m, unnest(range(len(l))) AS k FROM (SELECT doc_id, line, regexp_extract_all(text, '[{{}}]') AS l FROM lines))),
+o AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id, depth + CASE m WHEN '{{' THEN 0 ELSE 1 END ORDER BY pos) AS close, m FROM b),
+n AS (SELECT doc_id, line, regexp_extract(text, '{_DECLARES}', 1) AS name FROM lines WHERE regexp_extract(text, '{_DECLARES}', 1) <> ''),
+u AS (SELECT n.doc_id, n.line, n.name, min(o.pos) AS pos FROM n JOIN o ON o.doc_id = n.doc_id AND o.m = '{{' AND o.pos > n.line * 1048576 GROUP BY ALL),
+t AS (SELECT u.doc_id, u.pos, o.close, arg_max(u.name, u.line) AS name FROM u JOIN o USING (doc_id, pos) GROUP BY ALL)
+SELECT l.doc_id, l.line, coalesce((SELECT n.name FROM n WHERE n.doc_id = l.doc_id AND n.line = l.line), (SELECT arg_max(t.name, t.pos) FROM t WHERE t.doc_id = l.doc_id AND t.pos < l.line * 1048576 AND coalesce(t.close, 9223372036854775807) > l.line * 1048576)) AS type FROM lines l""")
+def enclosing_type_lines(spark, d):
+    docs = t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.translate("text", ",.{}", "{}  "), "\n")).alias("line", "text"))
+    rows = W.enclosing_type(docs.withColumn("line", (F.col("line") + 1).cast("long")), _DECLARES)
+    return rows.select(F.col("file").alias("doc_id"), "line", "type")

@@ -246,3 +246,53 @@ DISPOSITIONS = ["agree_no_signal", "agree_mitigated", "new_candidate", "unresolv
 # Whole paths whose change reaches every file, and file names whose change reaches their module.
 GLOBAL_FILES = ["settings.gradle", "settings.gradle.kts", "build.gradle", "build.gradle.kts", "gradle.properties", "gradle/libs.versions.toml", "gradle/verification-metadata.xml"]
 MODULE_WIDE = ["AndroidManifest.xml", "build.gradle", "build.gradle.kts", "proguard-rules.pro", "consumer-rules.pro", "network_security_config.xml", "data_extraction_rules.xml", "backup_rules.xml"]
+
+# Rules over the structure of code: id, category, severity, extensions, patterns (one of them has to match; $X is any
+# expression, ... any arguments), and conditions: a block header that has to be, or a pattern that must not be, around the match.
+_J, _K, _JK = (".java",), (".kt",), (".java", ".kt")
+STRUCTURAL = [
+    ("R-SG-002", "security/weak-crypto", "critical", _JK, ['$X.getInstance("...")'], {"literal": r"^(DES|RC4|MD5|SHA-?1|AES/ECB/.*)"}),
+    ("R-SG-004", "security/webview", "major", _JK, ["$WEBVIEW.getSettings().setJavaScriptEnabled(true)"], {}),
+    ("R-SG-004", "security/webview", "major", _JK, ["$WS.setAllowFileAccess(true)", "$WS.setAllowFileAccessFromFileURLs(true)", "$WS.setAllowUniversalAccessFromFileURLs(true)"], {}),
+    ("R-SG-004", "security/webview", "major", _JK, ["$WV.addJavascriptInterface(...)"], {}),
+    ("R-SG-004", "security/webview", "major", _JK, ["$WV.setWebContentsDebuggingEnabled(true)"], {}),
+    ("R-SG-004", "security/webview", "major", _JK, ["$WV.loadDataWithBaseURL(...)"], {}),
+    ("R-SG-006", "security/pendingintent-mutability", "major", _JK, ["PendingIntent.getActivity(...)", "PendingIntent.getBroadcast(...)", "PendingIntent.getService(...)", "PendingIntent.getActivities(...)"], {}),
+    ("R-SG-009", "security/weak-random", "major", _J, ["new Random()"], {}),
+    ("R-SG-009", "security/weak-random", "major", _JK, ["Math.random()"], {}),
+    ("R-SG-011", "security/sql-injection", "critical", _J, ["$DB.rawQuery($SQL + $X, $ARGS)", "$DB.execSQL($SQL + $X)"], {}),
+    ("R-SG-012", "security/command-injection", "critical", _JK, ["Runtime.getRuntime().exec(...)", "new ProcessBuilder(...)"], {}),
+    ("R-SG-016", "security/intent-redirection", "critical", _JK, ["$I.getParcelableExtra(...)", "$I.getSerializableExtra(...)"], {}),
+    ("R-SG-017", "security/receiver-export-flag", "major", _JK, ["$CTX.registerReceiver($R, $F)", "$CTX.registerReceiver($R, $F, $PERM, $H)"], {"unless": ["$CTX.registerReceiver(null, $F)", "$CTX.registerReceiver(null, $F, $PERM, $H)"]}),
+    ("R-SG-019", "security/unsafe-deserialization", "major", _JK, ["new ObjectInputStream(...)"], {}),
+    ("R-SG-019", "security/unsafe-deserialization", "critical", _JK, ["new DexClassLoader(...)", "new InMemoryDexClassLoader(...)", "System.load(...)"], {}),
+    ("R-SG-021", "stability/resource-leak-cursor", "major", _J, [], {"held": "rawQuery|query"}),
+    ("R-SG-022", "stability/resource-leak-stream", "major", _J, [], {"made": "FileInputStream|FileOutputStream|BufferedReader|BufferedWriter|FileReader|FileWriter|InputStreamReader"}),
+    ("R-SG-025", "stability/inner-class-leak", "major", _J, ["new Handler() {", "new Handler($L) {", "new Runnable() {"], {}),
+    ("R-SG-027", "stability/unnamed-thread", "minor", _JK, ["new Thread($R).start()", "Executors.newFixedThreadPool($N)", "Executors.newCachedThreadPool()", "Executors.newSingleThreadExecutor()"], {}),
+    ("R-SG-030", "stability/sp-commit-sync", "minor", _JK, ["$EDITOR.commit()"], {}),
+    ("R-SG-031", "stability/fragment-state-loss", "major", _JK, ["$FM.commitAllowingStateLoss()"], {}),
+    ("R-SG-033", "stability/globalscope", "major", _K, ["GlobalScope.launch {", "GlobalScope.async {"], {}),
+    ("R-SG-034", "stability/wrong-lock-object", "critical", _J, ["synchronized(Boolean.TRUE)", "synchronized(Boolean.FALSE)", "synchronized(Integer.valueOf($N))", 'synchronized("...")', "synchronized(true)", "synchronized(false)"], {}),
+    ("R-SG-035", "stability/wakelock-leak", "major", _JK, ["$WAKELOCK.acquire(...)"], {}),
+    ("R-SG-036", "stability/async-ui-update", "major", _JK, ["$A.runOnUiThread(...)", "Handler(Looper.getMainLooper()).post(...)"], {}),
+    ("R-SG-037", "stability/room-migration", "critical", _JK, ["$BUILDER.fallbackToDestructiveMigration(...)"], {}),
+    ("R-SG-041", "stability/fgs-start-timeout", "critical", _JK, ["$CTX.startForegroundService(...)"], {}),
+    ("R-SG-042", "stability/fgs-type-missing", "critical", _JK, ["$S.startForeground($ID, $NOTIF)"], {}),
+    ("R-SG-044", "stability/livedata-wrong-owner", "major", _JK, ["$LIVEDATA.observe(this, $OBSERVER)"], {}),
+    ("R-SG-045", "perf/main-thread-io", "major", _JK, ["new FileInputStream(...)", "new FileOutputStream(...)", "new FileReader(...)", "new FileWriter(...)", "Files.readAllBytes(...)", "Files.write(...)", "Files.newInputStream(...)", "Files.newOutputStream(...)"], {}),
+    ("R-SG-046", "perf/main-thread-db", "major", _JK, ["$BUILDER.allowMainThreadQueries()"], {}),
+    ("R-SG-046", "perf/main-thread-db", "major", _JK, ["$HELPER.getWritableDatabase()", "$HELPER.getReadableDatabase()"], {}),
+    ("R-SG-047", "perf/main-thread-network", "critical", _JK, ["$CALL.execute()"], {}),
+    ("R-SG-048", "perf/hotpath-allocation", "major", _J, ["new $OBJ(...)"], {"inside": "protected void onDraw(Canvas $C)"}),
+    ("R-SG-048", "perf/hotpath-allocation", "major", _K, ["$T(...)"], {"inside": "override fun onDraw($C: Canvas)"}),
+    ("R-SG-049", "perf/rv-findviewbyid", "major", _J, ["$V.findViewById(...)"], {"inside": "public void onBindViewHolder($VH $HOLDER, int $POS)"}),
+    ("R-SG-049", "perf/rv-findviewbyid", "major", _K, ["$V.findViewById(...)"], {"inside": "override fun onBindViewHolder($HOLDER: $VH, $POS: Int)"}),
+    ("R-SG-050", "perf/regex-recompile", "minor", _J, ['Pattern.compile("...")'], {"unless": ['static $TYPE $VAR = Pattern.compile("...")', 'static final $TYPE $VAR = Pattern.compile("...")']}),
+    ("R-SG-051", "perf/bitmap-oom-risk", "major", _JK, ["BitmapFactory.decodeFile($PATH)", "BitmapFactory.decodeResource($RES, $ID)", "BitmapFactory.decodeStream($IS)", "BitmapFactory.decodeByteArray($BYTES, $OFF, $LEN)"], {}),
+    ("R-SG-052", "perf/inflate-in-loop", "major", _J, ["$INFLATER.inflate(...)"], {"inside": "for (...)"}),
+    ("R-SG-054", "perf/db-write-no-transaction", "major", _J, ["$DB.insert(...)", "$DB.insertOrThrow(...)", "$DB.insertWithOnConflict(...)", "$DB.execSQL(...)", "$DB.update(...)", "$DB.delete(...)", "$DB.replace(...)"], {"inside": "for (...)"}),
+    ("R-SG-055", "perf/heavy-onreceive", "major", _J, ["new FileInputStream(...)", "new FileOutputStream(...)", "$DB.getWritableDatabase()", "$DB.getReadableDatabase()", "$DB.rawQuery(...)", "$DB.query(...)", "Thread.sleep(...)"], {"inside": "public void onReceive(Context $CTX, Intent $INTENT)"}),
+    ("R-SG-055", "perf/heavy-onreceive", "major", _K, ["FileInputStream(...)", "FileOutputStream(...)", "$DB.getWritableDatabase()", "$DB.getReadableDatabase()", "$DB.rawQuery(...)", "Thread.sleep(...)"], {"inside": "override fun onReceive($CTX: Context, $INTENT: Intent)"}),
+    ("R-SG-061", "stability/non-sdk-api-enforcement", "critical", _JK, ['InetAddress.class.getDeclaredField("impl")', '$M.invoke(InetAddress.class, "impl")'], {}),
+]

@@ -63,8 +63,14 @@ def code_blocks(lines: DataFrame) -> DataFrame:
     pieces = lines.where(~F.col("text").rlike(COMMENT_LINE)).select("file", "line", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("k", "piece")).where("not piece rlike '^/[/*]'")
     pieces = pieces.withColumn("at", place("line", F.col("k") + 1)).withColumn("cut", F.col("piece").isin("{", "}", ";"))
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # a semicolon in the parentheses of a loop separates nothing; parentheses are counted from brace to brace
+    count = lambda c: F.length("piece") - F.length(F.replace("piece", F.lit(c), F.lit("")))
+    quoted = F.substring("piece", 1, 1).isin('"', "'")
+    pieces = pieces.withColumn("run", F.coalesce(F.count_if(F.col("piece").isin("{", "}")).over(before), F.lit(0)))
+    in_run = Window.partitionBy("file", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("open", F.sum(F.when(quoted, 0).otherwise(count("(") - count(")"))).over(in_run)).withColumn("cut", F.col("cut") & ~((F.col("piece") == ";") & (F.col("open") > 0)))
     pieces = pieces.withColumn("n", F.coalesce(F.count_if("cut").over(before), F.lit(0)))
-    said = F.when(F.substring("piece", 1, 1).isin('"', "'"), '""').otherwise(F.col("piece"))
+    said = F.when(quoted, '""').otherwise(F.col("piece"))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("cut"), F.struct("line", "at", said.alias("s"))))), lambda x: x["s"]), " ")
     cuts = pieces.groupBy("file", "n").agg(F.max(F.when(F.col("cut"), F.struct("at", "line", "piece"))).alias("c"), words.alias("header")).where("c is not null")
     events = cuts.where("c.piece <> ';'").select("file", "c.at", "c.line", F.when(F.col("c.piece") == "{", 1).otherwise(-1).alias("step"), F.trim("header").alias("header"))

@@ -15,6 +15,8 @@ from . import graph as G
 from . import joins as J
 from . import sets as X
 from . import windows as W
+from .structural import named as _named
+from .structural import pattern_hits
 
 
 def analyse(files: DataFrame) -> DataFrame:
@@ -23,18 +25,10 @@ def analyse(files: DataFrame) -> DataFrame:
 
 
 def text_rule_hits(files: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """One row a match of the text rules over whole texts: file, line, rule_id, category, severity, snippet."""
-    out = None
-    for r in rules if rules is not None else C.text_rules():
-        own = files.where(P.matches_any("file", r["paths"]) & F.col("text").rlike(r["pattern"]))
-        # the text before each match tells its line
-        pieces = F.split("text", r["pattern"])
-        hits = own.select("file", "text", F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("k", "before"), F.regexp_extract_all("text", F.lit(f"({r['pattern']})"), F.lit(1)).alias("m"), pieces.alias("p"))
-        upto = F.concat(F.array_join(F.slice("p", 1, F.col("k") + 1), ""), F.array_join(F.slice("m", 1, F.col("k")), ""))
-        line = F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + 1
-        hits = hits.select("file", line.cast("int").alias("line"), *(F.lit(r[c]).alias(c) for c in ("rule_id", "category", "severity")), F.left(F.get("m", F.col("k")), F.lit(300)).alias("snippet"))
-        out = hits if out is None else out.union(hits)
-    return out
+    """One row a match of the text rules over whole texts: file, line, rule_id, category, severity, snippet. One scan for all rules."""
+    rules = rules if rules is not None else C.text_rules()
+    hits = pattern_hits(files, [(P.matches_any("file", r["paths"]), r["pattern"]) for r in rules])
+    return _named(hits, [(r["rule_id"], r["category"], r["severity"]) for r in rules])
 
 
 # Calls and what releases them.

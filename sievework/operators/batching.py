@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions.scalar import candidate_id
 
@@ -25,20 +26,35 @@ def chunks(rows: DataFrame, keys: list[str], order: list[str], size: int) -> Dat
 def next_fit(units: DataFrame, keys: list[str], order: list[str], count: str, tokens: str, most: int, budget: int) -> DataFrame:
     """Adds `batch`: units in order, a new batch when a count or token limit would be passed; a unit beyond the limits stands alone.
 
-    The choice depends on all units before, so a group (keys) is folded in one expression over its ordered numbers;
-    texts do not go along. Without keys the whole list is one group: a plan of one scan, not a table of rows.
+    The choice depends on all units before it, so a group (keys) passes through one task, a row at a time: the state is a
+    batch's number, count and tokens, and no list is held. Only keys, order and numbers go along.
     """
-    listed = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(count).cast("long").alias("_n"), F.col(tokens).cast("long").alias("_t")))).alias("_u"))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<bigint>)").alias("out"))
-
-    def step(a, x):
-        new = (a.n > 0) & ((a.n + x["_n"] > most) | (a.t + x["_t"] > budget))
-        b = a.b + new.cast("long")
-        return F.struct(b.alias("b"), (F.when(new, 0).otherwise(a.n) + x["_n"]).alias("n"), (F.when(new, 0).otherwise(a.t) + x["_t"]).alias("t"), F.array_append(a.out, b).alias("out"))
-
-    folded = listed.withColumn("_b", F.aggregate("_u", start, step, lambda a: a.out))
-    placed = folded.select(*keys, F.explode(F.arrays_zip("_u", "_b")).alias("_z")).select(*keys, *(F.col(f"_z._u.{c}").alias(c) for c in order), F.col("_z._b").alias("batch"))
-    return units.join(placed, keys + order)
+    own = [c for c in units.select(*keys, *order).columns]
+    light = units.select(*own, F.col(count).cast("long").alias("_n"), F.col(tokens).cast("long").alias("_t"))
+    dealt = (light.repartition(*keys) if keys else light.coalesce(1)).sortWithinPartitions(*keys, *order)
+
+    def run(parts):
+        import pyarrow as pa
+
+        now, batch, n, t = None, 0, 0, 0
+        for part in parts:
+            key, out = list(zip(*(part.column(k).to_pylist() for k in keys))) or [()] * part.num_rows, []
+            for k, a, b in zip(key, part.column("_n").to_pylist(), part.column("_t").to_pylist()):
+                if k != now:
+                    now, batch, n, t = k, 0, 0, 0
+                if n > 0 and (n + a > most or t + b > budget):
+                    batch, n, t = batch + 1, 0, 0
+                n, t = n + a, t + b
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(out, pa.int64())], [*own, "batch"])
+
+    schema = T.StructType([*(f for f in light.schema.fields if f.name in own), T.StructField("batch", T.LongType())])
+    placed = dealt.mapInArrow(run, schema)
+    same = [F.col(f"u.{c}").eqNullSafe(F.col(f"p.{c}")) for c in own]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return units.alias("u").join(placed.alias("p"), on).select("u.*", "p.batch")
 
 
 def enrich(rows: DataFrame, source: str, index: str, canonical: str, kinds: dict[str, str], default: str) -> DataFrame:

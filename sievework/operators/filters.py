@@ -173,6 +173,11 @@ def risk(text, signals: list[tuple[str, int]], long_lines: int | None = 600) ->
     return out.cast("int")
 
 
+def weighed(tags, weights: dict[str, int]) -> Column:
+    """The weights of the names in an array, as of flags(): what the patterns have found is not looked for again."""
+    return sum((F.when(F.array_contains(col(tags), n), w).otherwise(0) for n, w in weights.items()), F.lit(0)).cast("int")
+
+
 def rule_hits(lines: DataFrame, rules: list[dict]) -> DataFrame:
     """file, line, rule_id, category, severity, snippet of each line that a rule's pattern matches. rules: rule_id, pattern, category, severity, and paths (globs, optional)."""
     hit = [F.when(F.col("text").rlike(r["pattern"]) & (matches_any("file", r["paths"]) if r.get("paths") else F.lit(True)), F.struct(*(F.lit(r[k]).alias(k) for k in ("rule_id", "category", "severity")))) for r in rules]

@@ -30,6 +30,18 @@ def prefer_tier(rows: DataFrame, keys: list[str], tier: Column, only_if_many: bo
     return out.where(keep | (F.col("_k") == 1) if only_if_many else keep).drop("_tier", "_low", "_k")
 
 
+def first_tier(left: DataFrame, right: DataFrame, tiers: list[list[str]]) -> DataFrame:
+    """left joined with right on the first of the lists of columns on which a row of left finds any; later lists see only rows without a match before."""
+    out, rest = None, left
+    for k, on in enumerate(tiers):
+        hit = rest.join(right.drop(*(c for c in right.columns if c in left.columns and c not in on)), on)
+        hit = hit.select(*left.columns, *(c for c in right.columns if c not in left.columns))
+        out = hit if out is None else out.union(hit)
+        if k + 1 < len(tiers):
+            rest = rest.join(right.select(*on).distinct(), on, "left_anti").select(*left.columns)
+    return out
+
+
 def report_paths(reported: DataFrame, scope: DataFrame) -> DataFrame:
     """reported (column file) with `path`: the shortest file of the scope that ends the reported path, or else the path as it is.
 

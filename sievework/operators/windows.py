@@ -50,11 +50,30 @@ def enclosing_type(lines: DataFrame, declaration: str) -> DataFrame:
     return inside.withColumn("type", F.when(declared != "", declared).otherwise(F.col("type")))
 
 
+def running_total(rows: DataFrame, order: list, cost: str, name: str = "running") -> DataFrame:
+    """Adds the sum of `cost` over all rows up to and with this one, without one task for all: ranges of the order are summed up each, and a row adds
+    what the ranges before its own hold. Costs are whole numbers; a null counts nothing.
+
+    The ranges are a written table, as a second plan would cut others. Their sums are as many as there are partitions.
+    """
+    from .graph import _cut
+
+    dealt = _cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum(cost).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")  # a row a partition
+
+
 def budget_prefix(rows: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:
-    """Ranked rows before the first one that would exceed the budget; what follows it does not come back."""
+    """Ranked rows before the first one that would exceed the budget; what follows it does not come back. Costs are not negative.
+
+    Without keys the budget is one for all rows, in two passes over ranges of the order.
+    """
+    if not keys:
+        return running_total(rows, order, cost).where(F.col("running") <= budget)
     w = W.partitionBy(*keys).orderBy(*order)
-    sums = rows.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return sums.withColumn("_over", F.max((F.col("running") > budget).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("_over = 0").drop("_over")
+    return rows.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.coalesce(F.col("running"), F.lit(0)) <= budget)
 
 
 def report_order(severity: str = "severity") -> list[Column]:
@@ -63,9 +82,9 @@ def report_order(severity: str = "severity") -> list[Column]:
 
 def fan_out(rows: DataFrame, keys: list[str], order: list, limit: int = 25) -> DataFrame:
     """The first `limit` rows of each key with `position`, and a marker row (position limit + 1, truncated = how many more)."""
-    own = W.partitionBy(*keys)
-    ranked = rows.withColumn("position", F.row_number().over(own.orderBy(*order))).withColumn("_k", F.count("*").over(own))
-    kept = ranked.where(F.col("position") <= limit + 1)
+    # the first rows are cut while they are ranked; how many there are is a count of its own
+    kept = rows.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= limit + 1)
+    kept = kept.join(rows.groupBy(*keys).agg(F.count("*").alias("_k")), keys)
     marker = F.col("position") > limit
     rest = [c for c in rows.columns if c not in keys]
     return kept.select(*keys, *(F.when(~marker, F.col(c)).alias(c) for c in rest), "position", F.when(marker, F.col("_k") - limit).otherwise(0).alias("truncated"))

@@ -61,7 +61,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string([x FOR x IN [{_TAGS}] IF x IS NOT NULL], ',') AS tags, CAST({_RISK} AS INTEGER) AS risk FROM documents")
 def scan_risk_markers(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(P.flags("text", MARKERS), ",").alias("tags"), P.risk("text", SIGNALS, None).alias("risk"))
+    found = t(spark, d, "documents").select("doc_id", P.flags("text", MARKERS).alias("found"))
+    return found.select("doc_id", F.array_join("found", ",").alias("tags"), P.weighed("found", {n: w for p, w in SIGNALS for n in MARKERS if MARKERS[n] == p}).alias("risk"))
 
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS file, line, 'R-SG-032' AS rule_id, 'stability/not-null-assert' AS category, 'minor' AS severity, left(text, 300) AS snippet FROM ({_LINES}) WHERE regexp_matches(text, '!!([^=]|$)')")
@@ -176,7 +177,8 @@ def per_rule_truncated(spark, d):
 def suppression_summary(spark, d):
     rows = t(spark, d, "documents").select("doc_id", S.line_count("text").alias("line_count")).join(t(spark, d, "labels"), "doc_id")
     status = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
-    return rows.withColumn("status", status).groupBy("status").agg(F.count("*").alias("rows"), F.min("line_count").alias("least_lines"))
+    rows = rows.withColumn("status", status)
+    return A.suppression_summary(rows, ["status"]).withColumnRenamed("suppressed", "rows").join(rows.groupBy("status").agg(F.min("line_count").alias("least_lines")), "status")
 
 
 @query(f"SELECT user_id, count(CASE WHEN s = 'critical' THEN 1 END) AS critical, count(CASE WHEN s = 'major' THEN 1 END) AS major, count(CASE WHEN s = 'minor' THEN 1 END) AS minor, count(CASE WHEN s = 'info' THEN 1 END) AS info, count(*) AS total FROM (SELECT user_id, {_SEVERITY} AS s FROM events) GROUP BY user_id")
@@ -231,3 +233,14 @@ def pattern_report_shapes(spark, d):
     result = F.struct(F.concat(F.lit("rules.r-sg-"), F.col("doc_id") % 90).alias("check_id"), "path", F.struct("line").alias("start"), F.struct(F.col("last").alias("line")).alias("end"), F.struct(F.coalesce("level", F.lit("INFO")).alias("message"), F.col("level").alias("severity"), F.col("code").alias("lines")).alias("extra"))
     reports = rows.select(F.to_json(F.struct(F.array(result).alias("results"))).alias("report"))
     return pattern_texts(reports, "/repo").select("rule_id", "file", F.col("message").alias("level_given"), "severity", F.col("line").cast("long"), F.col("end_line").cast("long"), "snippet")
+
+
+_RULES = [("T1", r"[0-9]{3,}"), ("T2", r"[a-z]+ing[.]"), ("T3", r"!!")]
+
+
+@query("WITH l AS (SELECT doc_id, line, text FROM (" + _LINES + ")) " + " UNION ALL ".join(f"SELECT 'd/' || doc_id || '.txt' AS file, CAST(line AS INTEGER) AS line, '{n}' AS rule_id, left(unnest(regexp_extract_all(text, '{p}')), 300) AS snippet FROM l" for n, p in _RULES))
+def text_rule_matches(spark, d):
+    from sievework.operators.review import text_rule_hits
+
+    files = t(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("file"), "text")
+    return text_rule_hits(files, [{"rule_id": n, "pattern": p, "category": "text", "severity": "info", "paths": ["**/*.txt"]} for n, p in _RULES]).select("file", "line", "rule_id", "snippet")

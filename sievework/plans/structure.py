@@ -109,11 +109,10 @@ s AS (SELECT s_suppkey, s_nationkey, n_regionkey AS r FROM supplier JOIN nation
 p AS (SELECT c_custkey, s_suppkey, CASE WHEN c_nationkey = s_nationkey THEN 0 ELSE 1 END AS tier FROM c JOIN s ON c.r = s.r)
 SELECT c_custkey, s_suppkey FROM (SELECT *, min(tier) OVER (PARTITION BY c_custkey) AS low FROM p) WHERE tier = low""")
 def variant_preference(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
-    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
-    tier = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 0).otherwise(1)
-    return J.prefer_tier(c.join(s, "n_regionkey"), ["c_custkey"], tier).select("c_custkey", "s_suppkey")
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    c = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")).join(n, "nation")
+    s = t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation")).join(n, "nation")
+    return J.first_tier(c, s, [["nation"], ["region"]]).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, t.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN (SELECT p_name, p_size, min(p_brand) AS p_brand FROM part GROUP BY p_name, p_size HAVING count(DISTINCT p_brand) = 1) t ON p.p_name = t.p_name AND p.p_size = t.p_size")
@@ -210,7 +209,7 @@ SELECT lang || '/' || source AS batch, p AS perspective FROM h""")
 def perspective_gating(spark, d):
     from .evidence import MARKERS
 
-    tags = t(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("batch"), F.explode_outer(P.flags("text", MARKERS)).alias("tag")).distinct()
+    tags = t(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("batch"), F.explode_outer(P.flags("text", {n: p for n, p in MARKERS.items() if n != "license"})).alias("tag")).distinct()  # no perspective asks for licenses
     return J.gated(tags, spark.createDataFrame(_GATES, "perspective string, tag string"))
 
 
@@ -358,3 +357,10 @@ def enclosing_type_lines(spark, d):
     docs = t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file"), F.posexplode(F.split(F.translate("text", ",.{}", "{}  "), "\n")).alias("line", "text"))
     rows = W.enclosing_type(docs.withColumn("line", (F.col("line") + 1).cast("long")), _DECLARES)
     return rows.select(F.col("file").alias("doc_id"), "line", "type")
+
+
+@query("SELECT doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id) AS running FROM documents) WHERE running <= 200000")
+def global_budget(spark, d):
+    """One budget for all documents, the longest first: no task sees them all."""
+    rows = t(spark, d, "documents").select("doc_id", "n_chars")
+    return W.budget_prefix(rows, [], [F.desc("n_chars"), "doc_id"], "n_chars", 200000).select("doc_id", "running")

@@ -73,14 +73,21 @@ def rule_hits_not_null_assert(spark, d):
 
 @query(_LINES)
 def source_lines_index(spark, d):
-    return lines(t(spark, d, "documents"))
+    from sievework.sources.readers import source_lines
+
+    content = F.encode("text", "UTF-8")
+    files = t(spark, d, "documents").select(F.col("doc_id").alias("file"), F.octet_length("text").alias("bytes"), content.alias("content"))
+    return source_lines(files).select(F.col("file").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
 
 
 @query(f"SELECT doc_id, string_agg(text, chr(10) ORDER BY line) AS snippet FROM ({_LINES}) WHERE line BETWEEN 2 AND 4 GROUP BY doc_id")
 def snippet_range(spark, d):
-    # a line range of one text needs no join: the array is cut in place
-    parts = F.split("text", "\n")
-    return t(spark, d, "documents").where("text is not null").where(F.size(parts) >= 2).select("doc_id", F.array_join(F.slice(parts, 2, 3), "\n").alias("snippet"))
+    from sievework.operators.relations import snippets
+
+    docs = t(spark, d, "documents")
+    wanted = docs.select(F.col("doc_id").alias("file"), F.lit(2).alias("line"), F.lit(4).alias("end_line"))
+    found = snippets(wanted, lines(docs).withColumnRenamed("doc_id", "file"), 1 << 30).where("snippet is not null")
+    return found.select(F.col("file").alias("doc_id"), "snippet")
 
 
 @query(f"SELECT doc_id, sha256(text) AS sha256, CAST({_LINE_COUNT} AS BIGINT) AS line_count FROM documents")
@@ -244,3 +251,16 @@ def text_rule_matches(spark, d):
 
     files = t(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("file"), "text")
     return text_rule_hits(files, [{"rule_id": n, "pattern": p, "category": "text", "severity": "info", "paths": ["**/*.txt"]} for n, p in _RULES]).select("file", "line", "rule_id", "snippet")
+
+
+_PAGE_LINES = "SELECT page_id, unnest(generate_series(1, len(string_split(html, chr(10))))) AS line, unnest(string_split(html, chr(10))) AS text FROM pages"
+
+
+@query(f"SELECT page_id, kind, name, CAST(line AS INTEGER) AS line FROM (SELECT page_id, line, 'definition.type' AS kind, unnest(regexp_extract_all(text, '\\b(?:class|interface|object|record)\\s+([A-Za-z_]\\w*)', 1)) AS name FROM ({_PAGE_LINES}) UNION ALL SELECT page_id, line, 'reference.call', unnest(regexp_extract_all(text, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) FROM ({_PAGE_LINES}))")
+def page_captures(spark, d):
+    """The table function over the scripts of pages, from SQL."""
+    from sievework.sources.report_source import register_extract
+
+    register_extract(spark)
+    t(spark, d, "pages").createOrReplaceTempView("captured_pages")
+    return spark.sql("SELECT page_id, kind, name, line FROM captured_pages, LATERAL extract_tags(html) WHERE kind IN ('definition.type', 'reference.call')")

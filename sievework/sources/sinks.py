@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -138,3 +139,39 @@ def finish_manifest(runs: DataFrame, run_id: str, facts: dict) -> DataFrame:
     """The run's row with what became known at the end; other runs stay."""
     own = F.col("run_id") == run_id
     return runs.withColumns({k: F.when(own, F.lit(v)).otherwise(F.col(k) if k in runs.columns else F.lit(None)) for k, v in facts.items()})
+
+
+def publish(spark, tables: dict, base: str, run_id: str) -> dict:
+    """Writes tables (name: DataFrame and the condition of a bad row) below the run's folder, all or none, and returns the receipt.
+
+    The pass that stages a table also counts its rows and bad ones and folds its rows into a fingerprint that their order does not
+    change. Only if no table has a bad row the staged folder takes the place of the run's; otherwise it goes, and what was
+    published before stays as it is. The receipt has status published or refused, and rows, problems and fingerprint by table.
+    """
+    from pyspark.sql import Observation
+
+    jvm = spark.sparkContext._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    final, staged, old = (f"{base.rstrip('/')}/{run_id}{end}" for end in ("", ".staged", ".old"))
+    fs = path(final).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(staged), True)
+    receipt = {"run_id": run_id, "tables": {}}
+    for name, (df, bad) in tables.items():
+        seen = Observation(name)
+        fold = F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in df.columns)}))")
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(bad, F.lit(False))).alias("problems"), fold.alias("fold")).write.parquet(f"{staged}/{name}")
+        own = seen.get
+        receipt["tables"][name] = {"rows": own["rows"], "problems": own["problems"], "fingerprint": f"{(own['fold'] or 0) & (1 << 64) - 1:016x}"}
+    receipt["status"] = "refused" if any(x["problems"] for x in receipt["tables"].values()) else "published"
+    if receipt["status"] == "refused":
+        fs.delete(path(staged), True)
+        return receipt
+    spark.createDataFrame([(json.dumps(receipt, sort_keys=True),)], "receipt string").coalesce(1).write.text(f"{staged}/receipt")
+    fs.delete(path(old), True)
+    if fs.exists(path(final)) and not fs.rename(path(final), path(old)):
+        raise OSError(f"{final} could not be moved")
+    if not fs.rename(path(staged), path(final)):
+        fs.rename(path(old), path(final))
+        raise OSError(f"{staged} could not be moved")
+    fs.delete(path(old), True)
+    return receipt

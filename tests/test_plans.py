@@ -51,3 +51,19 @@ def test_next_fit_is_a_fold(spark):
             state[g if keys else 0] = (b, a + n, c + t)
             want[k] = b
         assert got == want
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path):
+    import json
+
+    from sievework.sources import sinks as K
+
+    base = f"file://{tmp_path}/out"
+    good, worse = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"), spark.createDataFrame([(3, "x"), (-1, "y")], "k int, v string")
+    first = K.publish(spark, {"findings": (good, F.col("k") < 0), "review": (good.limit(0), F.lit(False))}, base, "run")
+    assert first["status"] == "published" and first["tables"]["findings"]["rows"] == 2 and first["tables"]["review"]["fingerprint"] == "0" * 16
+    again = K.publish(spark, {"findings": (good.orderBy(F.desc("k")), F.col("k") < 0), "review": (worse, F.col("k") < 0)}, base, "run")
+    assert again["status"] == "refused" and again["tables"]["review"]["problems"] == 1 and again["tables"]["findings"]["fingerprint"] == first["tables"]["findings"]["fingerprint"]
+    assert spark.read.parquet(f"{base}/run/review").count() == 0 and json.loads(spark.read.text(f"{base}/run/receipt").first()[0]) == first
+    assert K.publish(spark, {"findings": (worse.where("k > 0"), F.col("k") < 0)}, base, "run")["status"] == "published"
+    assert [r["k"] for r in spark.read.parquet(f"{base}/run/findings").collect()] == [3] and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["run"]

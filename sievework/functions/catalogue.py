@@ -296,3 +296,13 @@ STRUCTURAL = [
     ("R-SG-055", "perf/heavy-onreceive", "major", _K, ["FileInputStream(...)", "FileOutputStream(...)", "$DB.getWritableDatabase()", "$DB.getReadableDatabase()", "$DB.rawQuery(...)", "Thread.sleep(...)"], {"inside": "override fun onReceive($CTX: Context, $INTENT: Intent)"}),
     ("R-SG-061", "stability/non-sdk-api-enforcement", "critical", _JK, ['InetAddress.class.getDeclaredField("impl")', '$M.invoke(InetAddress.class, "impl")'], {}),
 ]
+
+# Taint rules over both languages, test code left out: id, category, severity, sources, sinks.
+_OUTSIDE = ["$I.getStringExtra(...)", "$I.getDataString()", "$U.getQueryParameter(...)", "$B.getString(...)"]
+TAINT_SKIP = ["**/test/**", "**/androidTest/**"]
+TAINT = [
+    ("R-SG-056", "security/webview-untrusted-data-flow", "critical", [*_OUTSIDE, "$I.getCharSequenceExtra(...)", "$I.getData()"], ["$WV.loadUrl(...)", "$WV.evaluateJavascript(...)", "$WV.loadData(...)", "$WV.loadDataWithBaseURL(...)"]),
+    ("R-SG-057", "security/command-injection-data-flow", "critical", _OUTSIDE, ["$R.exec(...)", "ProcessBuilder(...)"]),
+    ("R-SG-058", "security/sql-injection-data-flow", "critical", _OUTSIDE, ["$DB.rawQuery(...)", "$DB.execSQL(...)", "$DB.compileStatement(...)"]),
+    ("R-SG-059", "security/path-traversal-data-flow", "critical", [*_OUTSIDE, "$ENTRY.getName()"], ["File($PATH)", "File($BASE, $PATH)", "FileInputStream($PATH)", "FileOutputStream($PATH)", "$CTX.openFileOutput($PATH, ...)"]),
+]

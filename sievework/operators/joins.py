@@ -68,6 +68,12 @@ def overlay_anchor(files: DataFrame, keys: list[str], file: str, preferred: Colu
     return files.join(anchor, keys).select(*keys, file, F.col("_a.f").alias("anchor")).where(F.col(file) != F.col("anchor"))
 
 
+def receipt_problems(batches: DataFrame, receipts: DataFrame, hashes: list[str]) -> DataFrame:
+    """batch, problem of the receipts that maps left for batches: missing, extra or duplicate ones, and the names of hashes that differ from the batch's own."""
+    differ = compare_values(batches, receipts, ["batch"], hashes).where("field not in ('missing', 'extra')").select("batch", F.col("field").alias("problem"))
+    return compare_sets(batches, receipts, ["batch"]).select("batch", "problem").union(differ).distinct()
+
+
 def beats(winner: DataFrame, loser: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(losing side without keys that the winner has, the removed rows)."""
     k = winner.select(*keys).distinct()

@@ -364,3 +364,16 @@ def global_budget(spark, d):
     """One budget for all documents, the longest first: no task sees them all."""
     rows = t(spark, d, "documents").select("doc_id", "n_chars")
     return W.budget_prefix(rows, [], [F.desc("n_chars"), "doc_id"], "n_chars", 200000).select("doc_id", "running")
+
+
+@query("""WITH r AS (SELECT l.doc_id, md5(CASE WHEN l.quality = 1 THEN coalesce(d.text, '') ELSE coalesce(d.text, '') || '!' END) AS h, md5(l.toxic || '') AS m, d.doc_id AS own, d.text AS text FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id)
+SELECT doc_id AS batch, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'extra' FROM r WHERE own IS NULL UNION SELECT doc_id, 'duplicate' FROM r GROUP BY doc_id HAVING count(*) > 1 AND count(own) > 0
+UNION SELECT doc_id, 'batch_sha256' FROM r WHERE own IS NOT NULL AND h <> md5(coalesce(text, '')) UNION SELECT doc_id, 'map_sha256' FROM r WHERE own IS NOT NULL AND m <> md5('0')""")
+def batch_receipts(spark, d):
+    """Receipts that labels leave for documents: whole for good ones, of another text for poor ones, of another map for toxic ones."""
+    text = F.coalesce("text", F.lit(""))
+    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
+    batches = docs.select(F.col("doc_id").alias("batch"), F.md5(text).alias("batch_sha256"), F.md5(F.lit("0")).alias("map_sha256"))
+    left = labels.join(docs.select("doc_id", "text"), "doc_id", "left")
+    receipts = left.select(F.col("doc_id").alias("batch"), F.md5(F.when(F.col("quality") == 1, text).otherwise(F.concat(text, F.lit("!")))).alias("batch_sha256"), F.md5(F.col("toxic").cast("string")).alias("map_sha256"))
+    return J.receipt_problems(batches, receipts, ["batch_sha256", "map_sha256"])

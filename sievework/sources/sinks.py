@@ -91,8 +91,10 @@ def review_report(items: DataFrame, language: str = "zh") -> DataFrame:
 
 
 def map_receipt(map_text: DataFrame, batch_text: DataFrame, backend: str) -> DataFrame:
-    """The receipt of a map (file, text) that was made for a batch (file, text): names, SHA-256, backend, whether it is degraded or cut."""
-    cut = F.col("text").contains("截断") | F.col("text").contains("已用尽") | F.col("text").contains("[truncated")
+    """The receipt of a map (file, text and, where its maker tells, truncated) that was made for a batch (file, text): names, SHA-256, backend,
+    whether it is degraded or cut. Without the flag the map's own words tell."""
+    said = F.col("text").contains("截断") | F.col("text").contains("已用尽") | F.col("text").contains("[truncated")
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in map_text.columns else said
     m = map_text.select(F.col("file").alias("map_file"), F.sha2("text", 256).alias("map_sha256"), cut.alias("map_truncated"))
     b = batch_text.select(F.col("file").alias("batch_file"), F.sha2("text", 256).alias("batch_sha256"))
     return m.join(F.broadcast(b), how="left").select(F.lit(2).alias("schema_version"), F.lit(backend).alias("backend"), (F.lit(backend) != "treesitter").alias("degraded"), "*")  # one row each

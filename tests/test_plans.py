@@ -67,3 +67,9 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{base}/run/review").count() == 0 and json.loads(spark.read.text(f"{base}/run/receipt").first()[0]) == first
     assert K.publish(spark, {"findings": (worse.where("k > 0"), F.col("k") < 0)}, base, "run")["status"] == "published"
     assert [r["k"] for r in spark.read.parquet(f"{base}/run/findings").collect()] == [3] and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["run"]
+
+
+def test_receipts_of_batches(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "batch string, batch_sha256 string, map_sha256 string")
+    got = J.receipt_problems(make(("a", "1", "m"), ("b", "2", "m"), ("c", "3", "m"), ("d", "4", "m")), make(("a", "1", "m"), ("b", "9", None), ("d", "4", "m"), ("d", "4", "m"), ("e", "5", "m")), ["batch_sha256", "map_sha256"])
+    assert sorted(map(tuple, got.collect())) == [("b", "batch_sha256"), ("b", "map_sha256"), ("c", "missing"), ("d", "duplicate"), ("e", "extra")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import catalogue as C
 from sievework.functions import scalar as S
+from sievework.sources.readers import inspect
 
 from . import aggregates as A
 from . import batching as B
@@ -145,11 +146,12 @@ def audit_result(plan: DataFrame, results: DataFrame, problems: DataFrame) -> Da
     return both.select("batch", F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "stray").when(F.col("_p"), "failed").otherwise("audited").alias("state"))
 
 
-def impact_slice(files: DataFrame, changed: DataFrame, edges: DataFrame, definitions: DataFrame, calls: DataFrame, modules: list[str], depth: int, module_names: list[str] = C.MODULE_WIDE, global_files: list[str] = C.GLOBAL_FILES) -> DataFrame:
+def impact_slice(files: DataFrame, changed: DataFrame, edges: DataFrame, definitions: DataFrame, calls: DataFrame, modules: list[str], depth: int, module_names: list[str] = C.MODULE_WIDE, global_files: list[str] = C.GLOBAL_FILES, before: DataFrame | None = None) -> DataFrame:
     """file: what a change reaches. files: file, text; changed: file, deleted; definitions: name, file; calls: caller_file, caller, name.
 
     A change of a global file (whole path) reaches all. Files of module_names and deletions widen to their module, a deletion
-    without one to all; relations, callees and callers to `depth`.
+    without one to all; relations, callees and callers to `depth`. before (file, text): deleted files as they were, whose types
+    are looked for as well; without them a file's name stands for its type.
     """
     live = changed.where("not deleted").select("file")
     wide = changed.where(F.col("deleted") | F.element_at(F.split("file", "/"), -1).isin(module_names)).select("file", "deleted")
@@ -164,6 +166,9 @@ def impact_slice(files: DataFrame, changed: DataFrame, edges: DataFrame, definit
         levels = G.frontier(calls.select(F.col("name").alias("callee"), "caller"), declared, max(depth - 1, 0))
         parts.append(calls.join(levels, "name").select(F.col("caller_file").alias("file")))
         gone = changed.where("deleted").select(F.regexp_extract("file", r"([A-Za-z_]\w*)\.(?:java|kt)$", 1).alias("name")).where("name <> ''")
+        if before is not None:
+            old = before.join(changed.where("deleted").select("file"), "file", "left_semi")
+            gone = gone.union(inspect(old).select(F.explode("symbols").alias("name"))).distinct()
         parts.append(J.mentions(files, gone).select("file"))
     return X.impact(files, parts)
 

@@ -49,6 +49,7 @@ def tables(spark, tmp_path_factory):
         ("benchmark", [(i, t) for i, t in enumerate(items)], "item_id long, text string"),
         ("embeddings", vecs, "vec_id long, embedding array<double>, label int"),
         ("pages", pages, "page_id long, url string, html string"),
+        ("conversations", [(1, 0, "user", "Hello."), (None, None, None, None)], "conv_id long, turn long, role string, text string"),
     ):
         spark.createDataFrame(own, schema).repartition(3).write.parquet(f"file://{top}/{name}.parquet")
         made[name] = own

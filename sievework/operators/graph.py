@@ -14,9 +14,8 @@ WEIGHTS = {"component": 8, "resource": 6, "overlay": 6, "gradle": 5, "import": 5
 DAMPING, ITERATIONS = 0.85, 30
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows from a written table, so that a loop's plan stays short and outlives an executor."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; on a local master without one, a new folder of the machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
@@ -25,7 +24,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows from a written table, so that a loop's plan stays short and outlives an executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

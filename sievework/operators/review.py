@@ -25,6 +25,22 @@ def analyse(files: DataFrame) -> DataFrame:
     return files.where(~P.generated("file")).select("file", P.risk("text", C.SIGNALS).alias("risk_score"), P.flags("text", C.MARKERS).alias("tech"), S.token_estimate("text").alias("estimated_tokens"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), S.line_count("text").alias("line_count"))
 
 
+def analyse_windows(windows: DataFrame, signals: list[tuple[str, int]] | None = None, markers: dict[str, str] | None = None, long_lines: int = 600) -> DataFrame:
+    """The same of files that come in windows (sources.splits), which may be larger than a cell: file, risk_score, tech, estimated_tokens, line_count."""
+    signals, markers = C.SIGNALS if signals is None else signals, C.MARKERS if markers is None else markers
+    last = F.when(F.col("chars") > 0, F.endswith(W.own_part(), F.lit("\n"))).alias("_n")
+    rows = windows.where(~P.generated("file"))
+    found = W.match_counts(rows, {f"s{k}": p for k, (p, _) in enumerate(signals)} | {f"t{n}": p for n, p in markers.items()})
+    # whether the last character is a line feed: a short row a window
+    ends = rows.select("file", "start", "chars", last).where("chars > 0").groupBy("file").agg(F.max_by("_n", "start").alias("_end"))
+    has = lambda k: F.map_contains_key("matches", k)
+    risk = sum((F.when(has(f"s{k}"), w).otherwise(0) for k, (_, w) in enumerate(signals)), F.when(F.col("breaks") > long_lines, 1).otherwise(0))
+    tech = F.array_compact(F.array(*(F.when(has(f"t{n}"), n) for n in sorted(markers))))
+    tokens = F.greatest(F.lit(64), F.floor((F.col("chars") + 2) / 3)).cast("long")
+    lines = F.col("breaks") + F.when(F.col("_end"), 0).when(F.col("chars") > 0, 1).otherwise(0)
+    return found.join(ends, "file", "left").select("file", risk.cast("int").alias("risk_score"), tech.alias("tech"), tokens.alias("estimated_tokens"), lines.cast("long").alias("line_count"))
+
+
 def text_rule_hits(files: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """One row a match of the text rules over whole texts: file, line, rule_id, category, severity, snippet. One scan for all rules."""
     rules = rules if rules is not None else C.text_rules()

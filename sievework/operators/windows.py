@@ -1,4 +1,4 @@
-"""Order-sensitive operators: coverage of intervals, caps, nearest preceding rows, budgets, ranked output."""
+"""Order-sensitive operators: coverage of intervals, caps, nearest preceding rows, budgets, windows of long texts, ranked output."""
 
 from __future__ import annotations
 
@@ -76,6 +76,37 @@ def budget_prefix(rows: DataFrame, keys: list[str], order: list, cost: str, budg
     return rows.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.coalesce(F.col("running"), F.lit(0)) <= budget)
 
 
+def matches_in(pattern: str, text: str = "text", lead: str = "lead", chars: str = "chars") -> Column:
+    """How many matches begin in a window's own part; what overlaps is context only, so a match at an edge counts once.
+
+    The sum over a file's windows is that of one scan of the whole text where a match, with what it looks at around it, and an
+    unbroken run of touching matches are no longer than the overlap.
+    """
+    mark = "\x01"
+    pieces = F.split(F.regexp_replace(F.translate(text, mark, "\x02"), pattern, f"{mark}$0"), mark)
+    # a piece but the first begins with a match: its place is the length of those before
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+    own = lambda at: (at >= F.col(lead)) & (at < F.col(lead) + F.col(chars))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), (s["n"] + F.when(own(s["at"]), 1).otherwise(0)).alias("n"))
+    walk = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start.withField("at", F.length(F.get(pieces, F.lit(0)))), step, lambda s: s["n"])
+    return F.when(F.col(text).rlike(pattern), walk).otherwise(0).cast("long")
+
+
+def own_part(text: str = "text", lead: str = "lead", chars: str = "chars") -> Column:
+    """The part of a window's text that no other window has as its own."""
+    return F.substring(text, F.col(lead) + 1, F.col(chars))
+
+
+def match_counts(windows: DataFrame, patterns: dict[str, str], keys: list[str] = ["file"]) -> DataFrame:
+    """keys, chars, breaks (line feeds), matches (map of name and number, names without a match left out) of texts in windows."""
+    own = own_part()
+    breaks = F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit("")))
+    each = windows.select(*keys, F.col("chars").cast("long").alias("chars"), breaks.cast("long").alias("breaks"), *(matches_in(p).alias(f"m{k}") for k, p in enumerate(patterns.values())))
+    sums = each.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in each.columns if c not in keys))
+    found = F.array_compact(F.array(*(F.when(F.col(f"m{k}") > 0, F.struct(F.lit(n).alias("key"), F.col(f"m{k}").alias("value"))) for k, n in enumerate(patterns))))
+    return sums.select(*keys, "chars", "breaks", F.map_from_entries(found.cast("array<struct<key:string,value:bigint>>")).alias("matches"))
+
+
 def report_order(severity: str = "severity") -> list[Column]:
     return [severity_rank(severity), F.col("category"), F.col("file"), F.col("line")]
 

@@ -132,6 +132,11 @@ def edges(raw: DataFrame, ordinal: str, most: int = 4, width: int = 240) -> Data
     return e.groupBy("source", "target", "kind").agg(F.max("weight").alias("weight"), F.transform(listed, lambda x: x.evidence).alias("evidence"))
 
 
+def edge_order() -> list[Column]:
+    """Edges as they are listed: the heaviest first, then by source, target and kind."""
+    return [F.desc("weight"), F.asc("source"), F.asc("target"), F.asc("kind")]
+
+
 def adjacency(edge: DataFrame) -> DataFrame:
     """node, neighbour, weight: both directions, weights summed; edges without an end are dropped."""
     e = edge.where("source <> '' and target <> ''") if dict(edge.dtypes)["source"] == "string" else edge.where("source is not null and target is not null")

@@ -184,8 +184,33 @@ def rule_hits(lines: DataFrame, rules: list[dict]) -> DataFrame:
     return lines.withColumn("rule", F.explode(F.array_compact(F.array(*hit)))).select("file", "line", "rule.*", F.left("text", F.lit(300)).alias("snippet"))
 
 
-def shipping_variants(flavors: DataFrame, types: DataFrame, skip: tuple[str, ...] = ("debug",)) -> DataFrame:
-    """flavor x build type as variant names, without the types that do not ship; both are short lists of a project."""
-    types = types.where(~F.lower("build_type").isin(*skip))
-    first_up = F.concat(F.upper(F.left("build_type", F.lit(1))), F.expr("substring(build_type, 2)"))
-    return flavors.join(F.broadcast(types), how="cross").select("flavor", "build_type", F.concat("flavor", first_up).alias("variant"))
+# Build types that do not ship, beside those that end with the first.
+NOT_SHIPPED = ("debug", "test", "androidtest")
+
+
+def _first_up(text) -> Column:
+    return F.concat(F.upper(F.left(col(text), F.lit(1))), F.substring(col(text), F.lit(2), F.length(col(text))))
+
+
+def shipping_types(types, skip: tuple[str, ...] = NOT_SHIPPED) -> Column:
+    """The build types (array) that ship, in their order; release where none does or none is given."""
+    kept = F.filter(F.coalesce(col(types), F.array().cast("array<string>")), lambda x: ~F.lower(x).isin(*skip) & ~F.lower(x).endswith(NOT_SHIPPED[0]))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("release")))
+
+
+def variant_names(flavors, types) -> Column:
+    """Names of a project's shipping variants: each flavor with each type that ships, or the types alone. Both are a build script's short arrays."""
+    f, t = F.coalesce(col(flavors), F.array().cast("array<string>")), shipping_types(types)
+    return F.when(F.size(f) > 0, F.flatten(F.transform(f, lambda x: F.transform(t, lambda y: F.concat(x, _first_up(y)))))).otherwise(t)
+
+
+def lint_tasks(flavors, types) -> Column:
+    """The checks to run for a project, in order and once each: of its variants, of its types where there are flavors, and the one of all."""
+    task = lambda a: F.transform(a, lambda x: F.concat(F.lit("lint"), _first_up(x)))
+    return F.array_distinct(F.concat(task(variant_names(flavors, types)), task(shipping_types(types)), F.array(F.lit("lint"))))
+
+
+def shipping_variants(flavors: DataFrame, types: DataFrame, skip: tuple[str, ...] = NOT_SHIPPED) -> DataFrame:
+    """flavor, build_type, variant of one project's flavors and types that ship; both are short lists."""
+    listed = types.agg(shipping_types(F.collect_list("build_type"), skip).alias("_t"))
+    return flavors.join(F.broadcast(listed), how="cross").select("flavor", F.explode("_t").alias("build_type")).withColumn("variant", F.concat("flavor", _first_up("build_type")))

@@ -155,6 +155,68 @@ def audit_plan(assessed: DataFrame, planned: DataFrame) -> DataFrame:
     return s.groupBy("batch").agg(pick("negative").alias("negative_cases"), pick("disagreement").alias("disagreements"))
 
 
+def audit_inputs(files: DataFrame, expected: DataFrame, results: DataFrame, assessed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What an independent pass over each batch gets, one row a batch, and hashes that bind it:
+
+    batch, files (by position), expected_cases, negative_cases, disagreements, logic_cases, prior_results (by result_file: sample, result_file,
+    case_assessments, candidate_locations), source_sha256, prior_sha256, audit_sha256, and problem, `no-results` for a batch without any.
+
+    files: batch, position, file, sha256; expected: batch, case_id; results: batch, sample, result_file; assessed: batch, sample, case_id,
+    status, signals_checked, evidence, conclusion; candidates: batch, sample, rule_id, file, line. A batch's rows are bounded by its size.
+    Assessments stand by case, locations by rule and place, so equal inputs have equal hashes; those are of the rows as JSON.
+    """
+    said = ("case_id", "status", "signals_checked", "evidence", "conclusion")
+    own = ["batch", "sample"]
+    listed = lambda df, keys, fields, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    every = results.join(listed(assessed, own, said, "case_assessments"), own, "left").join(listed(candidates, own, ("rule_id", "file", "line"), "candidate_locations"), own, "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(every.dtypes)[c])).alias(c)
+    prior = listed(every.select(*own, "result_file", empty("case_assessments"), empty("candidate_locations")), ["batch"], ("result_file", "sample", "case_assessments", "candidate_locations"), "prior_results")
+    logic = F.array(*(F.lit(f"R-AI-{n:03d}") for n in C.CASES["business_logic"]))
+    cases = expected.groupBy("batch").agg(F.array_sort(F.collect_set("case_id")).alias("expected_cases"))
+    plan = listed(files, ["batch"], ("position", "file", "sha256"), "_files").join(cases, "batch", "left").join(audit_plan(assessed, expected), "batch", "left").join(prior, "batch", "left")
+    none = F.array().cast("array<string>")
+    plan = plan.withColumns({c: F.coalesce(F.col(c), none) for c in ("expected_cases", "negative_cases", "disagreements")})
+    plan = plan.withColumn("logic_cases", F.array_intersect("expected_cases", logic))
+    focus = ("negative_cases", "disagreements", "logic_cases")
+    hashed = lambda *c: F.sha2(F.to_json(F.struct(*c)), 256)
+    plan = plan.withColumn("source_sha256", hashed("batch", "_files", "expected_cases")).withColumn("prior_sha256", hashed("batch", *focus, "prior_results"))
+    return plan.select(
+        "batch", F.transform("_files", lambda x: x.file).alias("files"), "expected_cases", *focus, "prior_results", "source_sha256", "prior_sha256",
+        hashed("batch", "source_sha256", "prior_sha256", "expected_cases").alias("audit_sha256"), F.when(F.col("prior_results").isNull(), "no-results").alias("problem"),
+    )
+
+
+def stale_audits(stored: DataFrame, inputs: DataFrame) -> DataFrame:
+    """batch, field: batches of a stored audit plan that are missing, extra, or whose lists or hashes are not those of its inputs as they are now."""
+    return J.compare_values(stored, inputs, ["batch"], ["files", "expected_cases", "negative_cases", "disagreements", "source_sha256", "prior_sha256", "audit_sha256"])
+
+
+# What a plan's rows must have in common with the rebuilt ones, and the least token budget of a plan.
+PLAN_FIELDS, LEAST_BUDGET = ("position", "risk_score", "tech", "estimated_tokens", "sha256", "line_count"), 1000
+
+
+def plan_problems(stored: DataFrame, files: DataFrame, edges: DataFrame, policy: dict) -> DataFrame:
+    """batch, file, problem of a stored plan against the plan that its files, edges and policy give when it is made again: files missing
+    from their batch, extra or repeated there, and fields that differ. So no part of a plan passes as the whole.
+
+    A policy without sound limits is a ValueError: no plan can be made of it.
+    """
+    size, budget = policy.get("batch_size"), policy.get("token_budget")
+    if type(size) is not int or size < 1:
+        raise ValueError(f"batch_size {size!r}")
+    if type(budget) is not int or budget < LEAST_BUDGET:
+        raise ValueError(f"token_budget {budget!r}")
+    keys = ["batch", "file"]
+    rebuilt = plan_batches(analyse(files), edges, policy)
+    kinds = dict(rebuilt.dtypes)
+    # fields are compared as the types of the plan that is made again; what cannot be read so differs
+    own = stored.select(*(F.col(k).cast(kinds[k]).alias(k) for k in keys), *(F.col(f).cast(kinds[f]).alias(f) for f in PLAN_FIELDS))
+    rebuilt = rebuilt.select(*keys, *PLAN_FIELDS)
+    sets = J.compare_sets(rebuilt, own, keys)
+    values = J.compare_values(rebuilt, own, keys, list(PLAN_FIELDS)).where("field not in ('missing', 'extra')").withColumnRenamed("field", "problem")
+    return sets.select(*keys, "problem").union(values.select(*keys, "problem")).distinct()
+
+
 def audit_result(plan: DataFrame, results: DataFrame, problems: DataFrame) -> DataFrame:
     """batch, state: audited, missing, stray, or failed where there are problems."""
     p = problems.select("batch").distinct().withColumn("_p", F.lit(True))

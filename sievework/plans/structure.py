@@ -377,3 +377,41 @@ def batch_receipts(spark, d):
     left = labels.join(docs.select("doc_id", "text"), "doc_id", "left")
     receipts = left.select(F.col("doc_id").alias("batch"), F.md5(F.when(F.col("quality") == 1, text).otherwise(F.concat(text, F.lit("!")))).alias("batch_sha256"), F.md5(F.col("toxic").cast("string")).alias("map_sha256"))
     return J.receipt_problems(batches, receipts, ["batch_sha256", "map_sha256"])
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY weight DESC, source, target, kind) AS position FROM (SELECT source, target, kind, CAST(sum(weight) AS BIGINT) AS weight FROM ({_EDGES}) GROUP BY ALL)")
+def edge_order(spark, d):
+    e = supply(spark, d).groupBy("source", "target", "kind").agg(F.sum("weight").alias("weight"))
+    return W.positions(e, A.edge_order())
+
+
+@query("""WITH f AS (SELECT DISTINCT o_custkey, lower(substr(o_orderpriority, 3)) AS flavor FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'stagingDebug' WHEN 'O' THEN 'beta' ELSE 'Test' END AS kind FROM orders),
+y AS (SELECT o_custkey, kind FROM b WHERE kind = 'beta' UNION ALL SELECT o_custkey, 'release' FROM b GROUP BY o_custkey HAVING NOT bool_or(kind = 'beta')),
+k AS (SELECT o_custkey, 0 AS a, flavor, upper(left(flavor, 1)) || substr(flavor, 2) || upper(left(kind, 1)) || substr(kind, 2) AS task FROM f JOIN y USING (o_custkey)
+UNION ALL SELECT o_custkey, 1, '', upper(left(kind, 1)) || substr(kind, 2) FROM y UNION ALL SELECT DISTINCT o_custkey, 2, '', '' FROM orders)
+SELECT o_custkey, string_agg('lint' || task, ',' ORDER BY a, flavor) AS tasks FROM k GROUP BY o_custkey""")
+def lint_tasks(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "stagingDebug").when(F.col("o_orderstatus") == "O", "beta").otherwise("Test")
+    flavor = F.when(F.col("o_orderstatus") != "P", F.lower(F.expr("substring(o_orderpriority, 3)")))
+    facts = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(flavor)).alias("flavors"), F.array_sort(F.collect_set(kind)).alias("types"))
+    return facts.select("o_custkey", F.array_join(P.lint_tasks("flavors", "types"), ",").alias("tasks"))
+
+
+_COUNTED = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[ ]*[:=]", "bang": "!!", "license": "(?i)licen[sc]e"}
+
+
+@query(f"""SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS breaks,
+{", ".join(f"CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS {n}" for n, p in _COUNTED.items())} FROM documents WHERE text IS NOT NULL GROUP BY lang""")
+def split_markers(spark, d):
+    """The texts written as files, which are then read in windows of 64 KiB."""
+    import uuid
+
+    from sievework.sources.splits import text_windows
+
+    path = f"{G.shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    t(spark, d, "documents").where("text is not null").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
+    rows = text_windows(spark, path, window=1 << 16)
+    lang = F.regexp_extract("file", "/lang=([^/]*)/", 1)
+    counts = W.match_counts(rows.withColumn("lang", F.nullif(lang, F.lit("__HIVE_DEFAULT_PARTITION__"))), _COUNTED, ["lang"])
+    return counts.select("lang", "chars", "breaks", *(F.coalesce(F.col("matches").getItem(n), F.lit(0)).cast("long").alias(n) for n in _COUNTED))

@@ -90,6 +90,48 @@ def review_report(items: DataFrame, language: str = "zh") -> DataFrame:
     return top.unionByName(rows).orderBy("_r", "_c", "_f", "_l").select("text")
 
 
+# Heads and labels of the report of findings, by language; counts are given in the order of the severities, then the total.
+FINDING_TEXTS = {
+    "zh": ("# 扫描结果", "**本次发现：** %d critical · %d major · %d minor · %d info（合计 %d）", "原因", "复现", "修复建议", "**数据流路径:**", "**相关定位:**", "来源候选"),
+    "en": ("# Scan results", "**Findings:** %d critical · %d major · %d minor · %d info (%d total)", "Why", "Repro", "Suggestion", "**Dataflow path:**", "**Related locations:**", "Source candidates"),
+}
+SEVERITIES = ("critical", "major", "minor", "info")
+
+
+def findings_report(findings: DataFrame, language: str = "zh") -> DataFrame:
+    """The texts of the report of open findings in report order: a head with the counts, a heading a severity, an item a finding.
+
+    findings: status, rule_id, category, severity, title, file, line, why, evidence, repro, suggestion, dataflow_path array<struct<file, line,
+    message>>, related_locations array<struct<file, line, title, category>>, source_candidate_ids array<string>. Unknown severities count in the
+    total and are not listed. The order is Spark's global sort; texts may be streamed to a file.
+    """
+    head, count, why, repro, fix, path, near, sources = FINDING_TEXTS["en" if language == "en" else "zh"]
+    known = findings.where("status = 'open'").withColumn("_r", severity_rank("severity"))
+    said = lambda c, other="": F.coalesce(F.col(c).cast("string"), F.lit(other))
+    place = lambda x: F.concat(F.lit("`"), F.coalesce(x.file, F.lit("")), F.lit(":"), F.coalesce(x.line, F.lit(0)).cast("string"), F.lit("` — "))
+    labelled = lambda label, c, end: F.when(said(c) != "", F.concat(F.lit(f"{label}: "), F.col(c), F.lit(end))).otherwise("")
+    steps, marks = F.size("dataflow_path"), F.lit("```")
+    hops = F.transform("dataflow_path", lambda x, k: F.concat(F.lit("  "), F.when(k < steps - 1, "→").otherwise("⬇"), F.lit(" "), place(x), F.coalesce(x.message, F.lit(""))))
+    other = F.transform("related_locations", lambda x: F.concat(F.lit("- "), place(x), F.coalesce(F.nullif(x.title, F.lit("")), x.category, F.lit(""))))
+    text = F.concat(
+        F.lit("### "), said("rule_id", "?"), F.lit(" · "), said("category"), F.lit("\n**"), said("title"), F.lit("** — "), said("file"), F.lit(":"), said("line", "0"), F.lit("\n\n"),
+        labelled(why, "why", "\n\n"),
+        F.when(said("evidence") != "", F.concat(marks, fence("file"), F.lit("\n"), F.col("evidence"), F.lit("\n"), marks, F.lit("\n\n"))).otherwise(""),
+        labelled(repro, "repro", "\n"), labelled(fix, "suggestion", "\n"),
+        F.when(steps > 0, F.concat(F.lit(f"\n{path}\n"), F.array_join(hops, "\n"), F.lit("\n"))).otherwise(""),
+        F.when(F.size("related_locations") > 1, F.concat(F.lit(f"\n{near}\n"), F.array_join(other, "\n"), F.lit("\n"))).otherwise(""),
+        F.when(F.size("source_candidate_ids") > 0, F.concat(F.lit(f"\n**{sources}:** "), F.size("source_candidate_ids").cast("string"), F.lit("\n"))).otherwise(""),
+        F.lit("\n---\n"),
+    )
+    row = lambda r, k, t: [r.alias("_r"), F.lit(k).alias("_k"), *t]
+    blank = [F.lit("").alias("_c"), F.lit("").alias("_f"), F.lit(0).cast("long").alias("_l")]
+    items = known.where(F.col("_r") < 99).select(*row(F.col("_r"), 1, [said("category").alias("_c"), said("file").alias("_f"), F.col("line").cast("long").alias("_l"), text.alias("text")]))
+    levels = known.where(F.col("_r") < 99).select("_r", "severity").distinct().select(*row(F.col("_r"), 0, [*blank, F.concat(F.lit("## "), F.initcap(F.lower("severity")), F.lit("\n")).alias("text")])).distinct()
+    counts = known.agg(F.count("*").alias("n"), *(F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in SEVERITIES))
+    top = counts.select(*row(F.lit(-1), 0, [*blank, F.format_string(f"{head}\n\n{count}\n", *SEVERITIES, "n").alias("text")]))
+    return top.unionByName(levels).unionByName(items).orderBy("_r", "_k", "_c", "_f", "_l").select("text")
+
+
 def map_receipt(map_text: DataFrame, batch_text: DataFrame, backend: str) -> DataFrame:
     """The receipt of a map (file, text and, where its maker tells, truncated) that was made for a batch (file, text): names, SHA-256, backend,
     whether it is degraded or cut. Without the flag the map's own words tell."""

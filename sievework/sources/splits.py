@@ -5,7 +5,8 @@ of `text` before that part), chars (characters of that part) and text: what over
 lie side by side and make up the file; an empty file is one empty window. Options, in bytes: window (1 MiB), overlap (16 KiB, which holds
 4,096 characters whatever they are) and partition (128 MiB: what a task reads, out of large files or of many small ones).
 
-Ranges are cut between characters; bytes that are no UTF-8 are replaced. A lost task reads its ranges again.
+Ranges are cut between characters; bytes that are no UTF-8 are replaced. A lost task reads its ranges again. Windows leave a task in batches of
+about 4 MiB of text, whatever a batch's number of rows may be elsewhere.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "text_windows"
 SCHEMA = "file string, start long, lead int, chars int, text string"
+#: Bytes of text in a batch that goes to the JVM; a larger window is a batch.
+BATCH = 4 << 20
 DEFAULTS = {"window": 1 << 20, "overlap": 4 * 4096, "partition": 128 << 20}
 
 
@@ -66,6 +69,25 @@ class WindowReader(DataSourceReader):
         return [*out, Ranges(now)] if now else []
 
     def read(self, partition):
+        """Arrow batches: rows would be gathered by their number, ten thousand windows at once."""
+        import pyarrow as pa
+
+        names, kinds = ["file", "start", "lead", "chars", "text"], [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        rows, held = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        for row in self._windows(partition):
+            rows.append(row)
+            held += len(row[-1].encode())
+            if held >= BATCH or len(rows) >= 10_000:
+                yield batch()
+                rows, held = [], 0
+        if rows:
+            yield batch()
+
+    def _windows(self, partition):
         store, _ = _store(self.path)
         for path, size, first, last in partition.parts:
             with store.open_input_file(path) as f:

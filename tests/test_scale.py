@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sievework.operators import graph as G
+from sievework.sources import splits
 
 
 def greedy(items, edges, size, tokens):
@@ -52,3 +53,20 @@ def test_cluster_task_holds_no_relations(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "collect_list" not in plan and "array" not in plan.lower()
     assert out.select(F.max("batch")).first()[0] == 29
+
+
+def test_windows_leave_a_task_in_small_batches(tmp_path):
+    """Many windows, of which no more than about BATCH bytes are held at once; nothing is lost."""
+    text = "é漢 key\n" * 2_000_000
+    (tmp_path / "a.kt").write_text(text)
+    for k in range(30):
+        (tmp_path / f"e{k}.kt").write_text("x" * k)
+    reader = splits.WindowReader(str(tmp_path), 1 << 16, 1 << 14, 128 << 20)
+    parts = reader.partitions()
+    batches = list(reader.read(parts[0]))
+    assert len(parts) == 1 and max(b.nbytes for b in batches) < splits.BATCH + (1 << 18)
+    rows = [r for b in batches for r in b.to_pylist()]
+    own = {}
+    for r in rows:
+        own[r["file"]] = own.get(r["file"], "") + r["text"][r["lead"] : r["lead"] + r["chars"]]
+    assert len(own) == 31 and own[str(tmp_path / "a.kt")] == text

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sievework.operators import graph as G
+from sievework.operators import joins as J
 from sievework.sources import splits
 
 
@@ -70,3 +71,12 @@ def test_windows_leave_a_task_in_small_batches(tmp_path):
     for r in rows:
         own[r["file"]] = own.get(r["file"], "") + r["text"][r["lead"] : r["lead"] + r["chars"]]
     assert len(own) == 31 and own[str(tmp_path / "a.kt")] == text
+
+
+def test_edge_split(spark):
+    """Repeated edges and members, a node in two batches or none, a batch without a name, a loop; edges are dealt once and not gathered again."""
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 5), (6, 6), (7, 1), (None, 1), (8, 9)], "source long, target long")
+    members = spark.createDataFrame([(1, 1), (2, 1), (1, 2), (1, 2), (2, 3), (None, 4), (3, 6)], "batch int, node long")
+    got = J.edge_split(edges, members)
+    want = [(1, 1, 2, "internal"), (2, 1, 2, "boundary"), (1, 1, 3, "boundary"), (2, 1, 3, "internal"), (None, 4, 5, "boundary"), (3, 6, 6, "internal"), *((b, s, 1, "boundary") for s in (7, None) for b in (1, 2))]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))

@@ -21,12 +21,17 @@ CONTROL = ["if", "for", "while", "switch", "catch", "synchronized", "when", "try
 BEFORE_NAME = r"^\s*([\w@<>\[\],.?& \t]*[\w>\]?])\s+([A-Za-z_]\w*)\s*\("
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key over as many tasks as the session sets. Several sorts stand in the memory of one task here, so tasks are not joined by the bytes that they read."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def nest(events: DataFrame, keys: list[str], order: str, step: str = "step") -> DataFrame:
     """The openings of events (step 1 opens, -1 closes) with level, close (the order of its closing, null if none) and parent (the order of
     the opening around it, null if none)."""
     own = Window.partitionBy(*keys)
     depth = F.sum(step).over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    levelled = events.withColumn("level", depth + F.when(F.col(step) < 0, 1).otherwise(0))
+    levelled = dealt(events, keys).withColumn("level", depth + F.when(F.col(step) < 0, 1).otherwise(0))
     closed = levelled.withColumn("close", F.lead(order).over(Window.partitionBy(*keys, "level").orderBy(order))).where(f"{step} > 0")
     # an opening stands on its own level, and as a child on that above
     both = closed.withColumn("_lv", F.explode(F.array("level", F.col("level") - 1)))
@@ -42,11 +47,12 @@ def around(points: DataFrame, opened: DataFrame, keys: list[str], at: str, order
     tree = nest(ends, keys, "_at")
     up = tree.alias("c").join(tree.select(*keys, F.col("_at").alias("parent"), F.col("_n").alias("_up")), [*keys, "parent"], "left")
     events = up.select(*keys, F.col("_at").alias("_p"), F.lit(0).alias("_kind"), F.struct(F.col("_n").alias("n")).alias("_v")).union(up.where("close is not null").select(*keys, F.col("close").alias("_p"), F.lit(0).alias("_kind"), F.struct(F.col("_up").alias("n"))))
+    # columns side by side, so that those which nobody asks for are left out
     rest = [c for c in points.columns if c not in keys]
-    asked = points.select(*keys, F.col(at).alias("_p"), F.lit(1).alias("_kind"), F.struct(*rest).alias("_row"))
-    both = events.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked.withColumn("_v", F.lit(None).cast(events.schema["_v"].dataType)))
+    asked = points.select(*keys, F.col(at).alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast(events.schema["_v"].dataType).alias("_v"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(rest)))
+    both = events.select("*", *(F.lit(None).cast(points.schema[c].dataType).alias(f"_c{k}") for k, c in enumerate(rest))).unionByName(asked)
     w = Window.partitionBy(*keys).orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1").select(*keys, "_row.*", F.col("_v.n").alias(name))
+    return dealt(both, keys).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1").select(*keys, *(F.col(f"_c{k}").alias(c) for k, c in enumerate(rest)), F.col("_v.n").alias(name))
 
 
 def place(line: str = "line", k: Column | None = None) -> Column:

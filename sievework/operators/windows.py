@@ -35,7 +35,7 @@ def nearest_preceding(rows: DataFrame, keys: list[str], order: list[str], wanted
 
 def enclosing_type(lines: DataFrame, declaration: str) -> DataFrame:
     """Adds `type`: the nearest preceding type declaration whose braces are still open, or that of the line itself. lines: file, line, text."""
-    from .nesting import around, nest, place
+    from .nesting import around, dealt, nest, place
 
     declared = F.regexp_extract("text", declaration, 1)
     braces = lines.select("file", "line", F.posexplode(F.regexp_extract_all("text", F.lit("[{}]"), F.lit(0))).alias("k", "b")).select("file", "line", place("line", F.col("k") + 1).alias("at"), F.when(F.col("b") == "{", 1).otherwise(-1).alias("step"))
@@ -44,10 +44,12 @@ def enclosing_type(lines: DataFrame, declaration: str) -> DataFrame:
     opened = nest(braces, ["file"], "at")
     own = W.partitionBy("file").orderBy("_p", "_k").rowsBetween(W.currentRow, W.unboundedFollowing)
     first = named.select("file", F.col("_from").alias("_p"), F.lit(0).alias("_k"), "type", F.lit(None).cast("struct<at:bigint,close:bigint>").alias("_b")).union(opened.select("file", "at", F.lit(1), F.lit(None).cast("string"), F.struct("at", "close")))
-    bound = first.withColumn("_b", F.first("_b", ignorenulls=True).over(own)).where("_k = 0 and _b is not null")
+    bound = dealt(first, ["file"]).withColumn("_b", F.first("_b", ignorenulls=True).over(own)).where("_k = 0 and _b is not null")
     bound = bound.groupBy("file", F.col("_b.at").alias("at"), F.col("_b.close").alias("close")).agg(F.max_by("type", "_p").alias("type"))
-    inside = around(lines.withColumn("_place", place()), bound, ["file"], "_place", "at", "type").drop("_place")
-    return inside.withColumn("type", F.when(declared != "", declared).otherwise(F.col("type")))
+    # what a line declares goes along, so that its text need not
+    asked = lines.withColumns({"_place": place(), "_own": F.nullif(declared, F.lit(""))})
+    inside = around(asked, bound, ["file"], "_place", "at", "type").drop("_place")
+    return inside.withColumn("type", F.coalesce("_own", "type")).drop("_own")
 
 
 def running_total(rows: DataFrame, order: list, cost: str, name: str = "running") -> DataFrame:

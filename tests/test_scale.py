@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import graph as G
 from sievework.operators import joins as J
+from sievework.operators import windows as W
 from sievework.sources import splits
 
 
@@ -80,3 +81,15 @@ def test_edge_split(spark):
     got = J.edge_split(edges, members)
     want = [(1, 1, 2, "internal"), (2, 1, 2, "boundary"), (1, 1, 3, "boundary"), (2, 1, 3, "internal"), (None, 4, 5, "boundary"), (3, 6, 6, "internal"), *((b, s, 1, "boundary") for s in (7, None) for b in (1, 2))]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_enclosing_type_moves_no_text(spark, tmp_path):
+    """Where only the types are asked for, no text of a line is dealt or sorted."""
+    lines = [("f", 1, "class A {"), ("f", 2, "x" * 50), ("f", 3, "class B { y }"), ("f", 4, "}"), ("f", 5, "z"), ("g", 1, None), ("g", 2, "class C")]
+    spark.createDataFrame(lines, "file string, line long, text string").write.parquet(str(tmp_path / "l"))
+    rows = W.enclosing_type(spark.read.parquet(str(tmp_path / "l")), r"class\s+(\w+)")
+    assert rows.columns == ["file", "line", "text", "type"]
+    assert sorted(map(tuple, rows.select("file", "line", "type").collect())) == [("f", 1, "A"), ("f", 2, "A"), ("f", 3, "B"), ("f", 4, "A"), ("f", 5, None), ("g", 1, None), ("g", 2, "C")]
+    plan = rows.select("file", "line", "type")._jdf.queryExecution().optimizedPlan().toString()
+    tops = [x for x in plan.splitlines() if "Window" in x or "RepartitionByExpression" in x]
+    assert tops and all("text" not in x for x in tops) and "named_struct(line" not in plan

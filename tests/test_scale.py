@@ -93,3 +93,19 @@ def test_enclosing_type_moves_no_text(spark, tmp_path):
     plan = rows.select("file", "line", "type")._jdf.queryExecution().optimizedPlan().toString()
     tops = [x for x in plan.splitlines() if "Window" in x or "RepartitionByExpression" in x]
     assert tops and all("text" not in x for x in tops) and "named_struct(line" not in plan
+
+
+def test_first_tier_deals_the_left_rows(spark):
+    """One key holds all rows: the product is made by many tasks; null keys go on to the next tier and are lost in the last."""
+    left = spark.range(200).select("id", F.lit(1).alias("m"), F.lit(1).alias("r")).union(spark.createDataFrame([(900, None, 1), (901, 5, None), (902, 5, 2)], "id long, m int, r int")).coalesce(1)
+    right = spark.createDataFrame([(10, 1, 1), (11, 1, 1), (12, 7, 2), (13, None, 1)], "t long, m int, r int")
+    got = J.first_tier(left, right, [["m"], ["r"]]).select("id", "t", F.spark_partition_id().alias("p")).collect()
+    want = [(i, t) for i in range(200) for t in (10, 11)] + [(900, t) for t in (10, 11, 13)] + [(902, 12)]
+    assert sorted((r["id"], r["t"]) for r in got) == want
+    assert len({r["p"] for r in got if r["id"] < 200}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = [J.LISTED, setattr(J, "LISTED", 1)][0]
+    try:
+        again = J.first_tier(left, right, [["m"], ["r"]]).select("id", "t").collect()
+    finally:
+        J.LISTED = one
+    assert sorted(map(tuple, again)) == want

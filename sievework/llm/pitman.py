@@ -1,74 +1,121 @@
 """Language model scoring: a hierarchical Pitman-Yor model of words, seated by Gibbs sampling.
 
-A token is drawn in the restaurant of its context, the ending of the word before it. All these restaurants share one parent, that of the words
-alone, whose parent spells: restaurants of two bytes of context over those of one, over that of none, over equal chances.
-A table of a restaurant is a customer of its parent. Discounts are 1/2, for which the number of seatings of c customers at t tables has a
-closed form; so a dish's number of tables is drawn from its exact conditional distribution, however many customers it has. Dishes are drawn side by
-side, each given the other dishes' tables of the sweep before; draws come from hashes of word, context and sweep, so that
-a task that runs again seats as before. A dish is one row with its contexts, so a sweep is one pass over the repeated words
-without a shuffle; words seen once have one table always. What the sweeps share is a number a context and at most 2**24 byte triples.
+A token is drawn in the restaurant of its context, the word before it (a text's first token has the end before it). All these restaurants
+share one parent, that of the words alone, whose parent spells: restaurants of two bytes of context over those of one, over that of none,
+over equal chances. A table of a restaurant is a customer of its parent. Discounts are 1/2, for which the number of seatings of c customers
+at t tables has a closed form; so a dish's number of tables is drawn from its exact conditional distribution, however many customers it has.
+Dishes are drawn side by side, each given the other dishes' tables of the sweep before; draws come from hashes of word, context and sweep,
+so that a task that runs again seats as before.
+
+Texts are read twice, for the words and for the pairs of words. Pairs are dealt to buckets by their context (those of the at most HEAVY
+most frequent contexts by their word), and stay there as packed arrays. Pairs seen once have one table always, so a sweep passes over the
+repeated ones: tasks read the parents' values of frequent words, those of all others come to the buckets that want them by a join, and
+a pass over the words sums up what pairs send to them. A bucket answers each block of pairs with probabilities, which meet the
+texts' tokens by chunk.
 """
 
 from __future__ import annotations
 
+import contextlib
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, release, remove_table, shared_path, store, table, written
+from .common import arrow_map, bound_batches, remove, remove_table, shared_path, store, table, written
 from .jaccard import _texts
 from .quality import Lookup
 from .words import U, hashed, mix
 
-#: Classes of contexts; the first is that of a text's first token.
-CONTEXTS = 256
 STRENGTH, DISCOUNT = 1.0, 0.5
 #: Sweeps that are thrown away, and those whose predictive probabilities are averaged.
 BURN_IN, SAMPLES = 2, 3
 #: Words of largest count whose values tasks hold; the tokens of all others meet theirs in a join.
 FREQUENT = 250_000
+#: Contexts of more than one in so many tokens are dealt over all buckets; what their restaurants hold is a number each that all tasks know.
+HEAVY = 1024
+#: Tokens of training in a bucket, tokens of a chunk of texts, bytes of text that are cut into words at once.
+BUCKET, CHUNK, CUT = 1 << 20, 1 << 21, 4 << 20
 #: One in so many documents, by checksum, is held out.
 FOLDS, HELD_OUT = 7, 2
 #: The end of a text is a token: the word without letters, which a blank ends as it ends all.
 END, _STOP = "", 0x20
-END_HASH = 0x5851F42D4C957F2D
+#: Set in all hashes of words, so that the numbers of frequent words are none.
+_HASH = 1 << 63
+END_HASH = 0x5851F42D4C957F2D | _HASH
 
 
 def tokens(texts: list[bytes]):
-    """(hash, context, text, start, end) of each token, the end of each text included; places are bytes in the joined lower-case texts, last."""
+    """(hash, hash of the word before, text, start, end) of each token, the end of each text included; places are bytes in the joined lower-case texts, last."""
     h, text, start, end = hashed(texts)
     data = b" ".join(t.lower() for t in texts) + b" "
-    codes = np.frombuffer(data, "u1")
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1].astype(np.int64)
     start, end = start + begin[text], end + begin[text]
     # an end token after the words of each text
     cut = np.searchsorted(text, np.arange(len(texts)), "right")
-    h = np.insert(h, cut, U(END_HASH))
+    h = np.insert(h | U(_HASH), cut, U(END_HASH))
     start, end, text = np.insert(start, cut, 0), np.insert(end, cut, 0), np.insert(text, cut, np.arange(len(texts)))
-    last = codes[np.maximum(end - 1, 0)].astype(np.uint64) << U(8) | np.where(end - start > 1, codes[np.maximum(end - 2, 0)], 0).astype(np.uint64)
-    own = (mix(last + U(1)) % U(CONTEXTS - 1) + U(1)).astype(np.int64)
-    context = np.zeros(len(h), np.int64)
-    context[1:] = np.where(h[:-1] == U(END_HASH), 0, own[:-1])
-    return h, context, text, start, end, data
+    return h, np.concatenate([[U(END_HASH)], h[:-1]]), text, start, end, data
+
+
+def _cuts(batches, *columns: str):
+    """_texts, about CUT bytes at a time."""
+    rows, texts, size = [], [], 0
+    for r, t in _texts(batches, *columns):
+        rows += r
+        texts += t
+        size += sum(map(len, t))
+        if size > CUT:
+            yield rows, texts
+            rows, texts, size = [], [], 0
+    if texts:
+        yield rows, texts
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different values in the order of their first places, number of the value of each)."""
+    import pyarrow as pa
+
+    e = pa.array(x).dictionary_encode()
+    return np.asarray(e.dictionary), np.asarray(e.indices)
+
+
+def firsts(at: np.ndarray, n: int) -> np.ndarray:
+    """The first place of each number."""
+    out = np.empty(n, np.int64)
+    out[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    return out
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """h, word, c, ctx, n: each word of the texts, its count, and that by context."""
+    """h, word, c: each word of the texts and its count."""
 
     def run(batches):
         import pyarrow as pa
 
-        for _, texts in _texts(batches):
-            h, context, _, start, end, data = tokens(texts)
-            _, first, count = np.unique(mix(h + context.astype(np.uint64) * U(0xD1342543DE82EF95)), return_index=True, return_counts=True)
-            for a in range(0, len(first), 100_000):
-                f, c = first[a : a + 100_000], count[a : a + 100_000]
-                word = pa.array([data[s:e] for s, e in zip(start[f].tolist(), end[f].tolist())], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(h[f].view("i8")), word, pa.array(context[f].astype("i2")), pa.array(c)], ["h", "word", "ctx", "n"])
-
-    parts = arrow_map(docs.select("text"), run, "h long, word string, ctx short, n long").groupBy("h", "word", "ctx").agg(F.sum("n").alias("n"))
-    # at most CONTEXTS entries a word
-    return parts.groupBy("h", "word").agg(F.sum("n").alias("c"), F.sort_array(F.collect_list(F.struct("ctx", "n"))).alias("own")).select("h", "word", "c", F.col("own.ctx").alias("ctx"), F.col("own.n").alias("n"))
+        def merged():
+            h, n = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            u, at = coded(h)
+            word = pa.concat_arrays([x[2] for x in parts]).take(pa.array(firsts(at, len(u)))).cast(pa.string())
+            n = np.bincount(at, n, len(u)).astype(np.int64)
+            for a in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 100_000].view("i8")), word[a : a + 100_000], pa.array(n[a : a + 100_000])], ["h", "word", "n"])
+
+        parts, size = [], 0
+        for _, texts in _cuts(batches):
+            h, _, _, start, end, data = tokens(texts)
+            u, at = coded(h)
+            first = firsts(at, len(u))
+            parts.append((u, np.bincount(at, minlength=len(u)), pa.array([data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())], pa.binary())))
+            size += len(u)
+            if size > 500_000:
+                yield from merged()
+                parts, size = [], 0
+        if parts:
+            yield from merged()
+
+    return arrow_map(docs.select("text"), run, "h long, word string, n long").groupBy("h", "word").agg(F.sum("n").alias("c"))
 
 
 def uniform(h: np.ndarray, salt: np.ndarray | int, sweep: int) -> np.ndarray:
@@ -83,7 +130,24 @@ def seat(c: np.ndarray, p: np.ndarray, other: np.ndarray, u: np.ndarray) -> np.n
     neighbours falls with t, so the mode is found by bisection, and the weights are summed from there outward, twice.
     """
     out = np.ones(len(c), np.int64)
-    own = np.flatnonzero(c > 1)
+    # few customers: all weights are added up
+    k = np.flatnonzero((c > 1) & (c <= 16))
+    if len(k):
+        n, q, o, weights = c[k].astype("f8"), p[k].astype("f8"), other[k].astype("f8"), [np.ones(len(k))]
+        order = np.argsort(-c[k], kind="stable")
+        k, n, q, o = k[order], n[order], q[order], o[order]
+        total = np.ones(len(k))
+        for t in range(1, int(n[0])):
+            m = np.searchsorted(-n, -t, "left")  # the dishes of more customers than t
+            w = weights[-1][:m] * (4 * (n[:m] - t) / (t * (2 * n[:m] - t - 1)) * q[:m] * (STRENGTH + DISCOUNT * (o[:m] + t)))
+            weights.append(w)
+            total[:m] += w
+        left, t = u[k] * total, np.ones(len(k), np.int64)
+        for w, w2 in zip(weights[:-1], weights[1:]):
+            left = left[: len(w2)] - w[: len(w2)]
+            t[: len(w2)] += left > 0
+        out[k] = t
+    own = np.flatnonzero(c > 16)
     if not len(own):
         return out
     c, p, other, u = c[own].astype("f8"), p[own], other[own].astype("f8"), u[own]
@@ -164,302 +228,656 @@ class Spelling:
         return p
 
 
-def triples(column) -> tuple[np.ndarray, np.ndarray]:
-    """(byte triples of the words and the blanks that end them, word of each)."""
-    words = [w.encode("utf-8", "surrogatepass") + b" " for w in column.to_pylist()]
-    b = np.frombuffer(b"".join(words), "u1").astype(np.int64)
-    size = np.array([len(w) for w in words], np.int64)
-    of = np.repeat(np.arange(len(words)), size)
+def triples(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the different byte triples of the words and the blanks that end them, number of each triple in turn, its word)."""
+    import pyarrow as pa
+
+    column = column.cast(pa.binary())
+    size = np.diff(place := np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1]).astype(np.int64) + 1
+    of = np.repeat(np.arange(len(size)), size)
+    b, letters = np.full(len(of), _STOP, np.int64), np.ones(len(of), bool)
+    letters[np.cumsum(size) - 1] = False
+    if letters.any():
+        b[letters] = np.frombuffer(column.buffers()[2], "u1")[place[0] : place[-1]]
     at = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size)
     back = lambda k: np.where(at >= k, np.roll(b, k), _STOP)
-    return back(2) << 16 | back(1) << 8 | b, of
+    return *coded(back(2) << 16 | back(1) << 8 | b), of
 
 
-def spelled(models: list[Spelling], column) -> np.ndarray:
-    """The probability of each word of the column under each model."""
-    key, of = triples(column)
-    u, at = np.unique(key, return_inverse=True)
-    return np.stack([np.exp(np.bincount(of, np.log(m.probability(u))[at], len(column))) for m in models], 1) if len(key) else np.zeros((len(column), len(models)))
+def spelled(models: list[Spelling], n: int, key: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The probability of each of n words under each model, from their triples."""
+    return np.stack([np.exp(np.bincount(of, np.log(m.probability(key))[at], n)) for m in models], 1) if n else np.zeros((n, len(models)))
 
 
-def _lists(column, dtype):
-    """(values, row of each) of a list column."""
-    offsets = np.asarray(column.offsets)
-    return np.asarray(column.values)[offsets[0] : offsets[-1]].astype(dtype), np.repeat(np.arange(len(column)), np.diff(offsets))
+def cut_off(values: DataFrame, most: int) -> int:
+    """A count that no more than `most` words reach: the least such one, above 1,024 the least power of two. At most 1,086 bands are collected."""
+    bands = values.groupBy(F.when(F.col("c") < 1024, F.col("c")).otherwise(F.expr("shiftleft(1L, length(bin(c)) - 1)")).alias("least")).agg(F.count("*").alias("k")).orderBy(F.desc("least")).collect()
+    least = 1 << 62
+    for r in bands:
+        most -= r["k"]
+        if most < 0:
+            break
+        least = r["least"]
+    return least
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers in few bytes: their first bytes, then their second and so on, compressed."""
+    import pyarrow as pa
+
+    kinds, out = [], []
+    for a in arrays:
+        kind = a.dtype.str
+        if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+            a = a.astype(np.min_scalar_type(a.max()))
+        kinds.append((kind, a.dtype.str, len(a)))
+        out.append(np.ascontiguousarray(a).view("u1").reshape(len(a), a.dtype.itemsize).T.tobytes())
+    raw = b"".join(out)
+    return pickle.dumps((kinds, len(raw), pa.Codec("zstd", 1).compress(raw, asbytes=True)))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    kinds, size, packed = pickle.loads(data)
+    raw, out = np.frombuffer(pa.Codec("zstd").decompress(packed, size, asbytes=True) if size else b"", "u1"), []
+    for kind, narrow, n in kinds:
+        width = np.dtype(narrow).itemsize
+        out.append(np.ascontiguousarray(raw[: n * width].reshape(width, n).T).view(narrow).ravel().astype(kind))
+        raw = raw[n * width :]
+    return out
+
+
+def split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys as numbers of 4 bytes, and the hashes of those that have none."""
+    few = key < U(1 << 24)
+    return np.where(few, key, U(1 << 24)).astype("u4"), key[~few]
+
+
+def joined(number: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = number.astype("u8")
+    out[number == 1 << 24] = h
+    return out
+
+
+def read_columns(path: str, *columns: str) -> list[np.ndarray]:
+    """Columns of numbers of a written table, for use on executors."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    fs, where = store(path)
+    found = [[] for _ in columns]
+    for name in sorted(i.path for i in fs.get_file_info(FileSelector(where)) if i.path.endswith(".parquet")):
+        with fs.open_input_file(name) as f:
+            for batch in pq.ParquetFile(f).iter_batches(50_000, columns=list(columns), use_threads=False):
+                for all_, c in zip(found, columns):
+                    all_.append(np.array(batch.column(c)))
+    return [np.concatenate(x) if x else np.zeros(0) for x in found]
+
+
+class Frequent:
+    """The words of largest count, numbered from 0. A word's key is its number, or else its hash."""
+
+    def __init__(self, path: str):
+        h, c = read_columns(path, "h", "c")
+        h, c = h.astype("i8").view("u8"), c.astype("i8")
+        order = np.lexsort((h, -c))
+        self.h, self.c = h[order], c[order]
+        self.find = Lookup(self.h, np.arange(len(h)))
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        at, hit = self.find(h)
+        return np.where(hit, at.astype("u8"), h)
+
+    def hashes(self, key: np.ndarray) -> np.ndarray:
+        few = key < U(1 << 24)
+        out = key.copy()
+        out[few] = self.h[key[few].astype(np.int64)]
+        return out
+
+    def heavy(self, key: np.ndarray, limit: float) -> np.ndarray:
+        """Whether the contexts are dealt over all buckets: those of more than `limit` tokens."""
+        few = key < U(1 << 24)
+        out = np.zeros(len(key), bool)
+        out[few] = self.c[key[few].astype(np.int64)] > limit
+        return out
+
+    def values(self, path: str, columns: tuple) -> np.ndarray:
+        """Columns of a written table by word; 0 where it has none."""
+        names, *cells = read_columns(path, "h", *columns)
+        at, hit = self.find(names.astype("i8").view("u8"))
+        out = np.zeros((len(columns), len(self.h) + 1))
+        for k, cell in enumerate(cells):
+            out[k, at[hit]] = cell[hit]
+        return out
+
+
+def looked_up(key: np.ndarray, dense: np.ndarray, rows, columns: tuple) -> np.ndarray:
+    """The columns for each key: from `dense` by number, or from the rows by hash; 0 where there is none."""
+    few = key < U(1 << 24)
+    out = dense[:, np.where(few, key, U(0)).astype(np.int64)]
+    rare = np.flatnonzero(~few)
+    out[:, rare] = 0
+    if len(rows) and len(rare):
+        h = np.asarray(rows.column("h")).view("u8")
+        order = np.argsort(h)
+        h = h[order]
+        place = np.minimum(np.searchsorted(h, key[rare]), len(h) - 1)
+        found = h[place] == key[rare]
+        for k, c in enumerate(columns):
+            out[k, rare[found]] = np.asarray(rows.column(c))[order][place[found]]
+    return out
+
+
+#: kind 0: the pairs of a bucket; 1: which of them a block (key: its chunk) has; 2: its repeated pairs; 3, 4: words (key) whose values it wants, for
+#: repeated and for other pairs; 5: customers that sit at a table of others, by word (key); 6: the same by heavy context; 7: a chunk's texts; 8: a block.
+PARTS = "kind int, bucket int, key long, value long, data binary"
+
+
+def _rows(kind, bucket=None, key=None, value=None, data=None):
+    """Batches of PARTS; the arguments are arrays, lists, one number or None."""
+    import pyarrow as pa
+
+    n = len(next(x for x in (key, data) if x is not None))
+    cols = []
+    for x, t in ((kind, pa.int32()), (bucket, pa.int32()), (key, pa.int64()), (value, pa.int64()), (data, pa.binary())):
+        if isinstance(x, np.ndarray) and x.dtype == np.uint64:
+            x = x.view("i8")
+        cols.append(pa.nulls(n, t) if x is None else pa.array(np.full(n, x), t) if np.isscalar(x) else pa.array(x, t))
+    batch = pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in PARTS.split(", ")])
+    step = 1 if data is not None else 50_000
+    for a in range(0, n, step):
+        yield batch.slice(a, step)
+
+
+def grouped(df: DataFrame, by: str, parts: int | None, *then: str) -> DataFrame:
+    """Rows of one value of `by` after one another, in one task."""
+    return (df.repartition(parts, by) if parts else df.repartition(by)).sortWithinPartitions(by, *then)
 
 
-def _listed(values, sizes, kind):
+def groups(batches, by: str):
+    """(value, its rows as a table) of rows in order of `by`."""
     import pyarrow as pa
 
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(values, kind))
+    now, held = None, []
+    for batch in batches:
+        v = np.asarray(batch.column(by))
+        edge = [0, *(np.flatnonzero(np.diff(v)) + 1).tolist(), len(v)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            if a == b:
+                continue
+            if held and v[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(v[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def chunks(docs: DataFrame, path: str, buckets: int, limit: float, under: int) -> DataFrame:
+    """PARTS 7 and 8: texts as places in their chunk's pairs, and the chunk's pairs with their counts in training, by bucket."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        frequent, held, size = Frequent(path), [], 0
+        chunk = TaskContext.get().partitionId() << 32
+
+        def flush():
+            h = np.concatenate([x[1] for x in held])
+            sizes = np.concatenate([x[2] for x in held])
+            ids = [r for x in held for r in x[0]]
+            out = np.array([r[1] for r in ids], bool)
+            word, at = coded(h)
+            key = frequent.keys(word)
+            rank = np.empty(len(key), np.int64)
+            order = np.argsort(key)
+            rank[order] = np.arange(len(key))
+            key, word, at = key[order], word[order], rank[at]
+            end = np.searchsorted(key, frequent.keys(np.array([END_HASH], "u8")))[0]
+            before = np.concatenate([[end], at[:-1]])
+            bits = int(len(key)).bit_length()
+            pair, shift = before << bits | at, int(len(at)).bit_length()
+            if 2 * bits + shift < 64:  # pair and place in one number sort much faster than places do
+                pair = np.sort(pair << shift | np.arange(len(at)))
+                order, pair = pair & ((1 << shift) - 1), pair >> shift
+            else:
+                order = np.argsort(pair)
+                pair = pair[order]
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            place = np.empty(len(at), np.int64)
+            place[order] = np.cumsum(new) - 1
+            pair = pair[new]
+            u, w = pair >> bits, pair & ((1 << bits) - 1)
+            own = (mix(word) % U(buckets)).astype(np.int64)
+            bucket = np.where(frequent.heavy(key, limit)[u], own[w], own[u])
+            order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+            rank = np.empty(len(pair), "u4")
+            rank[order] = np.arange(len(pair), dtype="u4")
+            place, u, w, bucket = rank[place], u[order], w[order], bucket[order]
+            train = np.repeat(~out, sizes)
+            n = np.bincount(place[train], minlength=len(pair)).astype("u4")
+            # the base score of frequent words is known here
+            few = key < U(1 << 24)
+            count = np.zeros(len(key))
+            count[few] = frequent.c[key[few].astype(np.int64)]
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            base = np.bincount(text, np.where(few, np.log10((count + 1) / under), 0)[at], len(sizes))
+            known = np.bincount(text, few[at], len(sizes)).astype("i8")
+            doc = np.array([r[0] or 0 for r in ids], "i8")
+            none = np.array([r[0] is None for r in ids], "u1")
+            yield from _rows(7, -1, [chunk], None, [pack(doc, none, out.astype("u1"), sizes.astype("i8"), base, known, place)])
+            edge = np.flatnonzero(np.diff(np.concatenate([[-1], bucket, [-1]])))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield from _rows(8, int(bucket[a]), [chunk], None, [pack(n[a:b], *split(key[u[a:b]]), *split(key[w[a:b]]))])
+
+        for rows, texts in _cuts(batches, "doc_id", "held_out"):
+            h, _, text, *_ = tokens(texts)
+            held.append((rows, h, np.bincount(text, minlength=len(texts))))
+            size += len(h)
+            if size > CHUNK:
+                yield from flush()
+                held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield from flush()
+
+    return arrow_map(docs.select("doc_id", "held_out", "text"), run, PARTS)
+
+
+def _runs(u: np.ndarray):
+    """(where each run of equal values starts, run of each row)."""
+    new = np.concatenate([[True], u[1:] != u[:-1]])[: len(u)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+class Sent:
+    """What a task's pairs keep from the words: customers less tables, by word and by heavy context."""
+
+    def __init__(self, frequent: Frequent, limit: float):
+        self.frequent, self.limit = frequent, limit
+        self.few, self.rare, self.heavy = np.zeros(len(frequent.h), np.int64), [], {}
+
+    def add(self, u, w, less):
+        few = w < U(1 << 24)
+        self.few += np.bincount(w[few].astype(np.int64), less[few], len(self.few)).astype(np.int64)
+        k, at = np.unique(w[~few], return_inverse=True)
+        self.rare.append((k, np.bincount(at.ravel(), less[~few], len(k)).astype(np.int64)))
+        heavy = self.frequent.heavy(u, self.limit)
+        k, at = np.unique(u[heavy], return_inverse=True)
+        for key, v in zip(k.tolist(), np.bincount(at.ravel(), less[heavy], len(k)).astype(np.int64).tolist()):
+            self.heavy[key] = self.heavy.get(key, 0) + v
 
+    def rows(self):
+        own = np.flatnonzero(self.few)
+        for k, v in [(self.frequent.h[own], self.few[own]), *self.rare]:
+            k, v = k[v > 0], v[v > 0]
+            if len(k):
+                yield from _rows(5, None, k, v)
+        if self.heavy:
+            yield from _rows(6, None, np.array(list(self.heavy), "i8"), np.array(list(self.heavy.values()), "i8"))
+
+
+def ordered(numbers: list[np.ndarray], hashes: list[np.ndarray]):
+    """Split keys, put together, as numbers of less than 32 bits in the order of the keys; and the hashes that those from 2**24 on stand for."""
+    out, h = np.concatenate(numbers).astype(np.int64), np.concatenate(hashes)
+    u, at = coded(h)
+    order = np.argsort(u)
+    rank = np.empty(len(u), np.int64)
+    rank[order] = np.arange(len(u))
+    out[out == 1 << 24] += rank[at]
+    return out, u[order]
+
+
+def keyed(number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = number.astype("u8")
+    rare = number >= 1 << 24
+    out[rare] = hashes[number[rare] - (1 << 24)]
+    return out
 
-STATE = "h long, word string, c long, ctx array<short>, n array<long>, t array<long>, root long, kept array<double>, free array<double>, kind int, key long, value long"
+
+def built(blocks: DataFrame, path: str, parts: int, limit: float) -> DataFrame:
+    """PARTS 0 to 6 of the blocks: each repeated pair has one table yet."""
+
+    def run(batches):
+        frequent = Frequent(path)
+        sent = Sent(frequent, limit)
+        for bucket, rows in groups(batches, "bucket"):
+            keys = rows.column("key").to_pylist()
+            data = [unpack(x) for x in rows.column("data").to_pylist()]
+            n = np.concatenate([x[0] for x in data])
+            # numbers in the order of the keys: a frequent word's own, and after them those of the others
+            (u, us), (w, ws) = (ordered([x[k] for x in data], [x[k + 1] for x in data]) for k in (1, 3))
+            pair = u << 32 | w
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            at = np.empty(len(pair), np.int64)
+            at[order] = np.cumsum(new) - 1
+            pair = pair[new]
+            u, w, n = keyed(pair >> 32, us), keyed(pair & 0xFFFFFFFF, ws), np.bincount(at, n, len(pair)).astype("i8")
+            yield from _rows(0, bucket, None, None, [pack(n, *split(u), *split(w))])
+            a = 0
+            for key, x in zip(keys, data):
+                yield from _rows(1, bucket, [key], None, [pack(np.diff(at[a : a + len(x[0])], prepend=0).astype("u4"))])
+                a += len(x[0])
+            start, of = _runs(u)
+            total = np.bincount(of, n, len(start)).astype("i8")
+            own = n > 1
+            ru, rw, rn = u[own], w[own], n[own]
+            yield from _rows(2, bucket, None, None, [pack(rn, *split(ru), *split(rw), np.ones(len(rn), "i8"), total[of[own]][_runs(ru)[0]], np.zeros(len(rn)))])
+            often = np.unique(rw[rw >= U(1 << 24)])
+            if len(often):
+                yield from _rows(3, bucket, often)
+            other = np.setdiff1d(w[w >= U(1 << 24)], often)
+            if len(other):
+                yield from _rows(4, bucket, other)
+            sent.add(ru, rw, rn - 1)
+        yield from sent.rows()
+
+    return arrow_map(grouped(blocks, "bucket", parts, "key"), run, PARTS)
+
+
+def _write(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """PARTS as files by kind."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.partitionBy("kind").parquet(path)
+    return path, spark.read.schema("bucket int, key long, value long, data binary, kind int").parquet(path)
+
+
+def messages(words: DataFrame, wanted: DataFrame, columns: tuple) -> DataFrame:
+    """The words' values as rows (kind 9) for the buckets that want them."""
+    return words.join(wanted.select("bucket", F.col("key").alias("h")), "h").select("bucket", F.lit(9).alias("kind"), "h", *columns)
+
+
+def met(parts: DataFrame, values: DataFrame) -> DataFrame:
+    return parts.select("bucket", "kind", "key", "data").unionByName(values, allowMissingColumns=True)
+
+
+def sat(rows: DataFrame, path: str, values: str, parts: int, limit: float, shared: dict, sweep: int) -> DataFrame:
+    """One sweep over the repeated pairs: PARTS 2, 5 and 6. rows: PARTS 2 and the wanted words' customers, tables and spelling."""
+    cast = rows.sparkSession.sparkContext.broadcast(shared)  # a number a heavy context
+
+    def run(batches):
+        frequent, now = Frequent(path), cast.value
+        columns = ("customers", "root", "base")
+        dense, sent = frequent.values(values, columns), Sent(frequent, limit)
+        for bucket, t in groups(batches, "bucket"):
+            kind = np.asarray(t.column("kind"))
+            if not (kind == 2).any():
+                continue
+            n, u, us, w, ws, tables, total, free, *less = unpack(t.column("data")[int(np.flatnonzero(kind == 2)[0])].as_py())
+            u, w = joined(u, us), joined(w, ws)
+            customers, root, base = looked_up(w, dense, t.filter(kind == 9), columns)
+            start, run_ = _runs(u)
+            there = total - np.bincount(run_, n - tables, len(start))
+            heavy = frequent.heavy(u[start], limit)
+            there[heavy] = [frequent.c[k] - now["heavy"].get(k, 0) for k in u[start][heavy].astype(np.int64).tolist()]
+            # the parent's probability without the dish's own tables
+            without = customers - tables
+            theirs = np.where(without > 0, without - DISCOUNT * np.minimum(root, without), 0.0)
+            p = (theirs + (STRENGTH + DISCOUNT * now["tables"]) * base) / (STRENGTH + now["root"] - tables)
+            tables = seat(n, p, there[run_] - tables, uniform(frequent.hashes(w), frequent.hashes(u), sweep))
+            if sweep > BURN_IN:
+                free = free + n - DISCOUNT * tables
+                less.append(np.bincount(run_, n - tables, len(start)).astype("i8"))
+            yield from _rows(2, bucket, None, None, [pack(n, *split(u), *split(w), tables, total, free, *less)])
+            sent.add(u, w, n - tables)
+        yield from sent.rows()
+
+    return arrow_map(grouped(rows, "bucket", parts), run, PARTS)
+
+
+WORDS = "h long, word string, c long, customers long, root long, base double, kept array<double>, kind int, key long, value long"
 
 
 class Totals:
-    """What restaurants share: tables by context (kind 0), tables and customers of the word restaurant (1), byte triples (2)."""
+    """What restaurants share: tables and customers of the word restaurant (kind 1), byte triples (2)."""
 
     def __init__(self):
-        self.context, self.root, self.tables, self.bytes = np.zeros(CONTEXTS), 0, 0, {}
+        self.root, self.tables, self.bytes = 0, 0, {}
 
-    def add(self, ctx, t, customers, root, column):
-        self.context += np.bincount(ctx, t, CONTEXTS)
+    def add(self, customers, root, key, at, of):
         self.root, self.tables = self.root + int(customers.sum()), self.tables + int(root.sum())
-        key, of = triples(column)
-        u, at = np.unique(key, return_inverse=True)
-        for k, v in zip(u.tolist(), np.bincount(at, root[of], len(u)).astype(np.int64).tolist()):
+        for k, v in zip(key.tolist(), np.bincount(at, root[of], len(key)).astype(np.int64).tolist()):
             self.bytes[k] = self.bytes.get(k, 0) + v
 
     def rows(self):
-        yield from ((0, k, int(v)) for k, v in enumerate(self.context) if v)
         yield from ((1, 0, self.tables), (1, 1, self.root))
         yield from ((2, k, v) for k, v in self.bytes.items() if v)
 
 
-def _total_batches(totals: Totals, schema):
+def _joined(batches, rows: int = 20_000):
+    """Small batches put together."""
     import pyarrow as pa
 
-    kind, key, value = (np.array(x, np.int64) for x in zip(*totals.rows()))
-    for a in range(0, len(kind), 50_000):
-        own = {"kind": pa.array(kind[a : a + 50_000].astype("i4")), "key": pa.array(key[a : a + 50_000]), "value": pa.array(value[a : a + 50_000])}
-        n = len(own["key"])
-        yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _schema():
+def _lists(column, dtype):
+    """(values, row of each) of a list column."""
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.values)[offsets[0] : offsets[-1]].astype(dtype), np.repeat(np.arange(len(column)), np.diff(offsets))
+
+
+def _listed(values, sizes):
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "array<short>": pa.list_(pa.int16()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
-    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in STATE.split(", "))])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(values, pa.float64()))
 
 
-def swept(state: DataFrame, shared, sweep: int) -> DataFrame:
-    """One sweep over the repeated words: their rows with new tables, and rows of the totals. shared: None seats each dish at one table."""
-    cast = state.sparkSession.sparkContext.broadcast(shared)  # at most 2**24 byte triples and a number a context
+def parents(words: DataFrame, shared: dict | None, sweep: int) -> DataFrame:
+    """One sweep over the words (h, word, c, customers, root, kept): WORDS with new tables, and rows of the totals. Without `shared`
+    each word has one table and no value yet; sweep 0 leaves it there."""
+    cast = words.sparkSession.sparkContext.broadcast(shared)  # at most 2**24 byte triples
 
     def run(batches):
         import pyarrow as pa
 
-        schema, totals, now = _schema(), Totals(), cast.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            h = np.asarray(batch.column("h")).view("u8")
-            ctx, row = _lists(batch.column("ctx"), np.int64)
-            n, _ = _lists(batch.column("n"), np.int64)
-            sizes = np.bincount(row, minlength=len(h))
-            if now is None:
-                t, root = np.ones(len(n), np.int64), np.ones(len(h), np.int64)
-                customers = sizes
-                kept = free = np.zeros(0)
-                kept_n = np.zeros(len(h), np.int64)
-            else:
-                t, _ = _lists(batch.column("t"), np.int64)
-                root = np.asarray(batch.column("root"))
-                customers = np.bincount(row, t, len(h)).astype(np.int64)
-                base = spelled([now["spelling"]], batch.column("word"))[:, 0]
-                # the parent's probability without the dish's own tables
-                without = customers[row] - t
-                theirs = np.where(without > 0, without - DISCOUNT * np.minimum(root[row], without), 0.0)
-                p = (theirs + (STRENGTH + DISCOUNT * now["tables"]) * base[row]) / (STRENGTH + now["root"] - t)
-                t = seat(n, p, now["context"][ctx] - t, uniform(h[row], ctx + 1, sweep))
-                customers = np.bincount(row, t, len(h)).astype(np.int64)
+        kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in WORDS.split(", "))])
+        totals, now = Totals(), cast.value
+        for batch in _joined(batches):
+            n = len(batch)
+            h, customers, root = np.asarray(batch.column("h")).view("u8"), np.asarray(batch.column("customers")), np.asarray(batch.column("root"))
+            key, at, of = triples(batch.column("word"))
+            base = np.zeros(n) if now is None else spelled([now["spelling"]], n, key, at, of)[:, 0]
+            kept, _ = _lists(batch.column("kept"), "f8")
+            sizes = np.diff(np.asarray(batch.column("kept").offsets))
+            if sweep:
                 root = seat(customers, base, now["tables"] - root, uniform(h, 0, sweep))
-                kept, _ = _lists(batch.column("kept"), "f8")
-                free, _ = _lists(batch.column("free"), "f8")
-                kept_n = np.diff(np.asarray(batch.column("kept").offsets))
-                if sweep > BURN_IN:
-                    # a sample: what the word restaurant keeps for the dish, and the contexts' sums
-                    at = np.cumsum(kept_n)
-                    kept, kept_n = np.insert(kept, at, customers - DISCOUNT * root), kept_n + 1
-                    more = n - DISCOUNT * t
-                    free = free + more if len(free) else more
-            totals.add(ctx, t, customers, root, batch.column("word"))
-            free_n = sizes if len(free) else np.zeros(len(h), np.int64)
-            none = lambda kind: pa.nulls(len(h), kind)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("word"), batch.column("c"), _listed(ctx.astype("i2"), sizes, pa.int16()), _listed(n, sizes, pa.int64()), _listed(t, sizes, pa.int64()), pa.array(root), _listed(kept, kept_n, pa.float64()), _listed(free, free_n, pa.float64()), none(pa.int32()), none(pa.int64()), none(pa.int64())],
-                schema=schema,
-            )
+            if sweep > BURN_IN:
+                # a sample: what the word restaurant keeps for the dish
+                kept, sizes = np.insert(kept, np.cumsum(sizes), customers - DISCOUNT * root), sizes + 1
+            totals.add(customers, root, key, at, of)
+            if now is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("h"), batch.column("word"), batch.column("c"), pa.array(customers), pa.array(root), pa.array(base), _listed(kept, sizes), *(pa.nulls(n, kinds[t]) for t in ("int", "long", "long"))],
+                    schema=schema,
+                )
         if totals.root:
-            yield from _total_batches(totals, schema)
+            kind, key, value = (np.array(x, np.int64) for x in zip(*totals.rows()))
+            for a in range(0, len(kind), 50_000):
+                own = {"kind": pa.array(kind[a : a + 50_000].astype("i4")), "key": pa.array(key[a : a + 50_000]), "value": pa.array(value[a : a + 50_000])}
+                yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(len(own["key"]), f.type)) for f in schema], schema=schema)
 
-    return written(arrow_map(state, run, STATE), "seating")
+    return arrow_map(words.select("h", "word", "c", "customers", "root", "kept"), run, WORDS)
 
 
 def gathered(state: DataFrame):
-    """Sums of the totals in a state, as arrays: their number is bounded by the contexts and byte triples."""
+    """Sums of the totals, as arrays: their number is bounded by the byte triples."""
     rows = state.where("kind is not null").groupBy("kind", "key").agg(F.sum("value").alias("value")).toArrow()
     kind, key, value = (np.asarray(rows.column(c)) for c in ("kind", "key", "value"))
-    context = np.zeros(CONTEXTS)
-    context[key[kind == 0]] = value[kind == 0]
     one = dict(zip(key[kind == 1].tolist(), value[kind == 1].tolist()))
     order = np.argsort(key[kind == 2])
-    return {"context": context, "tables": one.get(0, 0), "root": one.get(1, 0), "keys": key[kind == 2][order], "counts": value[kind == 2][order]}
+    return {"tables": one.get(0, 0), "root": one.get(1, 0), "keys": key[kind == 2][order], "counts": value[kind == 2][order]}
 
 
 def together(a: dict, b: dict) -> dict:
     keys, at = np.unique(np.concatenate([a["keys"], b["keys"]]), return_inverse=True)
     counts = np.bincount(at, np.concatenate([a["counts"], b["counts"]]), len(keys)).astype(np.int64)
-    return {k: a[k] + b[k] for k in ("context", "tables", "root")} | {"keys": keys, "counts": counts}
+    return {k: a[k] + b[k] for k in ("tables", "root")} | {"keys": keys, "counts": counts}
 
 
-def trained(words: DataFrame):
-    """(values: h, c, roots, ctx, own of every word; left: by context and sample, what a restaurant leaves to its parent; unknown).
+def heavies(parts: DataFrame) -> dict:
+    """By heavy context, of which there are at most HEAVY, the customers that sit at a table of others."""
+    return {r["key"]: r["v"] for r in parts.where("kind = 6").groupBy("key").agg(F.sum("value").alias("v")).collect()}
 
-    A token's probability is own (0 where the context is not in ctx) and the mean over the samples of left times roots. Words that are
-    not in training are one outcome, as for the base score; its roots are `unknown`, what all known words leave.
+
+def trained(words: DataFrame, pairs: str, parts: DataFrame, path: str, least: int, tasks: int, limit: float):
+    """(path and rows of the state, values: h, c and a root of every sample by word; unknown; heavies of every sample).
+
+    Words that are not in training are one outcome, as for the base score; its roots are `unknown`, what all known words leave.
     """
     spark = words.sparkSession
-    by_context = words.select(F.explode(F.arrays_zip("ctx", "n")).alias("e")).groupBy("e.ctx").agg(F.sum("e.n").alias("n")).collect()
-    size = np.zeros(CONTEXTS)
-    for r in by_context:
-        size[r["ctx"]] = r["n"]
-    once = swept(words.where("c = 1"), None, 0)
-    fixed = gathered(once)
-    remove_table(once)
-    state = swept(words.where("c > 1"), None, 0)
-    spelling, samples = None, []
-    for sweep in range(1, BURN_IN + SAMPLES + 1):
-        now = together(gathered(state), fixed)
+    nothing = F.array().cast("array<double>")
+    start = words.select("h", "word", "c", F.col("c").alias("customers"), F.lit(1).cast("long").alias("root"), nothing.alias("kept"))
+    once, often = start.where("c = 1"), start.where("c > 1")
+    fixed = gathered(parents(once, None, 0))
+    spelling = None
+    now = together(gathered(parents(often, None, 0)), fixed)
+    wanted = parts.where("kind = 3")
+    state, words_now, samples = parts, often, []
+    columns = ("customers", "root", "base")
+    for sweep in range(BURN_IN + SAMPLES + 1):
         spelling = Spelling(now["keys"], now["counts"], spelling, sweep)
-        after = swept(state.where("kind is null"), {k: now[k] for k in ("context", "tables", "root")} | {"spelling": spelling}, sweep)
-        remove_table(state)
-        state = after
+        if sweep:
+            values = shared_path(spark, "frequent")
+            seen = words_now.where("kind is null")
+            seen.where(F.col("c") >= least).select("h", *columns).write.parquet(values)
+            shared = {k: now[k] for k in ("tables", "root")} | {"heavy": heavies(state)}
+            rows = met(state.where("kind = 2"), messages(seen.where(F.col("c") < least), wanted, columns))
+            where, after = _write(sat(rows, path, values, tasks, limit, shared, sweep), "seating")
+            remove(spark, values)
+            if sweep > 1:
+                remove(spark, last)
+            else:  # of the pairs of all, what the first sweep has replaced
+                for kind in (2, 5, 6):
+                    remove(spark, f"{pairs}/kind={kind}")
+            last, state = where, after
+        # customers of a word: a pair's that sit at a table of others send none
+        less = state.where("kind = 5").groupBy("key").agg(F.sum("value").alias("less"))
+        if sweep:
+            words_now = words_now.where("kind is null")
+        fed = words_now.select("h", "word", "c", "root", "kept").join(less, F.col("h") == F.col("key"), "left").withColumn("customers", F.col("c") - F.coalesce("less", F.lit(0)))
+        after = written(parents(fed, {k: now[k] for k in ("tables", "root")} | {"spelling": spelling}, sweep), "words")
+        if sweep:
+            remove_table(words_now)
+        words_now = after
+        now = together(gathered(words_now), fixed)
         if sweep > BURN_IN:
-            seen = together(gathered(state), fixed)
-            samples.append((spelling, seen["tables"], seen["root"], seen["context"]))
-    left = np.stack([(STRENGTH + DISCOUNT * s[3]) / (STRENGTH + size) for s in samples], 1)
-    cast = spark.sparkContext.broadcast(([s[0] for s in samples], np.array([s[1] for s in samples], "f8"), np.array([s[2] for s in samples], "f8"), size))
+            samples.append((spelling, now["tables"], now["root"], heavies(state)))
+    cast = spark.sparkContext.broadcast(([s[0] for s in samples], np.array([s[1] for s in samples], "f8"), np.array([s[2] for s in samples], "f8")))
 
     def run(batches):
         import pyarrow as pa
 
-        models, tables, root, size = cast.value
-        for batch in batches:
+        models, tables, root = cast.value
+        for batch in _joined(batches):
             c = np.asarray(batch.column("c"))
-            kept, row = _lists(batch.column("kept"), "f8")
+            kept, _ = _lists(batch.column("kept"), "f8")
             keep = np.zeros((len(c), SAMPLES))
             keep[c == 1] = 1 - DISCOUNT
             keep[c > 1] = kept.reshape(-1, SAMPLES)
-            roots = (keep + (STRENGTH + DISCOUNT * tables) * spelled(models, batch.column("word"))) / (STRENGTH + root)
-            ctx, row = _lists(batch.column("ctx"), np.int64)
-            own = np.full(len(ctx), 1 - DISCOUNT)
-            own[c[row] > 1] = _lists(batch.column("free"), "f8")[0] / SAMPLES
-            sizes = np.bincount(row, minlength=len(c))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("c"), _listed(roots.ravel(), np.full(len(c), SAMPLES), pa.float64()), _listed(ctx.astype("i2"), sizes, pa.int16()), _listed(own / (STRENGTH + size[ctx]), sizes, pa.float64())],
-                ["h", "c", "roots", "ctx", "own"],
-            )
+            roots = (keep + (STRENGTH + DISCOUNT * tables) * spelled(models, len(c), *triples(batch.column("word")))) / (STRENGTH + root)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), *map(pa.array, np.ascontiguousarray(roots.T))], ["h", "c", *ROOTS])
 
-    nothing = F.array().cast("array<double>")
-    rare = words.where("c = 1").select("h", "word", "c", "ctx", nothing.alias("kept"), nothing.alias("free"))
-    both = state.where("kind is null").select("h", "word", "c", "ctx", "kept", "free").unionByName(rare)
-    values = written(arrow_map(both, run, "h long, c long, roots array<double>, ctx array<short>, own array<double>"), "values")
-    remove_table(state)
-    known = values.agg(*(F.coalesce(F.sum(F.get("roots", F.lit(k))), F.lit(0.0)) for k in range(SAMPLES))).first()
-    return values, left, np.maximum(1 - np.array(known), 1e-15)
+    remove(spark, f"{last}/kind=5")
+    both = words_now.where("kind is null").select("h", "word", "c", "kept").unionByName(once.select("h", "word", "c", "kept"))
+    values = written(arrow_map(both, run, f"h long, c long, {', '.join(f'{r} double' for r in ROOTS)}"), "values")
+    remove_table(words_now)
+    known = values.agg(*(F.coalesce(F.sum(r), F.lit(0.0)) for r in ROOTS)).first()
+    return last, state.where("kind = 2"), values, np.maximum(1 - np.array(known), 1e-15), [s[3] for s in samples]
 
 
-def cut_off(values: DataFrame, most: int) -> int:
-    """A count that no more than `most` words reach: the least such one, above 1,024 the least power of two. At most 1,086 bands are collected."""
-    bands = values.groupBy(F.when(F.col("c") < 1024, F.col("c")).otherwise(F.expr("shiftleft(1L, length(bin(c)) - 1)")).alias("least")).agg(F.count("*").alias("k")).orderBy(F.desc("least")).collect()
-    least = 1 << 62
-    for r in bands:
-        most -= r["k"]
-        if most < 0:
-            break
-        least = r["least"]
-    return least
+#: A word's probability in the restaurant of the words, by sample.
+ROOTS = tuple(f"root{k}" for k in range(SAMPLES))
 
 
-def held_words(path: str):
-    """(h, c, roots of the words of a written table; the function of words' rows and contexts that gives the cells' own parts, 0 where there is none).
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Doubles to 36 of their 52 bits (an error of 1e-11 of each), which takes 6 bytes when packed."""
+    return ((x.view("u8") + U(1 << 15)) & ~U((1 << 16) - 1)).view("f8")
 
-    A cell takes 12 bytes: cells lie in order of row and context, and are found by bisection. Files are read a part at a time, so no
-    other copy of the table is held.
-    """
-    import pyarrow.parquet as pq
-    from pyarrow.fs import FileSelector
 
-    fs, where = store(path)
-    found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, SAMPLES))], [np.zeros(0, "u4")], [np.zeros(0)]]
-    n = 0
-    for name in sorted(i.path for i in fs.get_file_info(FileSelector(where)) if i.path.endswith(".parquet")):
-        with fs.open_input_file(name) as f:
-            for batch in pq.ParquetFile(f).iter_batches(10_000, use_threads=False):
-                ctx, row = _lists(batch.column("ctx"), "u4")
-                parts = np.array(batch.column("h")).view("u8"), np.array(batch.column("c")), _lists(batch.column("roots"), "f8")[0].reshape(-1, SAMPLES), (row + n).astype("u4") * np.uint32(CONTEXTS) + ctx, _lists(batch.column("own"), "f8")[0]
-                for all_, own in zip(found, parts):
-                    all_.append(own)
-                n += len(batch)
-    for k, parts in enumerate(found):
-        found[k] = np.concatenate(parts)
-        parts.clear()
-    keys, count, roots, cells, own = found
-    release()
-
-    def cell(rows: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        if not len(cells):
-            return np.zeros(len(rows))
-        q = rows.astype("u4") * np.uint32(CONTEXTS) + ctx.astype("u4")
-        at = np.minimum(np.searchsorted(cells, q), len(cells) - 1)
-        return np.where(cells[at] == q, own[at], 0.0)
-
-    return keys, count, roots, cell
-
-
-def scored(docs: DataFrame, values: DataFrame, left: np.ndarray, unknown: np.ndarray, total: int, distinct: int, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score of every row of docs.
-
-    Tasks read the values of the most frequent words from the shared folder; other tokens meet theirs by the word's hash.
-    """
-    if frequent > 1 << 24:
-        raise ValueError("tasks hold at most 2**24 frequent words")
-    spark = docs.sparkSession
-    path = shared_path(spark, "frequent")
-    values.where(F.col("c") >= cut_off(values, frequent)).write.parquet(path)
-    under = total + distinct + 1
+def answered(rows: DataFrame, path: str, values: str, tasks: int, limit: float, unknown: np.ndarray, heavy: list[dict]) -> DataFrame:
+    """kind 9, bucket, key, data: of each block's pairs (key: its chunk) the log10 probability, and the count of words that are not frequent (frequent ones: -1)."""
+    cast = rows.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches):
+        frequent = Frequent(path)
+        columns = ("c", *ROOTS)
+        dense = frequent.values(values, columns)
+        for bucket, t in groups(batches, "bucket"):
+            kind = np.asarray(t.column("kind"))
+            data = lambda k: (unpack(t.column("data")[int(i)].as_py()) for i in np.flatnonzero(kind == k))
+            n, u, us, w, ws = next(data(0))
+            u, w = joined(u, us), joined(w, ws)
+            _, ru, us, _, _, _, _, free, *less = next(data(2))
+            ru = joined(ru, us)
+            c, *roots = looked_up(w, dense, t.filter(kind == 9), columns)
+            start, run_ = _runs(u)
+            total = np.bincount(run_, n, len(start))
+            there = np.repeat(total[None], SAMPLES, 0)
+            place = np.searchsorted(u[start], ru[_runs(ru)[0]])
+            for k, x in enumerate(less):
+                there[k, place] -= x
+            big = np.flatnonzero(frequent.heavy(u[start], limit))
+            for j, k in zip(big.tolist(), u[start][big].astype(np.int64).tolist()):
+                total[j] = frequent.c[k]
+                there[:, j] = [frequent.c[k] - x.get(k, 0) for x in cast.value]
+            left = (STRENGTH + DISCOUNT * there) / (STRENGTH + total)
+            own = np.where(n == 1, 1 - DISCOUNT, 0.0)
+            own[n > 1] = free / SAMPLES
+            p = own / (STRENGTH + total[run_])
+            for k, root in enumerate(roots):
+                p += left[k, run_] * np.where(c > 0, root, unknown[k]) / SAMPLES
+            p = rounded(np.log10(p))
+            c = np.where(w < U(1 << 24), -1, c).astype("i8")
+            for i in np.flatnonzero(kind == 1).tolist():
+                at = np.cumsum(unpack(t.column("data")[i].as_py())[0], dtype=np.int64)
+                yield from _rows(9, bucket, [t.column("key")[i].as_py()], None, [pack(p[at], c[at])])
+
+    return arrow_map(grouped(rows, "bucket", tasks), run, PARTS)
+
+
+def scored(rows: DataFrame, under: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score of the documents of chunks (PARTS 7) and the answers to their blocks (9)."""
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        keys, count, roots, cell = held_words(path)
-        find = Lookup(keys, np.arange(len(keys)))
-        next_id = TaskContext.get().partitionId() << 33
-        names = ["id", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "h", "ctx"]
-        for rows, texts in _texts(batches, "doc_id", "held_out"):
-            h, context, text, *_ = tokens(texts)
-            at, hit = find(h)
-            at = at[hit]
-            p = (left[context[hit]] * roots[at]).mean(1) + cell(at, context[hit])
-            n = len(texts)
-            add = lambda w: np.bincount(text[hit], w, n).astype("f8")
-            ids = np.arange(next_id, next_id + n)
-            next_id += n
-            doc, held = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.bincount(text, minlength=n)), pa.array(add(None).astype("i8")), pa.array(add(np.log10((count[at] + 1) / under))), pa.array(add(np.log10(p))), pa.array(np.zeros(n, bool)), pa.array(mix(ids.astype(np.uint64)).view("i8")), pa.array(np.zeros(n, "i2"))],
-                names,
-            )
-            miss = np.flatnonzero(~hit)
-            for a in range(0, len(miss), 200_000):
-                m = miss[a : a + 200_000]
-                k = len(m)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text[m]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()),) * 2, *(pa.nulls(k, pa.float64()),) * 2, pa.array(np.ones(k, bool)), pa.array(h[m].view("i8")), pa.array(context[m].astype("i2"))], names)
-
-    parts = arrow_map(docs.select("doc_id", "held_out", "text"), run, "id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest boolean, h long, ctx short")
-    v = values.select(F.col("h").alias("word_h"), "c", "roots", F.arrays_zip("ctx", "own").alias("cells"))
-    met = parts.join(v, F.col("rest") & (F.col("h") == F.col("word_h")), "left")
-    shares = F.array(*(F.array(*map(F.lit, (row / SAMPLES).tolist())) for row in left))
-    parent = F.aggregate(F.zip_with(F.coalesce("roots", F.array(*map(F.lit, unknown.tolist()))), F.get(shares, F.col("ctx")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    cell = F.coalesce(F.get(F.filter("cells", lambda x: x["ctx"] == F.col("ctx")), F.lit(0))["own"], F.lit(0.0))
-    rest = F.col("rest")
-    met = met.select("id", "doc_id", "held_out", "n_tokens", F.when(rest, F.col("c").isNotNull().cast("long")).otherwise(F.col("n_known")).alias("n_known"), F.when(rest, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(under))).otherwise(F.col("base")).alias("base"), F.when(rest, F.log10(parent + cell)).otherwise(F.col("score")).alias("score"))
-    out = met.groupBy("id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.drop("id")
+        for _, t in groups(batches, "key"):
+            texts, *answers = (unpack(x) for x in t.column("data").to_pylist())
+            doc, none, out, sizes, base, known, place = texts
+            p, c = (np.concatenate([x[k] for x in answers]) for k in (0, 1))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            rare = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / under), 0.0)
+            n = len(sizes)
+            cols = [pa.array(doc, mask=none > 0), pa.array(out > 0), pa.array(sizes), pa.array(known + np.bincount(text, (c > 0)[place], n).astype("i8")), pa.array(base + np.bincount(text, rare[place], n)), pa.array(np.bincount(text, p[place], n))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return arrow_map(grouped(rows.select("kind", "bucket", "key", "data"), "key", None, "bucket"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of a query go when it ends: each pass here writes its result to a table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -467,15 +885,43 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     score is the log10 probability of the text, a word that training lacks being one outcome for all such; perplexity is 10 ** (-score / n_tokens). Null and empty texts are an end token. A
     null doc_id counts as the empty text in the checksum, so it is trained on. Repeated rows are trained on and scored
-    each. Words are told apart by 64-bit hashes, beside their own text where they are counted.
+    each. Words are told apart by 63-bit hashes, beside their own text where they are counted, pairs of a bucket by 64-bit hashes.
     """
-    bound_batches(docs.sparkSession)
+    if frequent > 1 << 24:
+        raise ValueError("tasks hold at most 2**24 frequent words")
+    spark = docs.sparkSession
+    bound_batches(spark)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    words = written(counted(docs.where(~F.col("held_out"))), "words")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    out = scored(docs, *trained(words), sums["total"], sums["distinct"], frequent)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sums["total"]).cast("long").alias("train_tokens"), "base_score", "score")
+    with shuffles_dropped(spark):
+        words = written(counted(docs.where(~F.col("held_out"))), "words")
+        sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
+        total, under = sums["total"], sums["total"] + sums["distinct"] + 1
+        least = cut_off(words, frequent)
+        path = shared_path(spark, "frequent")
+        words.where(F.col("c") >= least).select("h", "c").write.parquet(path)
+        buckets, limit = max(8, total // BUCKET), total / HEAVY
+        tasks = max(8, buckets // 4)
+        where, dealt = _write(chunks(docs, path, buckets, limit, under), "chunks")
+        pairs, parts = _write(built(dealt.where("kind = 8"), path, tasks, limit), "pairs")
+        remove(spark, f"{where}/kind=8")
+        seats, state, values, unknown, heavy = trained(words, pairs, parts, path, least, tasks, limit)
+        remove_table(words)
+        few = shared_path(spark, "frequent")
+        columns = ("c", *ROOTS)
+        values.where(F.col("c") >= least).select("h", *columns).write.parquet(few)
+        own = parts.where("kind in (0, 1)").select("bucket", "kind", "key", "data").unionByName(state.select("bucket", "kind", "key", "data"))
+        told = written(messages(values.where(F.col("c") < least), parts.where("kind in (3, 4)"), columns), "told")
+        remove_table(values)
+        for kind in (3, 4):
+            remove(spark, f"{pairs}/kind={kind}")
+        rows = met(own, told)
+        _, answers = _write(answered(rows, path, few, tasks, limit, unknown, heavy), "answers")
+        for done in (pairs, seats, few, path):
+            remove(spark, done)
+        remove_table(told)
+    out = scored(dealt.where("kind = 7").unionByName(answers), under)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ FREQUENT = 250_000
 #: Contexts of more than one in so many tokens are dealt over all buckets; what their restaurants hold is a number each that all tasks know.
 HEAVY = 1024
 #: Tokens of training in a bucket, tokens of a chunk of texts, bytes of text that are cut into words at once.
-BUCKET, CHUNK, CUT = 1 << 20, 1 << 21, 4 << 20
+BUCKET, CHUNK, CUT = 1 << 20, 1 << 20, 2 << 20
 #: One in so many documents, by checksum, is held out.
 FOLDS, HELD_OUT = 7, 2
 #: The end of a text is a token: the word without letters, which a blank ends as it ends all.

@@ -36,7 +36,9 @@ FREQUENT = 250_000
 #: Contexts of more than one in so many tokens are dealt over all buckets; what their restaurants hold is a number each that all tasks know.
 HEAVY = 1024
 #: Tokens of training in a bucket, tokens of a chunk of texts, bytes of text that are cut into words at once.
-BUCKET, CHUNK, CUT = 1 << 20, 1 << 20, 2 << 20
+BUCKET, CHUNK, CUT = 1 << 20, 1 << 20, 1 << 19
+#: Bytes of a row's data at most, and of a batch of rows: the JVM holds rows, pages of files and batches whole, outside its heap too.
+PIECE, BATCH = 1 << 18, 1 << 20
 #: One in so many documents, by checksum, is held out.
 FOLDS, HELD_OUT = 7, 2
 #: The end of a text is a token: the word without letters, which a blank ends as it ends all.
@@ -371,6 +373,7 @@ def looked_up(key: np.ndarray, dense: np.ndarray, rows, columns: tuple) -> np.nd
 
 #: kind 0: the pairs of a bucket; 1: which of them a block (key: its chunk) has; 2: its repeated pairs; 3, 4: words (key) whose values it wants, for
 #: repeated and for other pairs; 5: customers that sit at a table of others, by word (key); 6: the same by heavy context; 7: a chunk's texts; 8: a block.
+#: Data stands in pieces, numbered by value.
 PARTS = "kind int, bucket int, key long, value long, data binary"
 
 
@@ -390,9 +393,27 @@ def _rows(kind, bucket=None, key=None, value=None, data=None):
         yield batch.slice(a, step)
 
 
-def grouped(df: DataFrame, by: str, parts: int | None, *then: str) -> DataFrame:
+def pieces(kind: int, bucket: int, key: int | None, data: bytes):
+    """_rows of the data, at most PIECE of it each."""
+    for k, a in enumerate(range(0, len(data), PIECE)):
+        yield from _rows(kind, bucket, [key], [k], [data[a : a + PIECE]])
+
+
+def whole(rows, by: str = "key"):
+    """(value of `by`, unpacked data) in its order, of a table of pieces."""
+    of, number = (np.asarray(rows.column(c).fill_null(-1)) for c in (by, "value"))
+    column, held = rows.column("data"), []
+    order = np.lexsort((number, of))
+    for i, last in zip(order.tolist(), np.append(np.diff(of[order]) != 0, True).tolist()):
+        held.append(column[i].as_buffer())
+        if last:
+            yield int(of[i]), unpack(b"".join(held))
+            held = []
+
+
+def grouped(df: DataFrame, by: str, parts: int | None) -> DataFrame:
     """Rows of one value of `by` after one another, in one task."""
-    return (df.repartition(parts, by) if parts else df.repartition(by)).sortWithinPartitions(by, *then)
+    return (df.repartition(parts, by) if parts else df.repartition(by)).sortWithinPartitions(by)
 
 
 def groups(batches, by: str):
@@ -425,39 +446,45 @@ def chunks(docs: DataFrame, path: str, buckets: int, limit: float, under: int) -
         chunk = TaskContext.get().partitionId() << 32
 
         def flush():
-            h = np.concatenate([x[1] for x in held])
+            word, at = coded(np.concatenate([x[1] for x in held]))
             sizes = np.concatenate([x[2] for x in held])
             ids = [r for x in held for r in x[0]]
+            held.clear()
             out = np.array([r[1] for r in ids], bool)
-            word, at = coded(h)
             key = frequent.keys(word)
-            rank = np.empty(len(key), np.int64)
+            rank = np.empty(len(key), "i4")
             order = np.argsort(key)
             rank[order] = np.arange(len(key))
             key, word, at = key[order], word[order], rank[at]
             end = np.searchsorted(key, frequent.keys(np.array([END_HASH], "u8")))[0]
-            before = np.concatenate([[end], at[:-1]])
             bits = int(len(key)).bit_length()
-            pair, shift = before << bits | at, int(len(at)).bit_length()
+            # the word before, and the word
+            pair, shift = np.concatenate([[end], at[:-1]]).astype(np.int64), int(len(at)).bit_length()
+            pair <<= bits
+            pair |= at
             if 2 * bits + shift < 64:  # pair and place in one number sort much faster than places do
-                pair = np.sort(pair << shift | np.arange(len(at)))
-                order, pair = pair & ((1 << shift) - 1), pair >> shift
+                pair <<= shift
+                pair |= np.arange(len(at))
+                pair.sort()
+                order = (pair & ((1 << shift) - 1)).astype("u4")
+                pair >>= shift
             else:
                 order = np.argsort(pair)
                 pair = pair[order]
             new = np.concatenate([[True], pair[1:] != pair[:-1]])
-            place = np.empty(len(at), np.int64)
-            place[order] = np.cumsum(new) - 1
+            place = np.empty(len(at), "u4")
+            place[order] = np.cumsum(new, dtype="u4") - np.uint32(1)
             pair = pair[new]
-            u, w = pair >> bits, pair & ((1 << bits) - 1)
-            own = (mix(word) % U(buckets)).astype(np.int64)
+            u, w = (pair >> bits).astype("i4"), (pair & ((1 << bits) - 1)).astype("i4")
+            del pair, order, new
+            own = (mix(word) % U(buckets)).astype("i4")
             bucket = np.where(frequent.heavy(key, limit)[u], own[w], own[u])
             order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
-            rank = np.empty(len(pair), "u4")
-            rank[order] = np.arange(len(pair), dtype="u4")
+            rank = np.empty(len(u), "u4")
+            rank[order] = np.arange(len(u), dtype="u4")
             place, u, w, bucket = rank[place], u[order], w[order], bucket[order]
-            train = np.repeat(~out, sizes)
-            n = np.bincount(place[train], minlength=len(pair)).astype("u4")
+            del rank, order
+            n = np.bincount(place[np.repeat(~out, sizes)], minlength=len(u)).astype("u4")
             # the base score of frequent words is known here
             few = key < U(1 << 24)
             count = np.zeros(len(key))
@@ -465,12 +492,14 @@ def chunks(docs: DataFrame, path: str, buckets: int, limit: float, under: int) -
             text = np.repeat(np.arange(len(sizes)), sizes)
             base = np.bincount(text, np.where(few, np.log10((count + 1) / under), 0)[at], len(sizes))
             known = np.bincount(text, few[at], len(sizes)).astype("i8")
+            del text, at
             doc = np.array([r[0] or 0 for r in ids], "i8")
             none = np.array([r[0] is None for r in ids], "u1")
-            yield from _rows(7, -1, [chunk], None, [pack(doc, none, out.astype("u1"), sizes.astype("i8"), base, known, place)])
+            yield from pieces(7, -1, chunk, pack(doc, none, out.astype("u1"), sizes.astype("i8"), base, known, place))
+            del place
             edge = np.flatnonzero(np.diff(np.concatenate([[-1], bucket, [-1]])))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                yield from _rows(8, int(bucket[a]), [chunk], None, [pack(n[a:b], *split(key[u[a:b]]), *split(key[w[a:b]]))])
+                yield from pieces(8, int(bucket[a]), chunk, pack(n[a:b], *split(key[u[a:b]]), *split(key[w[a:b]])))
 
         for rows, texts in _cuts(batches, "doc_id", "held_out"):
             h, _, text, *_ = tokens(texts)
@@ -478,7 +507,7 @@ def chunks(docs: DataFrame, path: str, buckets: int, limit: float, under: int) -
             size += len(h)
             if size > CHUNK:
                 yield from flush()
-                held, size, chunk = [], 0, chunk + 1
+                size, chunk = 0, chunk + 1
         if held:
             yield from flush()
 
@@ -543,29 +572,35 @@ def built(blocks: DataFrame, path: str, parts: int, limit: float) -> DataFrame:
         frequent = Frequent(path)
         sent = Sent(frequent, limit)
         for bucket, rows in groups(batches, "bucket"):
-            keys = rows.column("key").to_pylist()
-            data = [unpack(x) for x in rows.column("data").to_pylist()]
-            n = np.concatenate([x[0] for x in data])
+            keys, data = zip(*whole(rows))
+            del rows
+            n, sizes = np.concatenate([x[0] for x in data]), [len(x[0]) for x in data]
             # numbers in the order of the keys: a frequent word's own, and after them those of the others
             (u, us), (w, ws) = (ordered([x[k] for x in data], [x[k + 1] for x in data]) for k in (1, 3))
-            pair = u << 32 | w
+            del data
+            pair = u << 32
+            pair |= w
+            del u, w
             order = np.argsort(pair, kind="stable")
             pair = pair[order]
             new = np.concatenate([[True], pair[1:] != pair[:-1]])
-            at = np.empty(len(pair), np.int64)
-            at[order] = np.cumsum(new) - 1
+            at = np.empty(len(pair), "u4")
+            at[order] = np.cumsum(new, dtype="u4") - np.uint32(1)
             pair = pair[new]
+            del order, new
             u, w, n = keyed(pair >> 32, us), keyed(pair & 0xFFFFFFFF, ws), np.bincount(at, n, len(pair)).astype("i8")
-            yield from _rows(0, bucket, None, None, [pack(n, *split(u), *split(w))])
+            del pair
+            yield from pieces(0, bucket, None, pack(n, *split(u), *split(w)))
             a = 0
-            for key, x in zip(keys, data):
-                yield from _rows(1, bucket, [key], None, [pack(np.diff(at[a : a + len(x[0])], prepend=0).astype("u4"))])
-                a += len(x[0])
+            for key, size in zip(keys, sizes):
+                yield from pieces(1, bucket, key, pack(np.diff(at[a : a + size].astype(np.int64), prepend=0).astype("u4")))
+                a += size
+            del at
             start, of = _runs(u)
             total = np.bincount(of, n, len(start)).astype("i8")
             own = n > 1
             ru, rw, rn = u[own], w[own], n[own]
-            yield from _rows(2, bucket, None, None, [pack(rn, *split(ru), *split(rw), np.ones(len(rn), "i8"), total[of[own]][_runs(ru)[0]], np.zeros(len(rn)))])
+            yield from pieces(2, bucket, None, pack(rn, *split(ru), *split(rw), np.ones(len(rn), "i8"), total[of[own]][_runs(ru)[0]], np.zeros(len(rn))))
             often = np.unique(rw[rw >= U(1 << 24)])
             if len(often):
                 yield from _rows(3, bucket, often)
@@ -575,14 +610,14 @@ def built(blocks: DataFrame, path: str, parts: int, limit: float) -> DataFrame:
             sent.add(ru, rw, rn - 1)
         yield from sent.rows()
 
-    return arrow_map(grouped(blocks, "bucket", parts, "key"), run, PARTS)
+    return arrow_map(grouped(blocks, "bucket", parts), run, PARTS)
 
 
 def _write(df: DataFrame, name: str) -> tuple[str, DataFrame]:
-    """PARTS as files by kind."""
+    """PARTS as files by kind. Their data is packed already; sizes of pages are looked at early, as by default one holds a hundred rows of any size."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.partitionBy("kind").parquet(path)
+    df.write.partitionBy("kind").options(**{"compression": "none", "parquet.page.size.row.check.min": 4, "parquet.block.size": 8 << 20}).parquet(path)
     return path, spark.read.schema("bucket int, key long, value long, data binary, kind int").parquet(path)
 
 
@@ -592,7 +627,7 @@ def messages(words: DataFrame, wanted: DataFrame, columns: tuple) -> DataFrame:
 
 
 def met(parts: DataFrame, values: DataFrame) -> DataFrame:
-    return parts.select("bucket", "kind", "key", "data").unionByName(values, allowMissingColumns=True)
+    return parts.select("bucket", "kind", "key", "value", "data").unionByName(values, allowMissingColumns=True)
 
 
 def sat(rows: DataFrame, path: str, values: str, parts: int, limit: float, shared: dict, sweep: int) -> DataFrame:
@@ -607,7 +642,7 @@ def sat(rows: DataFrame, path: str, values: str, parts: int, limit: float, share
             kind = np.asarray(t.column("kind"))
             if not (kind == 2).any():
                 continue
-            n, u, us, w, ws, tables, total, free, *less = unpack(t.column("data")[int(np.flatnonzero(kind == 2)[0])].as_py())
+            ((_, (n, u, us, w, ws, tables, total, free, *less)),) = whole(t.filter(kind == 2))
             u, w = joined(u, us), joined(w, ws)
             customers, root, base = looked_up(w, dense, t.filter(kind == 9), columns)
             start, run_ = _runs(u)
@@ -622,7 +657,7 @@ def sat(rows: DataFrame, path: str, values: str, parts: int, limit: float, share
             if sweep > BURN_IN:
                 free = free + n - DISCOUNT * tables
                 less.append(np.bincount(run_, n - tables, len(start)).astype("i8"))
-            yield from _rows(2, bucket, None, None, [pack(n, *split(u), *split(w), tables, total, free, *less)])
+            yield from pieces(2, bucket, None, pack(n, *split(u), *split(w), tables, total, free, *less))
             sent.add(u, w, n - tables)
         yield from sent.rows()
 
@@ -818,12 +853,13 @@ def answered(rows: DataFrame, path: str, values: str, tasks: int, limit: float,
         dense = frequent.values(values, columns)
         for bucket, t in groups(batches, "bucket"):
             kind = np.asarray(t.column("kind"))
-            data = lambda k: (unpack(t.column("data")[int(i)].as_py()) for i in np.flatnonzero(kind == k))
-            n, u, us, w, ws = next(data(0))
+            ((_, (n, u, us, w, ws)),) = whole(t.filter(kind == 0))
             u, w = joined(u, us), joined(w, ws)
-            _, ru, us, _, _, _, _, free, *less = next(data(2))
+            ((_, (_, ru, us, _, _, _, _, free, *less)),) = whole(t.filter(kind == 2))
             ru = joined(ru, us)
-            c, *roots = looked_up(w, dense, t.filter(kind == 9), columns)
+            found = looked_up(w, dense, t.filter(kind == 9), columns)
+            blocks = t.filter(kind == 1)
+            del t
             start, run_ = _runs(u)
             total = np.bincount(run_, n, len(start))
             there = np.repeat(total[None], SAMPLES, 0)
@@ -838,13 +874,14 @@ def answered(rows: DataFrame, path: str, values: str, tasks: int, limit: float,
             own = np.where(n == 1, 1 - DISCOUNT, 0.0)
             own[n > 1] = free / SAMPLES
             p = own / (STRENGTH + total[run_])
-            for k, root in enumerate(roots):
-                p += left[k, run_] * np.where(c > 0, root, unknown[k]) / SAMPLES
+            for k in range(SAMPLES):
+                p += left[k, run_] * np.where(found[0] > 0, found[k + 1], unknown[k]) / SAMPLES
             p = rounded(np.log10(p))
-            c = np.where(w < U(1 << 24), -1, c).astype("i8")
-            for i in np.flatnonzero(kind == 1).tolist():
-                at = np.cumsum(unpack(t.column("data")[i].as_py())[0], dtype=np.int64)
-                yield from _rows(9, bucket, [t.column("key")[i].as_py()], None, [pack(p[at], c[at])])
+            c = np.where(w < U(1 << 24), -1, found[0]).astype("i8")
+            del found, u, w, run_, own
+            for key, (at,) in whole(blocks):
+                at = np.cumsum(at, dtype=np.int64)
+                yield from pieces(9, bucket, key, pack(p[at], c[at]))
 
     return arrow_map(grouped(rows, "bucket", tasks), run, PARTS)
 
@@ -856,16 +893,18 @@ def scored(rows: DataFrame, under: int) -> DataFrame:
         import pyarrow as pa
 
         for _, t in groups(batches, "key"):
-            texts, *answers = (unpack(x) for x in t.column("data").to_pylist())
-            doc, none, out, sizes, base, known, place = texts
-            p, c = (np.concatenate([x[k] for x in answers]) for k in (0, 1))
+            # the texts stand in bucket -1
+            (_, (doc, none, out, sizes, base, known, place)), *answers = whole(t, "bucket")
+            del t
+            p, c = (np.concatenate([x[k] for _, x in answers]) for k in (0, 1))
+            del answers
             text = np.repeat(np.arange(len(sizes)), sizes)
             rare = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / under), 0.0)
             n = len(sizes)
             cols = [pa.array(doc, mask=none > 0), pa.array(out > 0), pa.array(sizes), pa.array(known + np.bincount(text, (c > 0)[place], n).astype("i8")), pa.array(base + np.bincount(text, rare[place], n)), pa.array(np.bincount(text, p[place], n))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return arrow_map(grouped(rows.select("kind", "bucket", "key", "data"), "key", None, "bucket"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return arrow_map(grouped(rows.select("bucket", "key", "value", "data"), "key", None), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 @contextlib.contextmanager
@@ -890,7 +929,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     if frequent > 1 << 24:
         raise ValueError("tasks hold at most 2**24 frequent words")
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, BATCH)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     with shuffles_dropped(spark):
@@ -910,7 +949,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         few = shared_path(spark, "frequent")
         columns = ("c", *ROOTS)
         values.where(F.col("c") >= least).select("h", *columns).write.parquet(few)
-        own = parts.where("kind in (0, 1)").select("bucket", "kind", "key", "data").unionByName(state.select("bucket", "kind", "key", "data"))
+        own = parts.where("kind in (0, 1)").unionByName(state)
         told = written(messages(values.where(F.col("c") < least), parts.where("kind in (3, 4)"), columns), "told")
         remove_table(values)
         for kind in (3, 4):

@@ -120,6 +120,30 @@ def test_context_is_the_whole_word_before(spark):
         assert a > b + 1 and d > c + 1
 
 
+def test_rows_are_small(spark, tmp_path):
+    """Of texts of very many pairs, too: rows and pages of any size were held outside the heap."""
+    rng = random.Random(5)
+    text = " ".join(str(rng.randrange(10**5)) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, False, text), (2, False, text[::-1])], "doc_id long, held_out boolean, text string")
+    pitman.counted(docs).select("h", "c").write.parquet(path := f"file://{tmp_path}/frequent")
+    blocks = pitman.chunks(docs.coalesce(1), path, 1, 1e9, 400_000).cache()
+    for rows in (blocks, pitman.built(blocks.where("kind = 8"), path, 1, 1e9)):
+        sizes = [r["n"] for r in rows.where("data is not null").selectExpr("length(data) as n").collect()]
+        assert max(sizes) <= 1 << 18 and sum(sizes) > 1 << 19
+    blocks.unpersist()
+
+
+def test_pieces_make_the_whole(monkeypatch):
+    monkeypatch.setattr(pitman, "PIECE", 100)
+    parts = {7: np.arange(300), 2**33: np.arange(0), 8: np.array([2**60, 1])}
+    batches = [b for key, x in parts.items() for b in pitman.pieces(8, 3, key, pitman.pack(x))]
+    random.Random(6).shuffle(batches)
+    import pyarrow as pa
+
+    got = {key: x.tolist() for key, (x,) in pitman.whole(pa.Table.from_batches(batches))}
+    assert len(batches) > 3 and list(got) == sorted(parts) and got == {k: x.tolist() for k, x in parts.items()}
+
+
 def test_op11(spark, tmp_path, docs):
     schema = "doc_id long, text string"
     spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")

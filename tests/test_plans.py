@@ -29,6 +29,50 @@ def test_first_tier(spark):
     assert sorted(map(tuple, J.first_tier(left, right, [["m"], ["r"]]).select("id", "t").collect())) == [(1, 10), (2, 10), (2, 11), (3, 12)]
 
 
+def test_variant_targets_takes_every_step(spark):
+    """Same module and source set, else the module's main, else the module, else all; sources of one key (null too) take its best step."""
+    sources = [(1, "a", "x"), (2, "a", "q"), (3, "b", "q"), (4, "z", "x"), (5, None, None), (6, "a", "x"), (6, "a", "q"), (6, "z", "x"), (7, "b", "y"), (7, "b", "y"), (None, "b", "x"), (None, "c", "x")]
+    targets = [(10, "a", "x", False), (11, "a", "x", False), (12, "a", "m", True), (13, "b", "x", False), (14, "b", "y", False), (15, None, None, None), (16, "c", "m", True)]
+
+    def tier(s, t):
+        return (0 if s[2] == t[2] else 1 if t[3] else 2) if s[1] is not None and s[1] == t[1] else 3
+
+    low = {s[0]: min(tier(r, t) for r in sources if r[0] == s[0] for t in targets) for s in sources}
+    want = sorted((s[0] or 0, t[0]) for s in sources for t in targets if tier(s, t) == low[s[0]])
+    left = spark.createDataFrame(sources, "id int, module string, source_set string")
+    right = spark.createDataFrame(targets, "t int, module string, source_set string, main boolean")
+    got = lambda: sorted((r["id"] or 0, r["t"]) for r in J.variant_targets(left, right, ["id"]).collect())
+    assert got() == want
+    assert [t for i, t in want if i == 2] == [12] and [t for i, t in want if i == 3] == [13, 14] and [t for i, t in want if i in (4, 5)] == [*range(10, 17)] * 2
+    assert [t for i, t in want if i == 6] == [10, 11] and [t for i, t in want if i == 0] == [13]
+    one = [J.LISTED, setattr(J, "LISTED", 1)][0]
+    try:
+        assert got() == want
+    finally:
+        J.LISTED = one
+    assert J.variant_targets(left, right.limit(0), ["id"]).count() == 0
+
+
+def test_variant_preference_equals_its_sql_where_nations_lack_suppliers(spark, tmp_path):
+    import duckdb
+
+    from sievework.plans import registry
+
+    tables = {
+        "nation": ([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, None), (None, 1)], "n_nationkey int, n_regionkey int"),
+        "customer": ([*((k, k % 8) for k in range(40)), (100, None), (101, 77), (3, 0), (None, 4), (None, 5)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(1, 0), (2, 0), (3, 1), (4, 4), (5, 4), (6, None), (7, 77), (8, 6)], "s_suppkey long, s_nationkey int"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    order = lambda rows: sorted((a is None, a or 0, b) for a, b in rows)
+    got = order(map(tuple, registry.QUERIES["variant_preference"](spark, str(tmp_path)).collect()))
+    assert got == order(con.execute(registry.ORACLES["variant_preference"]).fetchall())
+    assert {k for _, k, _ in got} >= {*range(40), 100, 101}
+
+
 def test_fan_out_ranks_before_it_counts(spark):
     df = spark.createDataFrame([(g, k) for g in "ab" for k in range(7 if g == "a" else 2)], "g string, k int")
     out = W.fan_out(df, ["g"], ["k"], 3)

@@ -109,3 +109,17 @@ def test_first_tier_deals_the_left_rows(spark):
     finally:
         J.LISTED = one
     assert sorted(map(tuple, again)) == want
+
+
+def test_first_tier_is_written_short(spark, tmp_path):
+    """The product of a key is written as repeats of short runs: a part of a byte a row, where each list at full length takes two; a key of few rows and long lists is dealt over the tasks."""
+    left = spark.range(400).select("id", F.lit(1).alias("m")).union(spark.range(1000, 6000).select("id", F.lit(2).alias("m")))
+    right = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("t"), F.lit(1).alias("m")).union(spark.createDataFrame([(90_000, 2)], "t long, m int"))
+    J.first_tier(left, right, [["m"]]).select("id", "t").write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 400 * 20_000 + 5000
+    assert got.where("id < 400").groupBy("id").agg(F.count_distinct("t").alias("n")).where("n = 20000").count() == 400
+    assert sum(f.stat().st_size for f in files) < got.count()
+    most = got.where("id < 400").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert most < 400 * 20_000 * 0.5
